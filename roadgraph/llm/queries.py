@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .kd_sharding import kd_shards
+from .language_id import op1_language_id
 from .packing import pack_documents
+from .quality import op4_quality
 
 SHARDS = 24
 
@@ -29,7 +31,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_kd_sharding": op2_kd_sharding,
+    "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
