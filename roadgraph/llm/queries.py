@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import exact_dedup
 from .kd_sharding import kd_shards
 from .language_id import op1_language_id
 from .packing import pack_documents
+from .pii import OP7_SQL, op7_pii
 from .quality import op4_quality
 
 SHARDS = 24
@@ -35,10 +37,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kd_sharding": op2_kd_sharding,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_pii": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
