@@ -49,7 +49,8 @@ def exact_dedup(
     narrow = stored(keyed.select("doc_id", "len", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("sha")), "dedup-narrow")
     groups = stored(_best(narrow, "h").filter("n > 1"), "dedup-groups")
 
-    members = keyed.join(groups.select("h", "n"), "h")
+    # always by sorting: at scale the groups are too many to broadcast
+    members = keyed.join(groups.select("h", "n").hint("merge"), "h")
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SLICE_ROWS))
     ends = members.groupBy("h", salt.alias("salt")).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     differ = stored(ends.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("h"), "dedup-collisions")
