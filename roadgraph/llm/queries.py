@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import exact_dedup
+from .html_text import op3_html_text
 from .kd_sharding import kd_shards
 from .language_id import op1_language_id
 from .packing import pack_documents
 from .pii import OP7_SQL, op7_pii
 from .quality import op4_quality
+from .substring_dedup import op6_substring_dedup
 
 SHARDS = 24
 
@@ -35,8 +37,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_kd_sharding": op2_kd_sharding,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
