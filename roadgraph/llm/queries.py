@@ -16,6 +16,7 @@ from .language_id import op1_language_id
 from .packing import pack_documents
 from .pii import OP7_SQL, op7_pii
 from .quality import op4_quality
+from .set_join import op10_set_join
 from .substring_dedup import op6_substring_dedup
 
 SHARDS = 24
@@ -44,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_set_join": op10_set_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
