@@ -185,6 +185,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches THRESHOLD; no shuffle. Without a model all stay."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(_stack(b.column(at).to_pylist())) >= THRESHOLD)) if model and b.num_rows else b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(col: str = "doc_id"):
     return F.coalesce(id_crc(col) % 5 == 0, F.lit(False))
 
