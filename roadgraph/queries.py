@@ -550,3 +550,127 @@ def _(c):
 )
 def _(nodes):
     return X.sample_pairs(nodes.select(G, "node_id"), G, "node_id", 5)
+
+
+# graphs --------------------------------------------------------------------------------------------------------------
+BOTH = "e AS MATERIALIZED (SELECT graph_id AS g, u, v, w FROM fx_edges UNION ALL SELECT graph_id, v, u, w FROM fx_edges)"
+COMP = """, c(g, x, l) USING KEY (g, x) AS (SELECT graph_id, node_id, node_id FROM fx_nodes UNION
+    SELECT c.g, e.v, min(c.l) FROM c JOIN e ON c.g = e.g AND c.x = e.u LEFT JOIN recurring.c r ON r.g = c.g AND r.x = e.v WHERE r.l > c.l GROUP BY 1, 2)"""
+HOPS = """, h(g, s, x, d) USING KEY (g, s, x) AS (SELECT graph_id, node_id, node_id, 0 FROM fx_nodes UNION SELECT h.g, h.s, e.v, min(h.d + 1) FROM h JOIN e ON h.g = e.g AND h.x = e.u
+    LEFT JOIN recurring.h r ON r.g = h.g AND r.s = h.s AND r.x = e.v WHERE r.d IS NULL OR r.d > h.d + 1 GROUP BY 1, 2, 3)"""
+DIST = """, h(g, s, x, d) USING KEY (g, s, x) AS (SELECT graph_id, node_id, node_id, CAST(0 AS BIGINT) FROM fx_nodes UNION SELECT h.g, h.s, e.v, min(h.d + e.w) FROM h JOIN e ON h.g = e.g AND h.x = e.u
+    LEFT JOIN recurring.h r ON r.g = h.g AND r.s = h.s AND r.x = e.v WHERE r.d IS NULL OR r.d > h.d + e.w GROUP BY 1, 2, 3), dd AS MATERIALIZED (SELECT * FROM h)"""
+SIGMA = DIST + """, p(g, s, x, k, c) AS (SELECT g, s, x, 0, 1.0::DOUBLE FROM dd WHERE s = x UNION ALL SELECT g, s, x, k + 1, sum(c) FROM (SELECT p.g, p.s, e.v AS x, p.k, p.c FROM p JOIN e ON p.g = e.g AND p.x = e.u
+    JOIN dd a ON a.g = p.g AND a.s = p.s AND a.x = p.x JOIN dd b ON b.g = p.g AND b.s = p.s AND b.x = e.v WHERE a.d + e.w = b.d) GROUP BY g, s, x, k),
+    sg AS MATERIALIZED (SELECT g, s, x, sum(c) AS sigma FROM p GROUP BY 1, 2, 3), ap AS MATERIALIZED (SELECT dd.g, dd.s, dd.x, d, sigma FROM dd JOIN sg USING (g, s, x))"""
+NODE_BC = SIGMA + """, nn AS (SELECT graph_id AS g, count(*) AS n FROM fx_nodes GROUP BY 1), nb0 AS (SELECT st.g, sv.x AS v, sum(sv.sigma * vt.sigma / st.sigma) AS b FROM ap st JOIN ap sv ON sv.g = st.g AND sv.s = st.s
+    JOIN ap vt ON vt.g = st.g AND vt.s = sv.x AND vt.x = st.x WHERE st.s <> st.x AND sv.x <> st.s AND sv.x <> st.x AND sv.d + vt.d = st.d GROUP BY 1, 2),
+    nb AS MATERIALIZED (SELECT graph_id AS g, node_id AS v, coalesce(b, 0) / ((n - 1) * (n - 2)) AS b FROM fx_nodes f JOIN nn ON nn.g = f.graph_id LEFT JOIN nb0 ON nb0.g = f.graph_id AND nb0.v = f.node_id)"""
+EDGE_BC = SIGMA + """, nn AS (SELECT graph_id AS g, count(*) AS n FROM fx_nodes GROUP BY 1), eb0 AS (SELECT st.g, least(e.u, e.v) AS u, greatest(e.u, e.v) AS v, sum(su.sigma * vt.sigma / st.sigma) AS b
+    FROM ap st JOIN ap su ON su.g = st.g AND su.s = st.s JOIN e ON e.g = st.g AND e.u = su.x JOIN ap vt ON vt.g = st.g AND vt.s = e.v AND vt.x = st.x WHERE st.s <> st.x AND su.d + e.w + vt.d = st.d GROUP BY 1, 2, 3),
+    eb AS MATERIALIZED (SELECT graph_id AS g, f.u, f.v, coalesce(b, 0) / (n * (n - 1)) AS b FROM fx_edges f JOIN nn ON nn.g = f.graph_id LEFT JOIN eb0 ON eb0.g = f.graph_id AND eb0.u = f.u AND eb0.v = f.v)"""
+NE = ("fx_nodes", "fx_edges")
+
+
+@query("H1_components", *NE, sql="+" + BOTH + COMP + " SELECT g AS graph_id, x AS node_id, l AS comp_id FROM c", recursive=True)
+def _(n, e):
+    return P.components(n, e)
+
+
+BIG = ", z AS (SELECT g, l, count(*) AS size FROM c GROUP BY 1, 2), b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY g ORDER BY size DESC, l) = 1)"
+
+
+@query("W3_largest_component", *NE, sql="+" + BOTH + COMP + BIG + " SELECT g AS graph_id, l AS comp_id, size FROM b", recursive=True)
+def _(n, e):
+    return P.largest_component(P.components(n, e))
+
+
+@query("H2_hop_distances", *NE, sql="+" + BOTH + HOPS + " SELECT g AS graph_id, s AS src, x AS dst, d AS hops FROM h", recursive=True)
+def _(n, e):
+    return P.hop_distances(n, e)
+
+
+EFF = ", ef AS (SELECT g, count(DISTINCT s) AS n, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END) / (count(DISTINCT s) * (count(DISTINCT s) - 1)) AS e FROM h GROUP BY 1)"
+
+
+@query("H3_efficiency", *NE, sql="+" + BOTH + HOPS + EFF + " SELECT g AS graph_id, n, round(e, 6) AS efficiency FROM ef", recursive=True)
+def _(n, e):
+    return P.efficiency(n, e)
+
+
+@query("H4_path_counts", *NE, sql="+" + BOTH + SIGMA + " SELECT g AS graph_id, s AS src, x AS dst, d AS dist, sigma FROM ap", recursive=True)
+def _(n, e):
+    return P.path_counts(n, e).dist
+
+
+AVG = ", av AS (SELECT dd.g, avg(d) AS a FROM dd JOIN c ON c.g = dd.g AND c.x = dd.s JOIN b ON b.g = c.g AND b.l = c.l WHERE dd.s <> dd.x GROUP BY 1)"
+
+
+@query("H5_avg_path", *NE, sql="+" + BOTH + COMP + BIG + DIST + AVG + " SELECT b.g AS graph_id, round(a, 6) AS avg_path FROM b LEFT JOIN av USING (g)", recursive=True)
+def _(n, e):
+    return P.avg_shortest_path(n, e)
+
+
+@query("H6_node_betweenness", *NE, sql="+" + BOTH + NODE_BC + " SELECT g AS graph_id, v AS node_id, round(b, 6) AS betweenness FROM nb", recursive=True)
+def _(n, e):
+    return B.node_betweenness(P.path_counts(n, e))
+
+
+@query("H7_edge_betweenness", *NE, sql="+" + BOTH + EDGE_BC + " SELECT g AS graph_id, u, v, round(b, 6) AS betweenness FROM eb", recursive=True)
+def _(n, e):
+    return B.edge_betweenness(P.path_counts(n, e), e)
+
+
+@query("H8_edge_criticality", *NE, sql="+" + BOTH + EDGE_BC + " SELECT g AS graph_id, u, v, round(b, 6) AS betweenness, round(b / max(b) OVER (PARTITION BY g), 6) AS criticality FROM eb", recursive=True)
+def _(n, e):
+    return B.edge_criticality(B.edge_betweenness(P.path_counts(n, e), e))
+
+
+@query(
+    "H9_gatekeepers", *NE, recursive=True,
+    sql="+" + BOTH + NODE_BC + """, dg AS (SELECT g, u, count(*) AS k FROM e GROUP BY 1, 2) SELECT graph_id, node_id, pos_r, pos_c, kind, round(b, 6) AS betweenness, coalesce(k, 0) AS degree,
+        row_number() OVER (PARTITION BY graph_id ORDER BY round(b, 9) DESC, node_id) AS rank FROM fx_nodes f JOIN nb ON nb.g = graph_id AND nb.v = node_id LEFT JOIN dg ON dg.g = graph_id AND dg.u = node_id QUALIFY rank <= 10""",
+)
+def _(n, e):
+    bc = B.node_betweenness(P.path_counts(n, e)).withColumn("betweenness", F.round("betweenness", 9))
+    return B.gatekeepers(bc, n, e, 10)
+
+
+@query(
+    "H10_snapshot", *NE, recursive=True,
+    sql="+" + BOTH + COMP + BIG + DIST + AVG + HOPS.replace(", h(", ", hh(").replace(" h.", " hh.").replace("FROM h ", "FROM hh ").replace("recurring.h ", "recurring.hh ").replace("min(h.d", "min(hh.d").replace("SELECT h.g, h.s", "SELECT hh.g, hh.s")
+    + EFF.replace("FROM h ", "FROM hh ") + """ SELECT b.g AS graph_id, round(e, 6) AS efficiency, CASE WHEN e = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS resilience, (SELECT count(DISTINCT l) FROM c WHERE c.g = b.g) AS n_components, size AS largest, n - size AS isolated, round(a, 6) AS avg_path
+        FROM b JOIN ef USING (g) LEFT JOIN av USING (g)""",
+)
+def _(n, e):
+    return B.snapshot(n, e)
+
+
+#: Scenarios as graphs: nodes en(scenario_id, node_id) and edges se(scenario_id, u, v, w) that survive.
+IMPACT = """, e AS MATERIALIZED (SELECT 'pre' AS k, graph_id AS g, u, v FROM fx_edges UNION ALL SELECT 'pre', graph_id, v, u FROM fx_edges UNION ALL SELECT 'post', scenario_id, u, v FROM se UNION ALL SELECT 'post', scenario_id, v, u FROM se),
+    nd AS MATERIALIZED (SELECT 'pre' AS k, graph_id AS g, node_id AS x FROM fx_nodes UNION ALL SELECT 'post', scenario_id, node_id FROM en),
+    h(k, g, s, x, d) USING KEY (k, g, s, x) AS (SELECT k, g, x, x, 0 FROM nd UNION SELECT h.k, h.g, h.s, e.v, min(h.d + 1) FROM h JOIN e ON h.k = e.k AND h.g = e.g AND h.x = e.u
+        LEFT JOIN recurring.h r ON r.k = h.k AND r.g = h.g AND r.s = h.s AND r.x = e.v WHERE r.d IS NULL OR r.d > h.d + 1 GROUP BY 1, 2, 3, 4),
+    ef AS (SELECT k, g, count(DISTINCT s) AS n, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END) / (count(DISTINCT s) * (count(DISTINCT s) - 1)) AS e FROM h GROUP BY 1, 2),
+    c AS MATERIALIZED (SELECT g, s AS x, min(x) AS l FROM h WHERE k = 'post' GROUP BY 1, 2), z AS (SELECT g, l, count(*) AS size FROM c GROUP BY 1, 2), b AS (SELECT g, count(*) AS nc, sum(size) - max(size) AS iso FROM z GROUP BY 1),
+    ng AS (SELECT scenario_id, count(*) AS n FROM h0 GROUP BY 1), ec AS (SELECT scenario_id, count(*) AS n FROM fx_scen JOIN fx_edges USING (graph_id) GROUP BY 1), es AS (SELECT scenario_id, count(*) AS n FROM se GROUP BY 1)
+    SELECT s.scenario_id, s.graph_id, coalesce(ng.n, 0) AS removed_nodes, coalesce(ec.n, 0) - coalesce(es.n, 0) AS removed_edges, round(p.e, 6) AS e_pre, round(q.e, 6) AS e_post, round(q.e / p.e, 6) AS resilience,
+        round((p.e - q.e) / p.e * 100, 6) AS drop_pct, round(CASE WHEN q.e = 0 THEN 999 ELSE (p.e / q.e - 1) * 100 END, 6) AS time_penalty_pct, b.nc AS n_components, CAST(b.iso AS BIGINT) AS isolated
+    FROM {scen} s JOIN ef p ON p.k = 'pre' AND p.g = s.graph_id JOIN ef q ON q.k = 'post' AND q.g = s.scenario_id JOIN b ON b.g = s.scenario_id LEFT JOIN ng USING (scenario_id) LEFT JOIN ec USING (scenario_id) LEFT JOIN es USING (scenario_id)"""
+ALIVE0 = ALIVE.replace("+h AS", "+h0 AS").replace("FROM h)", "FROM h0)")
+
+
+@query("H12_impact", "fx_nodes", "fx_edges", "fx_scen", sql=ALIVE0 + IMPACT.format(scen="fx_scen"), recursive=True)
+def _(n, e, s):
+    return I.impact(n, e, s)
+
+
+@query("H16_network_stats", *NE, sql="+" + BOTH + HOPS + EFF + " SELECT g AS graph_id, n AS n_nodes, (SELECT count(*) FROM fx_edges x WHERE x.graph_id = g) AS n_edges, 0 AS n_healed, round(e, 6) AS efficiency FROM ef", recursive=True)
+def _(n, e):
+    return I.network_stats(n, e)
+
+
+@query("H17_pair_paths", *NE, sql="+" + BOTH + DIST + ", q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 64 AS b FROM fx_nodes WHERE node_id % 9 = 0) SELECT graph_id, a, b, d AS dist FROM q LEFT JOIN dd ON g = graph_id AND s = a AND x = b", recursive=True)
+def _(n, e):
+    pairs = n.filter("node_id % 9 = 0").select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 64).alias("b"))
+    return P.pair_paths(n, e, pairs)
