@@ -10,17 +10,24 @@ from roadgraph.plans.loops import kept
 MAX_ROUNDS = 60
 
 
+def _either_way():
+    """Both directions of an edge, as structs e(u, v)."""
+    return F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+
+
 def _stars(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """One round: every node's neighbours (larger ones, or smaller ones) are tied to the least of them all."""
     if large:
-        both = edges.select(*keys, "u", "v").union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(*keys, _either_way()).select(*keys, "e.u", "e.v")
     else:
         both = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
     tied = both.join(least, [*keys, "u"])
-    out = tied.filter("v > u" if large else "true").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        out = out.union(least.select(*keys, "u", F.col("m").alias("v")))
+    if large:
+        out = tied.filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+    else:  # the node itself is tied to the least as well
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
+        out = tied.select(*keys, ends).select(*keys, "e.u", "e.v")
     return out.filter("u <> v").distinct()
 
 
@@ -39,6 +46,4 @@ def component_labels(edges: DataFrame, keys: list[str] | None = None) -> DataFra
         sign = tuple(got)
     else:
         raise RuntimeError(f"components need more than {MAX_ROUNDS} rounds")
-    return now.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(*keys, F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+    return now.select(*keys, F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("component")).distinct()

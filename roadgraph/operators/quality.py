@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-7
@@ -67,32 +67,32 @@ def batch_scores(pred: DataFrame, truth: DataFrame, tiles: DataFrame) -> DataFra
     return pixel_metrics(pred, truth, tiles).agg(F.avg("iou").alias("iou"), F.avg("f1").alias("f1"))
 
 
-def _pool(px: DataFrame, cells: list[tuple[int, int]], how) -> DataFrame:
-    """how(v) over each pixel's neighbourhood on the tile; px is dense."""
-    return shifted(px, cells, "v").groupBy(*K).agg(how("v").alias("v"))
+def _line(how, value: str, along: str) -> Column:
+    """how(value) over a pixel and its two neighbours in its row (along c) or column (along r) of a dense table."""
+    across = "r" if along == "c" else "c"
+    return how(value).over(Window.partitionBy("tile_id", across).orderBy(along).rowsBetween(-1, 1))
 
 
-def _soft_skeleton(px: DataFrame, iters: int) -> DataFrame:
-    """Differentiable-style skeleton of a dense table with values v in 0..1."""
-    cross_v, cross_h = [(-1, 0), (0, 0), (1, 0)], [(0, -1), (0, 0), (0, 1)]
-    square = [*AROUND, (0, 0)]
-    own = px.select(*K, F.col("v"))
-    home = own.select(*K)
+def _eroded(px: DataFrame, value: str, out: str) -> DataFrame:
+    """Least value in the cross of five pixels."""
+    return px.withColumn(out, F.least(_line(F.min, value, "c"), _line(F.min, value, "r")))
 
-    def erode(x: DataFrame) -> DataFrame:
-        return _pool(x, list(dict.fromkeys(cross_v + cross_h)), F.min).join(home, K)
 
-    def opened(x: DataFrame) -> DataFrame:
-        return _pool(erode(x), square, F.max).join(home, K)
+def _opened(px: DataFrame, value: str, out: str) -> DataFrame:
+    """Erosion, then the largest value in the square of nine pixels."""
+    own = _eroded(px, value, "_e").withColumn("_m", _line(F.max, "_e", "c"))
+    return own.withColumn(out, _line(F.max, "_m", "r")).drop("_e", "_m")
 
-    def rest(x: DataFrame) -> DataFrame:
-        return x.join(opened(x).withColumnRenamed("v", "o"), K).select(*K, "v", F.greatest(F.lit(0.0), F.col("v") - F.col("o")).alias("s"))
 
-    now = rest(own).select(*K, "v", F.col("s").alias("skel"))
+def _soft_skeleton(px: DataFrame, iters: int) -> DataFrame:
+    """Soft centre line of a dense table with values v in 0..1, as column skel: what openings of ever smaller
+    erosions lose. Dealt by tile once; every window then runs where its tile is."""
+    above = lambda a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(b))
+    now = px.select(*K, "v").repartition("tile_id")
+    now = _opened(now, "v", "o").withColumn("skel", above("v", "o"))
     for _ in range(iters):
-        e = erode(now.select(*K, "v"))
-        d = rest(e).select(*K, F.col("v").alias("ev"), F.col("s").alias("d"))
-        now = now.join(d, K).select(*K, F.col("ev").alias("v"), (F.col("skel") + F.greatest(F.lit(0.0), F.col("d") - F.col("skel") * F.col("d"))).alias("skel"))
+        now = _opened(_eroded(now, "v", "e"), "e", "o").withColumn("d", above("e", "o"))
+        now = now.select(*K, F.col("e").alias("v"), (F.col("skel") + F.greatest(F.lit(0.0), F.col("d") - F.col("skel") * F.col("d"))).alias("skel"))
     return now.select(*K, "skel")
 
 

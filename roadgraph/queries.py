@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from roadgraph.fixtures import duck_with, fixture
 from roadgraph.functions import columns as C
 from roadgraph.operators import centrality as B
+from roadgraph.operators import healing as L
 from roadgraph.operators import impact as I
 from roadgraph.operators import paths as P
 from roadgraph.operators import quality as A
 from roadgraph.operators import sampling as X
+from roadgraph.operators import skeleton as K
 from roadgraph.operators import tiles as T
 from roadgraph.sources import catalog as S
 
@@ -408,7 +410,22 @@ def _(px):
     return A.batch_scores(*_pred_truth(px))
 
 
-@query("A4_cl_dice", "fx_prob")
+def _cl_dice_sql() -> str:
+    """The soft centre lines of both masks by look-ups of neighbours, one common table for each step."""
+    out = [PT.removeprefix("+"), """v0 AS (SELECT 'p' AS k, tile_id, r, c, 1 / (1 + exp(-logit)) AS v FROM fx_prob UNION ALL
+        SELECT 't', d.tile_id, d.r, d.c, CASE WHEN g.r IS NULL THEN 0.0 ELSE 1.0 END FROM fx_prob d LEFT JOIN g USING (tile_id, r, c))"""]
+    near = "JOIN {b} b ON b.k = a.k AND b.tile_id = a.tile_id AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1"
+    for k in range(4):
+        v = f"v{k}"
+        out.append(f"v{k + 1} AS MATERIALIZED (SELECT a.k, a.tile_id, a.r, a.c, min(b.v) AS v FROM {v} a {near.format(b=v)} AND (a.r = b.r OR a.c = b.c) GROUP BY 1, 2, 3, 4)")
+        out.append(f"o{k} AS MATERIALIZED (SELECT a.k, a.tile_id, a.r, a.c, greatest(0, a.v - max(b.v)) AS d FROM {v} a {near.format(b=f'v{k + 1}')} GROUP BY 1, 2, 3, 4, a.v)")
+        out.append("s0 AS (SELECT k, tile_id, r, c, d AS s FROM o0)" if not k else f"s{k} AS MATERIALIZED (SELECT k, tile_id, r, c, s + greatest(0, d - s * d) AS s FROM s{k - 1} JOIN o{k} USING (k, tile_id, r, c))")
+    out.append("""x AS (SELECT tile_id, (sum(a.s * w.v) FILTER (a.k = 'p') + 1) / (sum(a.s) FILTER (a.k = 'p') + 1) AS tp, (sum(a.s * w.v) FILTER (a.k = 't') + 1) / (sum(a.s) FILTER (a.k = 't') + 1) AS ts
+        FROM s3 a JOIN v0 w USING (tile_id, r, c) WHERE a.k <> w.k GROUP BY 1)""")
+    return "+" + ", ".join(out) + " SELECT tile_id, round(1 - 2 * tp * ts / (tp + ts + 1e-7), 6) AS cl_dice FROM x"
+
+
+@query("A4_cl_dice", "fx_prob", sql=_cl_dice_sql())
 def _(px):
     v = px.select("tile_id", "r", "c", C.sigmoid(F.col("logit")).alias("v"))
     p, t, tiles = _pred_truth(px)
@@ -674,3 +691,205 @@ def _(n, e):
 def _(n, e):
     pairs = n.filter("node_id % 9 = 0").select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 64).alias("b"))
     return P.pair_paths(n, e, pairs)
+
+
+@query(
+    "H13_bottlenecks", "fx_nodes", "fx_edges", "fx_scen", recursive=True,
+    sql=ALIVE + ", " + EDGE_BC.join(["e AS MATERIALIZED (SELECT scenario_id AS g, u, v, w FROM se UNION ALL SELECT scenario_id, v, u, w FROM se)", ""])
+    .replace("graph_id, node_id, node_id", "scenario_id, node_id, node_id").replace("FROM fx_nodes", "FROM en").replace("SELECT graph_id AS g, count", "SELECT scenario_id AS g, count").replace("SELECT graph_id AS g, f.u", "SELECT scenario_id AS g, f.u").replace("fx_edges f", "se f").replace("f.graph_id", "f.scenario_id")
+    .replace("h(g, s, x, d)", "hh(g, s, x, d)").replace("SELECT h.g, h.s", "SELECT hh.g, hh.s").replace("min(h.d", "min(hh.d").replace("FROM h JOIN e ON h.g = e.g AND h.x", "FROM hh JOIN e ON hh.g = e.g AND hh.x").replace("recurring.h r ON r.g = h.g AND r.s = h.s", "recurring.hh r ON r.g = hh.g AND r.s = hh.s").replace("r.d > h.d", "r.d > hh.d").replace("SELECT * FROM h)", "SELECT * FROM hh)")
+    + " SELECT g AS scenario_id, u, v, round(b, 6) AS betweenness FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(b, 9) DESC, u, v) AS k, count(*) OVER (PARTITION BY g) AS n FROM eb) WHERE k <= greatest(1, ceil(n * 0.1))",
+)
+def _(n, e, s):
+    return I.bottlenecks(n, e, s)
+
+
+POINT = """+near AS (SELECT scenario_id, s.graph_id, n.node_id, n.pos_r, n.pos_c FROM fx_scen s JOIN LATERAL (SELECT node_id, pos_r, pos_c, (pos_r - epi_r) * (pos_r - epi_r) + (pos_c - epi_c) * (pos_c - epi_c) AS d2
+    FROM fx_nodes x WHERE x.graph_id = s.graph_id AND (pos_r - epi_r) * (pos_r - epi_r) + (pos_c - epi_c) * (pos_c - epi_c) <= 1600 ORDER BY 4, 1 LIMIT 1) n ON true),
+    h0 AS (SELECT scenario_id, s.graph_id, n.node_id FROM near s JOIN fx_nodes n ON n.graph_id = s.graph_id AND (n.pos_r - s.pos_r) * (n.pos_r - s.pos_r) + (n.pos_c - s.pos_c) * (n.pos_c - s.pos_c) <= 25),
+    en AS (SELECT scenario_id, n.node_id FROM near s JOIN fx_nodes n USING (graph_id) WHERE (scenario_id, n.node_id) NOT IN (SELECT scenario_id, node_id FROM h0)),
+    se AS (SELECT scenario_id, u, v, w FROM near s JOIN fx_edges e USING (graph_id) WHERE (scenario_id, u) NOT IN (SELECT scenario_id, node_id FROM h0) AND (scenario_id, v) NOT IN (SELECT scenario_id, node_id FROM h0))"""
+
+
+@query("H14_point_failure", "fx_nodes", "fx_edges", "fx_scen", sql=POINT + IMPACT.format(scen="near"), recursive=True)
+def _(n, e, s):
+    points = s.select(F.col("scenario_id").alias("point_id"), G, F.col("epi_r").alias("r"), F.col("epi_c").alias("c"))
+    return I.point_failure(points, n, e, 40, 5)
+
+
+@query("H11_removal_curve", *NE)
+def _(n, e):
+    return B.removal_curve(n, e, n_steps=2)
+
+
+@query("H11_removal_static", *NE)
+def _(n, e):
+    return B.removal_curve(n, e, n_steps=3, adaptive=False)
+
+
+@query("H15_full_report", *NE)
+def _(n, e):
+    """Gatekeepers of the whole graph beside the first steps of its removal curve."""
+    bc = B.node_betweenness(P.path_counts(n, e))
+    top = B.gatekeepers(bc, n, e, 10).select(G, F.col("rank").alias("step"), "node_id", "betweenness", "degree")
+    curve = B.removal_curve(n, e, n_steps=1).select(G, F.col("step"), "removed_node", "efficiency", "resilience")
+    return top.join(curve, [G, "step"], "left")
+
+
+@query(
+    "J4_gap_candidates", *NE, recursive=True,
+    sql="+" + BOTH + COMP + """ SELECT a.graph_id, a.node_id AS a, b.node_id AS b, round(sqrt((a.pos_r - b.pos_r) * (a.pos_r - b.pos_r) + (a.pos_c - b.pos_c) * (a.pos_c - b.pos_c)), 6) AS dist
+        FROM fx_nodes a JOIN fx_nodes b ON a.graph_id = b.graph_id AND a.node_id < b.node_id JOIN c x ON x.g = a.graph_id AND x.x = a.node_id JOIN c y ON y.g = b.graph_id AND y.x = b.node_id
+        WHERE x.l <> y.l AND (a.pos_r - b.pos_r) * (a.pos_r - b.pos_r) + (a.pos_c - b.pos_c) * (a.pos_c - b.pos_c) BETWEEN 1 AND 2500""",
+)
+def _(n, e):
+    return L.gap_candidates(n, P.components(n, e), 50).select(G, "a", "b", "dist")
+
+
+# masks to graphs -----------------------------------------------------------------------------------------------------
+SQ = "(SELECT i, j FROM (SELECT unnest(range(-3, 4)) AS i) CROSS JOIN (SELECT unnest(range(-3, 4)) AS j) WHERE i * i + j * j <= 9)"
+CLS = f"""n AS (SELECT a.tile_id, a.r, a.c, count(b.r) AS nb FROM fx_skel a CROSS JOIN {OFF} o LEFT JOIN fx_skel b ON b.tile_id = a.tile_id AND b.r = a.r + i AND b.c = a.c + j GROUP BY 1, 2, 3),
+    cl AS MATERIALIZED (SELECT tile_id, r, c, nb, CASE WHEN nb > 2 THEN 'junction' WHEN nb = 1 THEN 'endpoint' ELSE 'arc' END AS class FROM n WHERE nb > 0)"""
+#: Components of the pixels px by their first pixel's code.
+BLOB = """, c(tile_id, x, l) USING KEY (tile_id, x) AS (SELECT tile_id, r * 1048576 + c, r * 1048576 + c FROM px UNION SELECT c.tile_id, q.r * 1048576 + q.c, min(c.l) FROM c
+    JOIN px q ON q.tile_id = c.tile_id AND q.r BETWEEN c.x // 1048576 - 1 AND c.x // 1048576 + 1 AND q.c BETWEEN c.x % 1048576 - 1 AND c.x % 1048576 + 1
+    LEFT JOIN recurring.c z ON z.tile_id = c.tile_id AND z.x = q.r * 1048576 + q.c WHERE z.l > c.l GROUP BY 1, 2)"""
+
+
+def _square(px):
+    return px.select("tile_id").distinct().select("tile_id", F.lit(64).alias("h"), F.lit(64).alias("w"))
+
+
+@query(
+    "G1_closing", "fx_skel",
+    sql=f"""+d AS MATERIALIZED (SELECT DISTINCT tile_id, r + i AS r, c + j AS c FROM fx_skel CROSS JOIN {SQ} WHERE r + i BETWEEN 0 AND 63 AND c + j BETWEEN 0 AND 63)
+        SELECT d.tile_id, d.r, d.c FROM d CROSS JOIN {SQ} o LEFT JOIN d q ON q.tile_id = d.tile_id AND q.r = d.r + i AND q.c = d.c + j GROUP BY 1, 2, 3
+        HAVING count(*) FILTER (d.r + i BETWEEN 0 AND 63 AND d.c + j BETWEEN 0 AND 63 AND q.r IS NULL) = 0""",
+)
+def _(skel):
+    return K.closing(skel, _square(skel))
+
+
+@query("G2_thinning", "fx_skel")
+def _(skel):
+    return K.thin(K.closing(skel, _square(skel)))
+
+
+@query("G3_classify", "fx_skel", sql="+" + CLS + " SELECT * FROM cl")
+def _(skel):
+    return K.classify(skel)
+
+
+@query("G4_junction_clusters", "fx_skel", sql="+" + CLS + ", px AS MATERIALIZED (SELECT * FROM cl WHERE class = 'junction')" + BLOB + " SELECT tile_id, x // 1048576 AS r, x % 1048576 AS c, l AS blob FROM c", recursive=True)
+def _(skel):
+    return K.junction_clusters(K.classify(skel))
+
+
+REP = """, m AS (SELECT tile_id, l AS blob, CAST(round_even(avg(x // 1048576), 0) AS BIGINT) AS r, CAST(round_even(avg(x % 1048576), 0) AS BIGINT) AS c FROM c GROUP BY 1, 2),
+    rp AS (SELECT m.tile_id, m.blob, s.r AS pos_r, s.c AS pos_c FROM m JOIN fx_skel s ON s.tile_id = m.tile_id AND s.r BETWEEN m.r - 3 AND m.r + 3 AND s.c BETWEEN m.c - 3 AND m.c + 3
+    QUALIFY row_number() OVER (PARTITION BY m.tile_id, m.blob ORDER BY (s.r - m.r) * (s.r - m.r) + (s.c - m.c) * (s.c - m.c), s.r, s.c) = 1)"""
+
+
+@query("G5_representatives", "fx_skel", sql="+" + CLS + ", px AS MATERIALIZED (SELECT * FROM cl WHERE class = 'junction')" + BLOB + REP + " SELECT * FROM rp", recursive=True)
+def _(skel):
+    return K.representatives(K.junction_clusters(K.classify(skel)), skel)
+
+
+@query("G6_trace_arcs", "fx_skel")
+def _(skel):
+    cls = K.classify(skel)
+    return K.trace_arcs(cls, K.junction_clusters(cls))[0]
+
+
+@query("G7_assemble", "fx_skel")
+def _(skel):
+    return K.skeleton_graph(skel, 3.0, paths=False)[1].select(G, "u", "v", "w", "n_card", "n_diag")
+
+
+@query("G8_ring_anchor", "fx_skel", sql="+" + CLS + ", px AS MATERIALIZED (SELECT * FROM cl)" + BLOB + " SELECT c.tile_id AS graph_id, l AS node_id, l // 1048576 AS pos_r, l % 1048576 AS pos_c, 'junction' AS kind FROM c JOIN cl ON cl.tile_id = c.tile_id AND cl.r = x // 1048576 AND cl.c = x % 1048576 GROUP BY c.tile_id, l HAVING bool_and(class = 'arc')", recursive=True)
+def _(skel):
+    return K.ring_anchor(K.classify(skel))
+
+
+def _with_paths(n, e):
+    """Edges with straight paths between their nodes."""
+    at = lambda k: n.select(G, F.col("node_id").alias(k), F.col("pos_r").alias(f"r{k}"), F.col("pos_c").alias(f"c{k}"))
+    both = e.join(at("u"), [G, "u"]).join(at("v"), [G, "v"])
+    return both.withColumn("path", T.straight_path(F.col("ru"), F.col("cu"), F.col("rv"), F.col("cv"))).select(G, "u", "v", "w", "path").withColumn("w_q", F.col("w") * 1000000).withColumn("synthetic", F.lit(False)).withColumn("healing_cost", F.lit(None).cast("double"))
+
+
+@query("G9_tangents", *NE)
+def _(n, e):
+    return L.tangents(n, _with_paths(n, e)).select(G, "node_id", F.col("tangent.r").alias("r"), F.col("tangent.c").alias("c"))
+
+
+@query("G10_bridge_costs", *NE)
+def _(n, e):
+    return L.bridge_costs(L.gap_candidates(n, P.components(n, e), 50), L.tangents(n, _with_paths(n, e))).select(G, "a", "b", "dist", "cost")
+
+
+@query("G11_heal", *NE)
+def _(n, e):
+    return L.heal(n, _with_paths(n, e), 50).filter("synthetic").select(G, "u", "v", "w", "healing_cost", F.size("path").alias("n_path"))
+
+
+@query("G12_heal_stats", *NE)
+def _(n, e):
+    return L.heal_stats(n, L.heal(n, _with_paths(n, e), 50))
+
+
+@query("G13_mask_to_graph", "fx_lines")
+def _(lines):
+    mask = T.rasterize(_segments(lines), 2, 64)
+    _, edges, _ = L.mask_to_graph(mask, _square(mask), prune=3, max_gap=10)
+    return edges.select(G, "u", "v", "w", "synthetic", "healing_cost", F.size("path").alias("n_path"))
+
+
+PIX = """+px AS (SELECT e.graph_id, e.u, e.v, t, CAST(round_even(CAST(a.pos_r + (b.pos_r - a.pos_r) * t / (k - 1) AS DOUBLE), 0) AS BIGINT) AS r, CAST(round_even(CAST(a.pos_c + (b.pos_c - a.pos_c) * t / (k - 1) AS DOUBLE), 0) AS BIGINT) AS c FROM
+    (SELECT e.*, CAST(greatest(2, ceil(sqrt((a.pos_r - b.pos_r) * (a.pos_r - b.pos_r) + (a.pos_c - b.pos_c) * (a.pos_c - b.pos_c)))) AS BIGINT) AS k FROM fx_edges e JOIN fx_nodes a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN fx_nodes b ON b.graph_id = e.graph_id AND b.node_id = e.v) e
+    JOIN fx_nodes a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN fx_nodes b ON b.graph_id = e.graph_id AND b.node_id = e.v JOIN (SELECT unnest(range(800)) AS t) ON t < k),
+    ep AS (SELECT graph_id, u, v, r, c FROM px WHERE r < 256 AND c < 256)"""
+
+
+def _edge_pixels(n, e):
+    tiles = n.select(F.col(G).alias("tile_id")).distinct().select("tile_id", F.lit(256).alias("h"), F.lit(256).alias("w"))
+    return I.edge_pixels(_with_paths(n, e), tiles)
+
+
+@query("J8_edge_pixels", *NE, sql=PIX + " SELECT * FROM ep")
+def _(n, e):
+    return _edge_pixels(n, e)
+
+
+@query("A12_criticality_raster", *NE, sql=PIX + ", m AS (SELECT graph_id, max(w) AS top FROM fx_edges GROUP BY 1) SELECT graph_id, r, c, round(max(w / top), 6) AS crit FROM ep JOIN fx_edges USING (graph_id, u, v) JOIN m USING (graph_id) GROUP BY 1, 2, 3")
+def _(n, e):
+    return I.criticality_raster(_edge_pixels(n, e), e.withColumn("betweenness", F.col("w").cast("double")))
+
+
+@query("A13_destroyed_raster", *NE, sql=PIX + " SELECT DISTINCT graph_id, r, c FROM ep WHERE (u + v) % 7 = 0")
+def _(n, e):
+    return I.destroyed_raster(_edge_pixels(n, e), e.filter("(u + v) % 7 = 0"))
+
+
+@query(
+    "A8_connectivity_boost", "fx_nodes", "fx_edges", recursive=True,
+    sql="+" + BOTH + COMP + BIG + """, ew AS (SELECT * FROM e WHERE w > 10), c2(g, x, l) USING KEY (g, x) AS (SELECT graph_id, node_id, node_id FROM fx_nodes UNION SELECT c2.g, ew.v, min(c2.l) FROM c2 JOIN ew ON c2.g = ew.g AND c2.x = ew.u
+        LEFT JOIN recurring.c2 r ON r.g = c2.g AND r.x = ew.v WHERE r.l > c2.l GROUP BY 1, 2), b2 AS (SELECT g, max(size) AS pre FROM (SELECT g, l, count(*) AS size FROM c2 GROUP BY 1, 2) GROUP BY 1)
+        SELECT g AS graph_id, round((size - pre) / pre * 100, 6) AS boost FROM b JOIN b2 USING (g)""",
+)
+def _(n, e):
+    size = lambda x: P.largest_component(P.components(n, x)).select(G, "size")
+    return I.connectivity_boost(size(e.filter("w > 10")), size(e))
+
+
+@query(
+    "A9_path_error", "fx_nodes", "fx_edges", recursive=True,
+    sql="+" + BOTH + DIST + """, ew AS (SELECT * FROM e WHERE w > 5), k(g, s, x, d) USING KEY (g, s, x) AS (SELECT graph_id, node_id, node_id, CAST(0 AS BIGINT) FROM fx_nodes UNION SELECT k.g, k.s, ew.v, min(k.d + ew.w) FROM k JOIN ew ON k.g = ew.g AND k.x = ew.u
+        LEFT JOIN recurring.k r ON r.g = k.g AND r.s = k.s AND r.x = ew.v WHERE r.d IS NULL OR r.d > k.d + ew.w GROUP BY 1, 2, 3),
+        q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 64 AS b FROM fx_nodes WHERE node_id % 9 = 0), x AS (SELECT q.graph_id, CASE WHEN k.d IS NULL THEN 1 ELSE least(1, abs(k.d - dd.d) / dd.d) END AS err
+            FROM q JOIN dd ON dd.g = graph_id AND dd.s = a AND dd.x = b LEFT JOIN k ON k.g = graph_id AND k.s = a AND k.x = b WHERE dd.d >= 1e-5)
+        SELECT n.graph_id, round(coalesce(avg(err), 0), 6) AS path_error FROM (SELECT DISTINCT graph_id FROM fx_nodes) n LEFT JOIN x USING (graph_id) GROUP BY 1""",
+)
+def _(n, e):
+    pairs = n.filter("node_id % 9 = 0").select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 64).alias("b"))
+    return I.path_error((n, e), (n, e.filter("w > 5")), pairs)
