@@ -74,6 +74,13 @@ def pieces(doc: np.ndarray, texts: list[str], window: int = WINDOW, anchor: int
     return [g[at[head]], runs(h, head, n + window - 1), doc[own[head]], head - base[own[head]], n]
 
 
+def _once(*cols: np.ndarray) -> list[np.ndarray]:
+    """Sorted rows without repeats, which come from rows that repeat a document."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols])
+    return [x[new] for x in cols]
+
+
 def _batch(cols: list[np.ndarray], done: np.ndarray) -> pa.RecordBatch:
     a, w, d, s, n = cols
     return pa.RecordBatch.from_arrays(
@@ -107,6 +114,7 @@ def _cut(window: int, anchor: int):
             a, w, d, s, n = pieces(b.column(0).to_numpy(), b.column(1).to_pylist(), window, anchor)
             order = np.lexsort((s, d, w, a))
             a, w, d, s, n = (x[order] for x in (a, w, d, s, n))
+            a, w, d, s, n = _once(a, w, d, s, n)
             again = np.zeros(len(a), bool)
             again[1:] = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
             yield _batch([x[~again] for x in (a, w, d, s, n)], np.zeros((~again).sum(), bool))
@@ -129,6 +137,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held:
             a, w, d, s, n = (np.concatenate([np.array([x], np.int64), y]) for x, y in zip(held[0], (a, w, d, s, n), strict=True))
+        a, w, d, s, n = _once(a, w, d, s, n)
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
         yield _repeats(d[~first], s[~first], n[~first])
@@ -181,8 +190,10 @@ def earliest(doc: np.ndarray, start: np.ndarray, texts: list[list[bytes]], windo
     length, place = index.matching(text, end, size, window)
     own = np.repeat(np.arange(len(texts)), size + 1)
     at_doc, at_start = doc[own], start[own] + np.arange(len(text)) - (end - size)[own]
+    order = np.lexsort((at_start, at_doc))
+    later = (np.diff(at_doc[order]) != 0) | (np.diff(at_start[order]) != 0)
     rank = np.empty(len(text), np.int64)
-    rank[np.lexsort((at_start, at_doc))] = np.arange(len(text))
+    rank[order] = np.concatenate([[0], np.cumsum(later)])  # the same place has the same rank
     low, _ = index.group(window)
     heads = np.unique(low)
     first = np.empty(len(text), np.int64)
