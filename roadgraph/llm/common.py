@@ -29,10 +29,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="roadgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="roadgraph-"))
+        found = context.getCheckpointDir()
     return found
 
 
