@@ -236,12 +236,12 @@ def _members(k: int):
 
 
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, c = common indexed tokens, sure) that can be linked: what lies beyond the prefixes
-    can add at most the rest of the smaller set."""
+    """Pairs (a, b, na, nb, c = common indexed tokens, sure) that can be linked. Other common tokens all lie beyond the
+    prefix that ends first in the order of tokens. That may be either set's, so the longer rest bounds them."""
     need = lambda n: F.ceil(percent * F.col(n) / 100).cast("long")
     prefix = lambda n: F.least(F.col(n).cast("long"), F.col(n) - need(n) + 1 + F.floor(F.col(n) / 50))
     want = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    rest = F.least(F.col("na") - prefix("na"), F.col("nb") - prefix("nb"))
+    rest = F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb"))
     sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     return pairs.filter(sizes & (F.col("sure") | (F.col("c") + rest >= want)))
 

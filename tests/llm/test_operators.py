@@ -232,6 +232,20 @@ def test_set_join_of_many_near_copies(spark):
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_groups(texts)
 
 
+def test_set_join_of_copies_with_additions(spark):
+    """Each text has one copy with words that occur nowhere else, appended, inserted or in the place of others."""
+    texts = []
+    for n in (97, 200, 500):
+        for percent in range(1, 11):
+            new = [f"new{n}x{percent}x{i}" for i in range(max(1, n * percent // 100))]
+            for how in ("append", "insert", "replace"):
+                own = prose(n).split()
+                at = n if how == "append" else n // 2
+                texts += [" ".join(own), " ".join(own[:at] + [f"{how}{x}" for x in new] + own[at + (len(new) if how == "replace" else 0) :])]
+    got = by_id(set_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_groups(texts)
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = quality.op4_quality(spark, DATA).join(labels, "doc_id").filter("held_out").toPandas()
