@@ -6,7 +6,7 @@ the number of bins of a one-permutation MinHash, so that a bin holds about one s
 bits of a shingle's hash are its bin; the bin's minimum is kept. An item's signature is made for every partition
 that occurs. A text is a candidate if it shares a bin minimum with an item: for an item of q shingles of which
 0.8 q are in the text, all minima differ with a chance below 0.4 ** (0.8 q). Items with few shingles are looked
-up by all shingles of the texts' signatures and remaining shingles, which leaves no chance.
+up by all shingles of the texts, minima or not, which leaves no chance.
 
 Candidates are then checked exactly: the text's distinct shingles against the item's.
 
@@ -26,6 +26,8 @@ CONTAINMENT = 0.8
 SHORT_ITEM = 24
 #: Signature rows of all items up to which they are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Stands in a key for the partition where a shingle is not its bin's minimum; no text has so many shingles.
+NO_MINIMUM = 63
 
 
 def words(text: Column) -> Column:
@@ -49,17 +51,32 @@ def partition_bits(n: Column) -> Column:
     return F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")
 
 
-def signature() -> Column:
-    """Minima of 2 ** bits bins of the columns s and bits. As s is sorted, it is in order of bin, then value."""
+def _is_minimum(x: Column, i: Column) -> Column:
+    """Whether place i of the column s, which is sorted and so in order of bin, then value, starts one of 2 ** bits bins."""
     s, bits = F.col("s"), F.col("bits")
     by = lambda x: F.call_function("shiftright", x, F.lit(64) - bits)
-    return F.filter(s, lambda x, i: (i == 0) | (bits > 0) & (by(x) != by(F.get(s, i - 1))))
+    return (i == 0) | (bits > 0) & (by(x) != by(F.get(s, i - 1)))
+
+
+def signature() -> Column:
+    """Minima of 2 ** bits bins of the columns s and bits."""
+    return F.filter("s", _is_minimum)
+
+
+def _key(x: Column, bits: Column) -> Column:
+    """The hash with the partition in place of its lowest six bits."""
+    return x.bitwiseAND(F.lit(-64)).bitwiseOR(bits.cast("long"))
 
 
 def _keyed(hashes: Column) -> Column:
-    """The hashes with the partition in place of their lowest six bits: one join key, made by the generator, so
-    that no filter on it can be pushed below the shingling and repeat that work."""
-    return F.transform(hashes, lambda x: x.bitwiseAND(F.lit(-64)).bitwiseOR(F.col("bits").cast("long")))
+    """One join key for each hash, made by the generator, so that no filter on it can be pushed below the shingling
+    and repeat that work."""
+    return F.transform(hashes, lambda x: _key(x, F.col("bits")))
+
+
+def _all_keyed() -> Column:
+    """Keys of all of s: a bin's minimum has its partition, any other shingle NO_MINIMUM."""
+    return F.transform("s", lambda x, i: _key(x, F.when(_is_minimum(x, i), F.col("bits")).otherwise(F.lit(NO_MINIMUM))))
 
 
 def _each(array: str) -> Column:
@@ -80,13 +97,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINME
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sizes = F.size("s")
     ones = with_shingles(own).select("doc_id", "s", partition_bits(sizes).alias("bits"))
-    sketch = ones.select("doc_id", F.explode(_keyed(signature())).alias("key"))
-
-    # every partition from 2 ** 0 to 2 ** 40 shingles; long items only need their minima
-    wanted = item_set.select("item_id", "s", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("bits")).select(
-        "item_id", F.explode(_keyed(F.when(sizes < SHORT_ITEM, F.col("s")).otherwise(signature()))).alias("key")
+    short = sizes < SHORT_ITEM
+    any_short = not item_set.filter(short).isEmpty()
+    sketch = ones.select("doc_id", F.explode(_all_keyed() if any_short else _keyed(signature())).alias("key"))
+
+    # every partition from 2 ** 0 to 2 ** 40 shingles; long items only need their minima, short ones also meet what is none
+    every = F.sequence(F.lit(0), F.lit(40))
+    wanted = item_set.select("item_id", "s", F.explode(F.when(short, F.concat(every, F.array(F.lit(NO_MINIMUM)))).otherwise(every)).alias("bits")).select(
+        "item_id", F.explode(_keyed(F.when(short, F.col("s")).otherwise(signature()))).alias("key")
     )
-    n_wanted = hashed.count() * 41
+    n_wanted = hashed.count() * 42
     small = n_wanted <= BROADCAST_ROWS
     wanted = F.broadcast(wanted) if small else wanted
     pairs = sketch.join(wanted, "key").select("doc_id", "item_id").distinct()

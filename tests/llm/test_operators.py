@@ -184,6 +184,16 @@ def test_decontamination(spark, docs):
     assert [(r.doc_id, r.n_shared) for r in decontamination.contaminated(near, items.filter("item_id = 1")).collect()] == [(2, 56)]
 
 
+def test_decontamination_by_short_items(spark):
+    """Every text holds one item of 5 to 10 words, at a place of its own."""
+    parts = {n: prose(n) for n in range(5, 11)}
+    rows = [(n_words * 1000 + n * 100 + i, prose(n_words // 3) + " " + part + " " + prose(n_words)) for n_words in (500, 1000, 20_000) for n, part in parts.items() for i in range(8 if n_words < 5000 else 2)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    long_item = (99, prose(200))
+    got = decontamination.contaminated(texts, spark.createDataFrame([*parts.items(), long_item], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.containment for r in got} == {(i, i % 1000 // 100 or 10): 1.0 for i, _ in rows}
+
+
 def brute_dedup(texts):
     norm = {i: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r") for i, t in enumerate(texts)}
     groups = {}
