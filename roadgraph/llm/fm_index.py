@@ -47,18 +47,20 @@ class Wavelet:
 class FMIndex:
     """Index over a text of word ids from 1; 0 separates documents and is in no query.
 
-    Suffixes are ordered by their first 32 words, which is exact for every search of up to 31 words.
+    Suffixes are ordered by their first words, 32 or the next power of two above most, which is exact for every
+    search of up to most words.
     """
 
     DEPTH = 32
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, most: int = DEPTH - 1):
         n = len(text)
+        self.depth = max(self.DEPTH, 1 << most.bit_length())
         self.n = n
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
         self.ranks = {1: rank}
         k = 1
-        while k < self.DEPTH:
+        while k < self.depth:
             ahead = np.zeros(n, np.int64)
             ahead[: n - k] = rank[k:] if k < n else ahead[:0]
             rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
@@ -73,11 +75,11 @@ class FMIndex:
         self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _lcp(self) -> np.ndarray:
-        """Common words of neighbours in suffix order, up to DEPTH - 1."""
+        """Common words of neighbours in suffix order, up to depth - 1."""
         a, b = self.sa[1:], self.sa[:-1]
         out = np.zeros(max(0, self.n - 1), np.int64)
-        for k in sorted((k for k in self.ranks if k < self.DEPTH), reverse=True):
-            rank = np.concatenate([self.ranks[k], np.zeros(self.DEPTH, np.int64)])
+        for k in sorted((k for k in self.ranks if k < self.depth), reverse=True):
+            rank = np.concatenate([self.ranks[k], np.zeros(self.depth, np.int64)])
             out += np.where((rank[a + out] == rank[b + out]) & (rank[a + out] > 0), k, 0)
         return np.concatenate([np.zeros(min(1, self.n), np.int64), out])
 

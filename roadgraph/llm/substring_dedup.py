@@ -186,7 +186,7 @@ def earliest(doc: np.ndarray, start: np.ndarray, texts: list[list[bytes]], windo
     where = np.ones(len(text), bool)
     where[end] = False
     text[where] = flat
-    index = FMIndex(text)
+    index = FMIndex(text, window)
     length, place = index.matching(text, end, size, window)
     own = np.repeat(np.arange(len(texts)), size + 1)
     at_doc, at_start = doc[own], start[own] + np.arange(len(text)) - (end - size)[own]

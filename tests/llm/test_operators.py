@@ -135,6 +135,14 @@ def test_substring_dedup_of_many_mutations(spark):
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts, 20)
 
 
+@pytest.mark.parametrize("window", [32, 50])
+def test_substring_dedup_of_wide_windows(spark, window):
+    base = prose(400)
+    texts = [" ".join(w if random.random() > 0.01 else random.choice(VOCAB) for w in base.split()) for _ in range(40)]
+    got = by_id(substring_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), window=window, shard_words=2000))
+    assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts, window)
+
+
 def test_matching_statistics():
     import numpy as np
 
