@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six.
 BLANKS = r"\x20\x09-\x0D"
-#: Rows that one Arrow batch hands to Python. Texts are long, so the default of 10,000 needs too much memory.
+#: Rows and bytes that one Arrow batch hands to Python, whichever limit is met first; one longer row is a batch of its own.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session where nobody has set them."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the Arrow batches of this session where nobody has set them. The setting stays, as plans read it when they run."""
+    limits = {"maxRecordsPerBatch": ("10000", ARROW_ROWS), "maxBytesPerBatch": ("67108864b", ARROW_BYTES)}
+    for name, (usual, ours) in limits.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", usual) == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="roadgraph-"))
         found = context.getCheckpointDir()
     return found
@@ -63,6 +68,21 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """16 bytes that tell rows apart by id and text; null ids and null texts have keys as well. Rows with equal keys are
+    the same document for every operator here: they differ in other columns at most."""
+    known = F.when(id_.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), id_.cast("string"), F.lit(" ")))
+    return F.unhex(F.md5(F.concat(known, text_of(text)).cast("binary")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id written as text, as the folds use it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join that skips work by relations between sets, and the groups that its links form.
 
-A set is a document's distinct shingle hashes. Equal sets are one class; only its first document goes on.
+A set is a document's distinct shingle hashes. Equal sets are one class; only classes are compared.
 
 Index. All tasks share one order of shingles: by how often a bucket of shingles occurs in the corpus (a table
 of fixed size, counted over all documents), then by hash. Two linked sets must share tokens among their first
@@ -8,12 +8,15 @@ few in this order, so only these are indexed. Every list of the index is sorted
 skip pointers end a set's scan at the first partner that is too large, and partners whose positions leave too
 little room are passed over.
 
-Answers. First only one document of every list, its leader (the set with most copies), is compared. Linked sets fall into groups at
-once. Then the other pairs are looked at, but only those between groups, and what is known about both sets'
-overlap with a common leader bounds theirs: too small a bound skips the pair, a large enough one links it
-without a comparison. A sketch of every set holds the parities of its hashes in 256 slots; two sketches differ in
-no more slots than their sets differ in tokens, which skips further pairs. Every other pair with enough common
-tokens is compared in full.
+Answers. First only one class of every list, its leader (of those with most copies), is compared with the others.
+Linked sets fall into groups at once, and a list whose members are all in one group is done: it never reaches the
+next step, so a group of near copies costs no more than a comparison with its leader each. Of the other lists only
+pairs between groups are formed, list by list; long lists are parted into blocks, and every pair of blocks is a
+cell of its own. What is known about both sets' overlap with a common leader bounds theirs: too small a bound
+skips the pair, a large enough one links it. A sketch of every set holds the parities of its hashes in 256 slots;
+two sketches differ in no more slots than their sets differ in tokens, which skips further pairs. The overlap of
+two sets with a common leader is then derived from the leader's answers, by what each of them lacks of the leader
+and has beyond it; only pairs without one are compared in full.
 
 Passages that very many documents share come last in the order, so their lists are short or hold near copies.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from roadgraph.operators.components import component_labels
 
-from .common import gathered, small_batches, stored, table, text_of
+from .common import gathered, row_key, small_batches, stored, table, text_of
 from .wordhash import grams, hashes, mixed, split
 
 SHINGLE_WORDS = 3
@@ -39,12 +42,17 @@ PERCENT = 90
 BUCKET_BITS = 20
 SLICES = 64
 NARROW = 50_000
-POSTINGS = "leader long, token long, doc long, n int, pos int"
+#: Members of a list that meet in one cell; longer lists are parted into blocks of about half of it.
+CELL = 8_192
 #: Slots of a set's sketch, 64 to a column.
 SKETCH = ["k0", "k1", "k2", "k3"]
-PAIRS = "a long, b long, na int, nb int, sure boolean, c long"
-#: Pairs that a task holds before it counts and emits them.
+CELLS = ["token", "i", "j", "block", "class", "n", "pos", "group", "lead", "shared", "n_lead", *SKETCH]
+PAIRS = "a long, b long, na int, nb int, lead long, sure boolean, c long"
+#: Pairs that a task looks at, and that it holds before it counts and emits them, at once.
+SEEN_PAIRS = 500_000
 HELD_PAIRS = 2_000_000
+#: A class number takes the lower bits of a leader's rank.
+CLASS_BITS = 57
 
 
 def shingle_set(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -133,88 +141,107 @@ def _index(k: int, percent: int, levels: np.ndarray):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(flat.view(np.int64)))
             sketches = [pa.array(x) for x in _sketches(sets).T]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, *sketches], names=["doc", "n", "d1", "d2", "prefix", *SKETCH]
+                [b.column(0), b.column(2), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, *sketches],
+                names=["doc_id", "row_key", "n", "d1", "d2", "prefix", *SKETCH],
             )
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of whole groups of rows with one key, some at a time; rows come sorted by it."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole cells (token, i, j), some at a time; rows come sorted by them. cell: numbers them."""
     rest: dict[str, np.ndarray] | None = None
     for b in gathered(batches, NARROW):
-        own = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+        own = {k: b.column(k).to_numpy(zero_copy_only=False) for k in CELLS}
         if rest:
-            own = {k: np.concatenate([rest[k], own[k]]) for k in names}
-        t = own[key]
-        cut = int(np.searchsorted(t, t[-1], side="left")) if len(t) else 0
+            own = {k: np.concatenate([rest[k], own[k]]) for k in CELLS}
+        if not len(own["token"]):
+            continue
+        new = np.concatenate([[True], np.logical_or.reduce([own[k][1:] != own[k][:-1] for k in ("token", "i", "j")])])
+        cut = int(np.flatnonzero(new)[-1])
         rest = {k: v[cut:] for k, v in own.items()}
         if cut:
-            yield {k: v[:cut] for k, v in own.items()}
-    if rest and len(rest[key]):
-        yield rest
-
-
-def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops lists of one document; adds to every row the leader of its list: the set with most copies, then the least document."""
-    for c in _lists(batches, "token", ["token", "doc", "n", "pos", "copies"]):
-        t = c["token"]
-        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        size = np.diff(np.append(head, len(t)))
-        most = c["copies"] == np.repeat(np.maximum.reduceat(c["copies"], head), size)
-        leader = np.repeat(np.minimum.reduceat(np.where(most, c["doc"], np.iinfo(np.int64).max), head), size)
-        keep = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (leader, t, c["doc"], c["n"], c["pos"])], names=["leader", "token", "doc", "n", "pos"])
+            yield {k: v[:cut] for k, v in own.items()} | {"cell": np.cumsum(new[:cut]) - 1}
+    if rest:
+        yield rest | {"cell": np.zeros(len(rest["token"]), np.int64)}
 
 
 def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Each pair once, with the number of lists it was found in."""
-    a, b, na, nb, sure = (np.concatenate(x) for x in zip(*held, strict=True))
+    a, b, na, nb, lead, sure = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((b, a))
-    a, b, na, nb, sure = (x[order] for x in (a, b, na, nb, sure))
+    a, b, na, nb, lead, sure = (x[order] for x in (a, b, na, nb, lead, sure))
     head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    cols = [a[head], b[head], na[head].astype(np.int32), nb[head].astype(np.int32), np.maximum.reduceat(sure, head), np.diff(np.append(head, len(a)))]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "na", "nb", "sure", "c"])
+    cols = [a[head], b[head], na[head].astype(np.int32), nb[head].astype(np.int32), lead[head], np.maximum.reduceat(sure, head), np.diff(np.append(head, len(a)))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "na", "nb", "lead", "sure", "c"])
+
+
+def _in_main(cell: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether a row is of its cell's largest group."""
+    order = np.lexsort((group, cell))
+    c, g = cell[order], group[order]
+    head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])]))
+    size = np.diff(np.append(head, len(c)))
+    best = np.lexsort((-size, c[head]))  # the largest run of every cell comes first
+    first = best[np.concatenate([[True], c[head][best][1:] != c[head][best][:-1]])]
+    main = np.zeros(len(cell), bool)
+    main[order] = np.repeat(np.isin(np.arange(len(head)), first), size)
+    return main
+
+
+def _ranges(left: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of left[x] with every number from low[x] to high[x] - 1, at most about SEEN_PAIRS at once."""
+    count = np.maximum(high - low, 0)
+    ends = np.cumsum(count)
+    x = 0
+    while x < len(left):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + SEEN_PAIRS, side="right")))
+        some = count[x:y]
+        total = int(some.sum())
+        if total:
+            step = np.arange(total) - np.repeat(np.cumsum(some) - some, some)
+            yield np.repeat(left[x:y], some), np.repeat(low[x:y], some) + step
+        x = y
+
+
+def between_groups(c: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of pairs in one cell that sizes allow, but for those of two members of the cell's largest group.
+    Rows are sorted by cell, then n."""
+    n, cell = c["n"].astype(np.int64), c["cell"]
+    wide = int(n.max()) + 2
+    # skip pointers: beyond the last partner of a list that is not too large
+    reach = np.searchsorted(cell * wide + n, cell * wide + np.minimum(n * 100 // percent, wide - 1), side="right")
+    main = _in_main(cell, c["group"])
+    at = np.flatnonzero(~main)
+    yield from _ranges(at, at + 1, reach[at])
+    own = np.flatnonzero(main)
+    for i, k in _ranges(own, np.searchsorted(at, own), np.searchsorted(at, reach[own])):
+        yield i, at[k]
 
 
 def _pairs(percent: int):
-    """Pairs of different groups in a list that sizes, positions, known overlaps and sketches allow. Lists with one leader, which
-    mostly hold the same near copies, come together, so a pair in many of them is emitted once."""
+    """Pairs of different groups in a cell that sizes, positions, known overlaps and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _lists(batches, "leader", ["leader", "token", "doc", "n", "pos", "group", "lead", "shared", "n_lead", *SKETCH]):
-            n = c["n"].astype(np.int64)
-            pos = c["pos"].astype(np.int64)
-            head = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1]]))
-            own = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(n))))
-            # skip pointers: the last partner of a list that is not too large
-            wide = int(n.max()) + 2
-            reach = np.searchsorted(own * wide + n, own * wide + np.minimum(n * 100 // percent, wide - 1), side="right") - 1
-            i, d = np.arange(len(n)), 0
+        for c in _cells(batches):
+            n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
             held: list[tuple[np.ndarray, ...]] = []
-            while True:
-                d += 1
-                i = i[i + d <= reach[i]]
-                if not len(i):
-                    break
-                j = i + d
+            for i, j in between_groups(c, percent):
+                ok = (c["group"][i] != c["group"][j]) & ((c["i"][i] == c["j"][i]) | (c["block"][i] != c["block"][j]))
+                i, j = i[ok], j[ok]
                 want = _both(n[i], n[j], percent)
                 room = np.minimum(n[i] - np.maximum(0, pos[i] - pos[j]), n[j] - np.maximum(0, pos[j] - pos[i]))
-                ok = (room >= want) & (c["group"][i] != c["group"][j]) & (c["doc"][i] != c["doc"][j])
-                a, b = i[ok], j[ok]
-                known = (c["lead"][a] == c["lead"][b]) & (c["lead"][a] >= 0)
-                sa, sb = c["shared"][a], c["shared"][b]
-                most = np.minimum(sa, sb) + np.minimum(n[a] - sa, n[b] - sb)
-                least = sa + sb - c["n_lead"][a]
-                sure = known & (least >= want[ok])
-                apart = sum(np.bitwise_count((c[x][a] ^ c[x][b]).view(np.uint64)).astype(np.int64) for x in SKETCH)
-                go = (~known | (most >= want[ok])) & (sure | (apart <= n[a] + n[b] - 2 * want[ok]))
-                a, b, sure = a[go], b[go], sure[go]
-                swap = c["doc"][a] > c["doc"][b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                if len(a):
-                    na, nb = np.where(swap, n[j[ok][go]], n[i[ok][go]]), np.where(swap, n[i[ok][go]], n[j[ok][go]])
-                    held.append((c["doc"][a], c["doc"][b], na, nb, sure))
+                known = (c["lead"][i] == c["lead"][j]) & (c["lead"][i] >= 0)
+                si, sj = c["shared"][i], c["shared"][j]
+                most = np.minimum(si, sj) + np.minimum(n[i] - si, n[j] - sj)
+                sure = known & (si + sj - c["n_lead"][i] >= want)
+                apart = sum(np.bitwise_count((c[x][i] ^ c[x][j]).view(np.uint64)).astype(np.int64) for x in SKETCH)
+                go = (room >= want) & (~known | (most >= want)) & (sure | (apart <= n[i] + n[j] - 2 * want))
+                i, j, sure, known = i[go], j[go], sure[go], known[go]
+                swap = c["class"][i] > c["class"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                if len(i):
+                    held.append((c["class"][i], c["class"][j], n[i], n[j], np.where(known, c["lead"][i], -1), sure))
                 if sum(len(x[0]) for x in held) > HELD_PAIRS:
                     yield _counted(held)
                     held = []
@@ -230,7 +257,7 @@ def _members(k: int):
             sets = [shingle_set(x, k) for x in b.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["class", "s"])
 
     return run
 
@@ -246,67 +273,127 @@ def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(sizes & (F.col("sure") | (F.col("c") + rest >= want)))
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b, na, nb, o): exact overlap of the given pairs. Only documents in a pair have their sets made."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stored(docs.join(ids.hint("merge"), docs["doc_id"] == ids["doc"], "left_semi").select("doc_id", "text").mapInArrow(_members(k), "doc long, s array<long>"), "join-sets").dropDuplicates(["doc"])
-    left, right = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
-    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(class, s) of the wanted classes, each made from the text of its first row; stored."""
+    rows = classes.select("class", F.col("first.row_key").alias("row_key")).join(wanted.select("class").distinct().hint("merge"), "class", "left_semi")
+    texts = docs.join(rows.hint("merge"), "row_key").select("row_key", "class", "text").dropDuplicates(["row_key"])  # rows may be repeated
+    return stored(texts.select("class", "text").mapInArrow(_members(k), "class long, s array<long>"), "join-sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class"))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, o, lacks, more): exact overlap of the given pairs, what b lacks of a and what it has beyond a.
+    The latter two only where they are small, null elsewhere."""
+    left, right = sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("both", F.array_intersect("sa", "sb"))
+    o = F.size("both")
+    near = 2 * o >= F.greatest("na", "nb")
+    return met.select(
+        "a", "b", "na", "nb", o.cast("long").alias("o"),
+        F.when(near, F.array_except("sa", "both")).alias("lacks"), F.when(near, F.array_except("sb", "both")).alias("more"),
+    )
+
+
+def _derived(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """(a, b, na, nb, o): overlaps of pairs with a common leader, from the differences of both with it."""
+    side = lambda x: compared.filter("lacks is not null").select(
+        F.col("a").alias("lead"), F.col("b").alias(x), F.col("na").alias("n_lead"), F.col("lacks").alias(f"lacks_{x}"), F.col("more").alias(f"more_{x}"))
+    met = pairs.filter("lead >= 0").join(side("a").hint("merge"), ["lead", "a"]).join(side("b").drop("n_lead").hint("merge"), ["lead", "b"])
+    o = F.col("n_lead") - F.size("lacks_a") - F.size("lacks_b") + F.size(F.array_intersect("lacks_a", "lacks_b")) + F.size(F.array_intersect("more_a", "more_b"))
+    return met.select("a", "b", "na", "nb", o.cast("long").alias("o"))
 
 
 def _linked(percent: int):
     return 100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))
 
 
-def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _led_lists(classes: DataFrame) -> DataFrame:
+    """(token, leader, class, n, pos) of all lists with several classes. The leader has most copies, in powers of four;
+    of equal ones it is the one with the least number."""
+    postings = classes.select("class", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
+    rank = F.shiftleft((F.lit(62 - CLASS_BITS) - F.least(F.lit(62 - CLASS_BITS), F.floor(F.log2("copies") / 2))).cast("long"), CLASS_BITS).bitwiseOR(F.col("class"))
+    least = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("rank")).filter("size > 1")
+    leads = least.select("token", F.col("rank").bitwiseAND(F.lit(2**CLASS_BITS - 1)).alias("leader"))
+    return postings.select("token", "class", "n", "pos").join(leads.hint("merge"), "token").select("token", "leader", "class", "n", "pos")
+
+
+def _open_cells(lists: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of lists that hold several groups, dealt into cells."""
+    group = F.coalesce("group", "class")
+    sizes = lists.join(groups, "class", "left").groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high"), F.count(F.lit(1)).alias("size"))
+    several = sizes.filter("low <> high").select("token", F.ceil(F.col("size") * 2 / CELL).cast("int").alias("blocks"))
+    parted = F.col("blocks") > 2  # two blocks are one cell
+    block = F.when(parted, F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(0).cast("int")
+    cell = lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j"))
+    others = F.sequence(F.lit(0), F.when(parted, F.col("blocks") - 1).otherwise(0))
+    met = lists.join(several.hint("merge"), "token").withColumn("block", block)
+    return met.withColumn("cell", F.explode(F.transform(others, cell))).select("token", "cell.i", "cell.j", "block", "class", "n", "pos").join(facts.hint("merge"), "class").select(*CELLS)
+
+
+def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (least document with the same set), n_links (links of its
     class that were compared or derived, copies not counted) and component_id (least document that links reach).
+    keyed adds row_key (see common.row_key) and first: whether the row is the one of its component with the least
+    doc_id, then the least row_key; rows equal to it in id and text are marked as well.
 
-    Null texts and texts without words have an empty set, are linked with nothing and are their own component.
-    Texts with fewer than k words have one shingle. Rows that repeat a doc_id must repeat its text. Null ids are
-    kept, but count as -2 ** 62 in component ids. Other columns are ignored; an empty table gives an empty result.
+    Null texts and texts without words have an empty set, are linked with nothing and are first of their own component.
+    Texts with fewer than k words have one shingle. Rows that repeat an id are documents of their own, as are rows
+    with a null id; a null id names a component only if all its documents have none. Other columns are ignored; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    null_id = -(2**62)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc_id"), text_of(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
     levels = frequency_levels(own, k)
-    index = stored(own.mapInArrow(_index(k, percent, levels), "doc long, n int, d1 long, d2 long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCH)), "join-index")
-    classes = index.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("copies"))
-    firsts = index.join(classes.select(F.col("class").alias("doc"), "copies").hint("merge"), "doc").dropDuplicates(["doc"])
-    postings = firsts.select("doc", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
-    met = postings.repartition("token").sortWithinPartitions("token", "n", "pos", "doc")
-    lists = stored(met.select("token", "doc", "n", "pos", "copies").mapInArrow(_lead, POSTINGS), "join-lists")
+    schema = f"doc_id {dict(own.dtypes)['doc_id']}, row_key binary, n int, d1 long, d2 long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
+    index = stored(own.mapInArrow(_index(k, percent, levels), schema), "join-index")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
+    classes = index.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("prefix", *SKETCH)))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "join-classes")
+    lists = stored(_led_lists(classes), "join-lists")
 
     # leaders first
-    led = lists.filter("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("nb"))
-    sizes = lists.filter("doc = leader").groupBy(F.col("doc").alias("a")).agg(F.first("n").alias("na"))
-    star = _enough(led.join(sizes, "a").withColumn("sure", F.lit(False)), percent).select("a", "b", "na", "nb")
-    compared = stored(_overlaps(own, stored(star, "join-star"), k), "join-compared")
+    led = lists.filter("class <> leader").groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("nb"))
+    star = led.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na")).hint("merge"), "a").withColumn("sure", F.lit(False))
+    star = stored(_enough(star, percent).select("a", "b", "na", "nb"), "join-star")
+    sets = _sets(own, classes, _ends(star), k)
+    compared = stored(_overlaps(star, sets), "join-compared")
     links = compared.filter(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = component_labels(links).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    groups = component_labels(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
 
     # what is left between groups
-    fact = lambda doc, lead, o, n, nl: compared.select(F.col(doc).alias("doc"), F.struct((F.col(o) / F.col(n)).alias("share"), F.col(lead).alias("lead"), F.col(o).cast("long").alias("shared"), F.col(nl).cast("long").alias("n_lead")).alias("f"))
-    facts = fact("b", "a", "o", "nb", "na").union(fact("a", "a", "na", "na", "na")).groupBy("doc").agg(F.max("f").alias("f"))
-    known = lists.join(firsts.select("doc", *SKETCH), "doc").join(groups, "doc", "left").join(facts, "doc", "left").select(
-        "leader", "token", "doc", "n", "pos", F.coalesce("group", "doc").alias("group"),
-        F.coalesce("f.lead", F.lit(-1)).alias("lead"), F.coalesce("f.shared", F.lit(0)).alias("shared"), F.coalesce("f.n_lead", F.lit(0)).alias("n_lead"), *SKETCH,
+    fact = lambda of, lead, o, n, nl: compared.select(F.col(of).alias("class"), F.struct((F.col(o) / F.col(n)).alias("share"), F.col(lead).alias("lead"), F.col(o).cast("long").alias("shared"), F.col(nl).cast("long").alias("n_lead")).alias("f"))
+    best = fact("b", "a", "o", "nb", "na").union(fact("a", "a", "na", "na", "na")).groupBy("class").agg(F.max("f").alias("f"))
+    facts = classes.select("class", *SKETCH).join(groups, "class", "left").join(best, "class", "left").select(
+        "class", F.coalesce("group", "class").alias("group"), F.coalesce("f.lead", F.lit(-1)).alias("lead"),
+        F.coalesce("f.shared", F.lit(0)).alias("shared"), F.coalesce("f.n_lead", F.lit(0)).alias("n_lead"), *SKETCH,
     )
-    across = known.repartition("leader").sortWithinPartitions("leader", "token", "n", "pos", "doc").mapInArrow(_pairs(percent), PAIRS)
-    counted = across.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("sure").alias("sure"))
-    open_pairs = stored(_enough(counted, percent).join(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-open")
-    rest = _overlaps(own, open_pairs.filter("not sure").select("a", "b", "na", "nb"), k).filter(_linked(percent))
-    edges = stored(links.union(rest.select("a", "b")).union(open_pairs.filter("sure").select("a", "b")), "join-links")
-
-    labels = component_labels(edges).select(F.col("node").alias("class"), F.col("component").alias("component_id"))
+    cells = _open_cells(lists, facts, groups).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "class")
+    across = cells.mapInArrow(_pairs(percent), PAIRS)
+    counted = across.groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "lead")), F.max("sure").alias("sure"))
+    met = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_pairs = stored(_enough(counted, percent).join(met.hint("merge"), ["a", "b"], "left_anti"), "join-open")
+    todo = open_pairs.filter("not sure")
+    derived = stored(_derived(todo, compared), "join-derived")
+    rest = todo.join(derived.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    more = _sets(own, classes, _ends(rest).join(sets.select("class"), "class", "left_anti"), k)
+    plain = _overlaps(rest, sets.union(more)).select(derived.columns)
+    edges = stored(links.union(plain.union(derived).filter(_linked(percent)).select("a", "b")).union(open_pairs.filter("sure").select("a", "b")), "join-links")
+
+    labels = component_labels(edges).select(F.col("node").alias("class"), F.col("component"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    marks = stored(classes.join(labels, "class", "left").join(degree, "class", "left"), "join-classes")
-    members = index.select("doc", "n", "d1", "d2").join(marks, ["n", "d1", "d2"], "left")
+    marks = classes.select("n", "d1", "d2", "class", "first").join(labels, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    heads = marks.groupBy("component").agg(F.min("first").alias("head"))
+    marks = stored(marks.join(heads, "component").select("n", "d1", "d2", "first", "head", "n_links"), "join-marks")
+    members = index.select("doc_id", "row_key", "n", "d1", "d2").join(marks, ["n", "d1", "d2"], "left")
+    empty = F.col("n") == 0
     return members.select(
-        F.nullif("doc", F.lit(null_id)).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("class", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "class", "doc").alias("component_id"),
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(empty, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        *(["row_key", (empty | (F.col("row_key") == F.col("head.row_key"))).alias("first")] if keyed else []),
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers.
+#: Words whose hashes a worker remembers, and the longest of them in bytes: at most about 50 MB.
 CACHE = 400_000
+LONGEST = 64
 _seen: dict[bytes, int] = {}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -17,13 +18,19 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def _hash(word: bytes) -> int:
+    found = xxhash.xxh3_64_intdigest(word) or 1
+    if len(word) <= LONGEST:
+        if len(_seen) >= CACHE:
+            _seen.clear()
+        _seen[word] = found
+    return found
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
-    if len(_seen) > CACHE:
-        _seen.clear()
-    get, new = _seen.get, _seen.setdefault
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((get(w) or new(w, digest(w) or 1) for w in words), np.uint64, len(words))
+    get = _seen.get
+    return np.fromiter((get(w) or _hash(w) for w in words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -202,6 +202,25 @@ def test_decontamination_by_short_items(spark):
     assert {(r.doc_id, r.item_id): r.containment for r in got} == {(i, i % 1000 // 100 or 10): 1.0 for i, _ in rows}
 
 
+def shingles_of(text, k=5):
+    w = [x for x in __import__("re").split(r"[\W_]+", text.lower()) if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+@pytest.mark.parametrize("how", [{}, {"broadcast_rows": 0, "broadcast_texts": 0}])
+def test_decontamination_recall(spark, how):
+    """Items of 52 to 200 words of which texts of 100 to 20,000 words hold a share around 0.8: by broadcast and by shuffle."""
+    items = {n: prose(52 + n % 149) for n in range(300)}
+    rows = []
+    for n, item in items.items():
+        words = item.split()
+        parts = " ".join(words[: int(len(words) * random.uniform(0.78, 0.95))])
+        rows.append((n if n % 10 else None, prose(n) + " " + parts + " " + prose((100, 1000, 20_000)[n % 97 % 3] if n % 30 == 0 else 100)))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), **how).collect()}
+    want = {(rows[n][0], n) for n, item in items.items() if len(shingles_of(item) & shingles_of(rows[n][1])) >= 0.8 * len(shingles_of(item))}
+    assert len(want) > 200 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def brute_dedup(texts):
     norm = {i: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r") for i, t in enumerate(texts)}
     groups = {}
@@ -242,6 +261,42 @@ def test_set_join(docs):
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_groups(TEXTS)
 
 
+def test_set_join_of_repeated_and_null_ids(spark):
+    """Rows with one id, or none, and different texts are documents of their own; each has a near copy elsewhere."""
+    a, b = prose(200), prose(200)
+    near = lambda t: " ".join(w if i != 9 else "changed" for i, w in enumerate(t.split()))
+    rows = [(None, a), (None, b), (7, near(a)), (8, near(b)), (9, prose(80)), (9, prose(80)), (9, ""), (None, None), (None, prose(50)), (8, near(b))]
+    got = set_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), keyed=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.first) for r in got) == sorted([
+        ("None", 198, "7", False), ("None", 198, "8", False), ("7", 198, "7", True), ("8", 198, "8", True), ("8", 198, "8", True), ("9", 78, "9", True), ("9", 78, "9", True),
+        ("9", 0, "9", True), ("None", 0, "None", True), ("None", 48, "None", True)])
+
+
+@pytest.mark.parametrize("cell", [8192, 16])
+def test_set_join_in_cells(spark, monkeypatch, cell):
+    """Texts that all share their rarest words but are no near copies of their leader: long lists, also parted into blocks."""
+    monkeypatch.setattr(set_join, "CELL", cell)
+    base = prose(90).split()
+    texts = [" ".join(w if random.random() > rate else random.choice(VOCAB) for w in base) for rate in (0.01, 0.03, 0.05) for _ in range(50)]
+    got = by_id(set_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_groups(texts)
+
+
+def test_pairs_between_groups_grow_with_the_smaller_groups():
+    """All pairs but those within the largest group, each once; its members cost nothing but their place."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cell = np.sort(rng.integers(0, 5, 300))
+    c = {"cell": cell, "n": np.concatenate([np.sort(rng.integers(80, 120, (cell == x).sum())) for x in range(5)]), "group": rng.integers(0, 4, 300) * rng.integers(0, 2, 300)}
+    got = [(a, b) for i, j in set_join.between_groups(c, 90) for a, b in zip(i.tolist(), j.tolist())]
+    main = {x: np.bincount(c["group"][cell == x]).argmax() for x in range(5)}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if cell[i] == cell[j] and 90 * c["n"][j] <= 100 * c["n"][i] and not c["group"][i] == c["group"][j] == main[cell[i]]}
+    assert len(got) == len(set(got)) and {(i, j) for i, j in got if c["group"][i] != c["group"][j]} == {(i, j) for i, j in want if c["group"][i] != c["group"][j]}
+    big = {"cell": np.zeros(200_000, np.int64), "n": np.full(200_000, 100), "group": np.r_[np.zeros(199_990, np.int64), np.arange(1, 11)]}
+    assert sum(len(i) for i, _ in set_join.between_groups(big, 90)) == 199_990 * 10 + 45
+
+
 def test_set_join_of_many_near_copies(spark):
     base = [prose(n) for n in (60, 150, 400)]
     texts = [" ".join(w if random.random() > rate else random.choice(VOCAB) for w in random.choice(base).split()) for rate in (0.004, 0.01, 0.02, 0.04) for _ in range(60)]
