@@ -91,3 +91,8 @@ def id_crc(col: str = "doc_id") -> Column:
 def row_parts(n_rows: int, per_part: int) -> int:
     """Parts of at most about per_part rows."""
     return max(1, -(-n_rows // per_part))
+
+
+def drawn(u: str | Column, most: int, n: int) -> Column:
+    """Whether the 64-bit hash u is among the share most / n of all hashes; as fine as the hash, so no n is too large."""
+    return F.shiftrightunsigned(u, 1) < F.lit(int(most * 2**63 // max(n, most, 1)) - 1)

@@ -1,4 +1,5 @@
-"""FM-index over word ids with a wavelet matrix, and matching statistics by backward search for many texts at once."""
+"""Compressed FM-index over word ids: wavelet matrix, capped common lengths, a sampled suffix array; matching
+statistics by backward search for many texts at once."""
 
 from __future__ import annotations
 
@@ -45,80 +46,79 @@ class Wavelet:
 
 
 class FMIndex:
-    """Index over a text of word ids from 1; 0 separates documents and is in no query.
+    """Index over a text of word ids from 1; 0 separates documents and is in no query. Searches go up to most words.
 
-    Suffixes are ordered by their first words, 32 or the next power of two above most, which is exact for every
-    search of up to most words.
+    It keeps the wavelet matrix (a bit a word and level), the common length of neighbours in suffix order up to most
+    (a byte a word), and the suffix array sampled once for every interval of most words: the earliest of its places.
+    Suffix array and ranks are only needed while it is built.
     """
 
-    DEPTH = 32
-
-    def __init__(self, text: np.ndarray, most: int = DEPTH - 1):
-        n = len(text)
-        self.depth = max(self.DEPTH, 1 << most.bit_length())
-        self.n = n
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-        self.ranks = {1: rank}
+    def __init__(self, text: np.ndarray, most: int):
+        n = self.n = len(text)
+        self.most = most
+        ranks = {1: np.unique(text, return_inverse=True)[1].astype(np.int64) + 1}
         k = 1
-        while k < self.depth:
+        while k <= most:
             ahead = np.zeros(n, np.int64)
-            ahead[: n - k] = rank[k:] if k < n else ahead[:0]
-            rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+            if k < n:
+                ahead[: n - k] = ranks[k][k:]
+            ranks[2 * k] = np.unique(ranks[k] * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
             k *= 2
-            self.ranks[k] = rank
-        self.sa = np.argsort(rank, kind="stable")
+        sa = np.argsort(ranks.pop(k), kind="stable")
         sigma = int(text.max()) + 1 if n else 1
-        bits = max(1, int(sigma - 1).bit_length())
-        self.wavelet = Wavelet(text[self.sa - 1] if n else text, bits)
+        self.wavelet = Wavelet(text[sa - 1] if n else text, max(1, int(sigma - 1).bit_length()))
         self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(text, minlength=sigma))])
-        self.lcp = self._lcp()
-        self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _lcp(self) -> np.ndarray:
-        """Common words of neighbours in suffix order, up to depth - 1."""
-        a, b = self.sa[1:], self.sa[:-1]
+        self.lcp = self._lcp(sa, ranks)
+        head = self.lcp < most
+        head[:1] = True
+        self.heads = Bits(head.astype(np.uint8))
+        self.sample = np.minimum.reduceat(sa, np.flatnonzero(head)).astype(np.int32) if n else np.zeros(0, np.int32)
+
+    def _lcp(self, sa: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
+        """Common words of neighbours in suffix order, up to most."""
+        a, b = sa[1:], sa[:-1]
         out = np.zeros(max(0, self.n - 1), np.int64)
-        for k in sorted((k for k in self.ranks if k < self.depth), reverse=True):
-            rank = np.concatenate([self.ranks[k], np.zeros(self.depth, np.int64)])
+        for k in sorted(ranks, reverse=True):
+            rank = np.concatenate([ranks[k], np.zeros(2 * self.most + 1, np.int64)])
             out += np.where((rank[a + out] == rank[b + out]) & (rank[a + out] > 0), k, 0)
-        return np.concatenate([np.zeros(min(1, self.n), np.int64), out])
-
-    def group(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in suffix order, the interval that shares its first depth words."""
-        if depth not in self._bounds:
-            head = self.lcp < depth
-            if self.n:
-                head[0] = True
-            at = np.flatnonzero(head)
-            own = np.cumsum(head) - 1
-            self._bounds[depth] = (at[own], np.append(at[1:], self.n)[own])
-        return self._bounds[depth]
+        return np.concatenate([np.zeros(min(1, self.n), np.int64), np.minimum(out, self.most)]).astype(np.min_scalar_type(self.most))
+
+    def parents(self, depth: int, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals that share the first depth words with the suffix at each place."""
+        head = self.lcp < depth
+        head[:1] = True
+        at = np.flatnonzero(head)
+        own = np.searchsorted(at, lo, side="right") - 1
+        return at[own], np.append(at[1:], self.n)[own]
+
+    def earliest(self, lo: np.ndarray) -> np.ndarray:
+        """The earliest place in the text of intervals of most words."""
+        return self.sample[self.heads.rank(lo + 1) - 1].astype(np.int64)
 
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the interval of word + what [lo, hi) matches."""
         start = self.first[word]
         return start + self.wavelet.rank(word, lo), start + self.wavelet.rank(word, hi)
 
-    def matching(self, query: np.ndarray, end: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def matching(self, query: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of many texts side by side.
 
         Text j is query[end[j] - length[j] : end[j]]; ids the index doesn't know are -1. Returns for every place of
-        query the length of the longest match that starts there, up to most, and the first place of its interval.
+        query the length of the longest match that starts there, up to most, and its interval.
         """
-        size, place = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        size, low, high = (np.zeros(len(query), np.int64) for _ in range(3))
         order = np.argsort(-length, kind="stable")
         end, length = end[order], length[order]
         lo, hi, got = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64), np.zeros(len(end), np.int64)
-        alive = len(end)
         for step in range(int(length[0]) if len(length) else 0):
             alive = int(np.searchsorted(-length, -step, side="left"))  # longer texts come first
             at = end[:alive] - 1 - step
             word = query[at]
             l, h, g = lo[:alive], hi[:alive], got[:alive]
-            full = g == most
+            full = g == self.most
             if full.any():
-                s, e = self.group(most - 1)
-                l[full], h[full], g[full] = s[l[full]], e[l[full]], most - 1
+                l[full], h[full] = self.parents(self.most - 1, l[full])
+                g[full] = self.most - 1
             known = (word >= 1) & (word < len(self.first) - 1)
             safe = np.where(known, word, 1 if len(self.first) > 2 else 0)
             a, b = self.extend(safe, l, h)
@@ -128,12 +128,11 @@ class FMIndex:
                 own = np.flatnonzero(bad)
                 for depth in np.unique(g[own]):
                     some = own[g[own] == depth]
-                    s, e = self.group(int(depth) - 1)
-                    l[some], h[some] = s[l[some]], e[l[some]]
+                    l[some], h[some] = self.parents(int(depth) - 1, l[some])
                 g[own] -= 1
                 a[own], b[own] = self.extend(word[own], l[own], h[own])
                 bad = (a >= b) & known & (g > 0)
             hit = a < b
             l[:], h[:], g[:] = np.where(hit, a, 0), np.where(hit, b, self.n), np.where(hit, g + 1, 0)
-            size[at], place[at] = g, l
-        return size, place
+            size[at], low[at], high[at] = g, l, h
+        return size, low, high

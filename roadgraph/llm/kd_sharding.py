@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from .common import row_parts, stored, text_of
 
 #: Bits of the key that one histogram round resolves.
-STEP_BITS = 10
+STEP_BITS = 12
 KEY_BITS = 60
 #: A cell of at most this share of a shard is not refined further.
 TOLERANCE = 1e-4
+#: Hot groups that are sent to every task; more are joined by sorting.
+FEW = 100_000
 DIMENSIONS = ("d_id", "d_size", "d_lang", "d_source")
 
 
@@ -56,13 +58,14 @@ def kd_shards(
     share = max(1, total_bytes // leaves)
     cap = max(1, share // 100)
 
-    # at most 100 * leaves groups weigh more than cap, so the hot list is bounded by the number of shards
+    # at most 100 * leaves groups weigh more than cap, so the hot list is bounded by the number of shards; beyond FEW it is joined by sorting
     hot = rows.groupBy("h").agg(
         F.sum("size").alias("g_bytes"), F.count(F.lit(1)).alias("g_rows"), F.min("doc_id").alias("g_id"),
         F.min("lang").alias("g_lang"), F.min("source").alias("g_source"),
     ).filter((F.col("g_bytes") > cap) & (F.col("g_rows") > 1))
     chunks = F.ceil(F.col("g_bytes") / cap)
-    rows = rows.join(F.broadcast(hot), "h", "left").withColumn(
+    hot = F.broadcast(hot) if 100 * leaves <= FEW else hot.hint("merge")
+    rows = rows.join(hot, "h", "left").withColumn(
         "chunk", F.when(F.col("g_bytes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), chunks)).cast("int")
     )
     units = rows.groupBy("h", "chunk").agg(
@@ -105,7 +108,8 @@ def _split_all(units: DataFrame, leaves: int, share: int) -> DataFrame:
     depth = 0
     while any(n > 1 for _, n in nodes.values()):
         open_nodes = {k: v for k, v in nodes.items() if v[1] > 1}
-        stats = placed.filter(F.col("node").isin(list(open_nodes))).groupBy("node").agg(
+        todo = F.broadcast(spark.createDataFrame([(k,) for k in open_nodes], "node int"))
+        stats = placed.join(todo, "node", "left_semi").groupBy("node").agg(
             F.sum("w").alias("w"), *(f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max)))
         ).collect()
         plan = {}
@@ -114,7 +118,8 @@ def _split_all(units: DataFrame, leaves: int, share: int) -> DataFrame:
             wide = {d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, world[f"hi_{d}"] - world[f"lo_{d}"]) for d in DIMENSIONS}
             dim = max(DIMENSIONS, key=lambda d: (wide[d], -DIMENSIONS.index(d)))
             plan[r["node"]] = {"dim": dim, "want": r["w"] * (n // 2) / n, "lo": 0, "bits": KEY_BITS, "below": 0}
-        keyed = placed.withColumn("key", _key(plan))
+        dims = F.broadcast(spark.createDataFrame([(k, DIMENSIONS.index(v["dim"]) + 1) for k, v in plan.items()], "node int, dim int"))
+        keyed = placed.join(dims, "node", "left").withColumn("key", _key()).drop("dim")
         cuts = _medians(keyed, plan, max(1.0, share * TOLERANCE))
         after, moves = {}, []
         for k, (first, n) in nodes.items():
@@ -134,17 +139,13 @@ def _split_all(units: DataFrame, leaves: int, share: int) -> DataFrame:
         if depth % 2 == 0:
             placed = stored(placed, "kd-placed")
         nodes = after
-    names = F.create_map(*(F.lit(x) for k, (first, _) in nodes.items() for x in (k, first)))
-    return placed.select("h", "chunk", "d_id", names[F.col("node")].cast("int").alias("shard"))
+    names = F.broadcast(spark.createDataFrame([(k, first) for k, (first, _) in nodes.items()], "node int, shard int"))
+    return placed.join(names, "node").select("h", "chunk", "d_id", "shard")
 
 
-def _key(plan: dict):
-    """The 60-bit sort key of a unit in its node: the node's dimension, then the tie hash."""
-    out = F.lit(None).cast("long")
-    for d in DIMENSIONS:
-        if own := [k for k, v in plan.items() if v["dim"] == d]:
-            out = F.when(F.col("node").isin(own), F.col(d) * 2**30 + F.col("tie")).otherwise(out)
-    return out
+def _key():
+    """The 60-bit sort key of a unit in its node: the node's dimension number dim, then the tie hash. Null where the node stays."""
+    return F.get(F.array(*DIMENSIONS), F.col("dim") - 1) * 2**30 + F.col("tie")
 
 
 def _medians(keyed: DataFrame, plan: dict, enough: float) -> dict[int, int]:
@@ -154,19 +155,17 @@ def _medians(keyed: DataFrame, plan: dict, enough: float) -> dict[int, int]:
     todo = {k: dict(v) for k, v in plan.items()}
     while todo:
         cells = F.broadcast(spark.createDataFrame(
-            [(k, v["lo"], v["lo"] + 2 ** v["bits"], max(0, v["bits"] - STEP_BITS)) for k, v in todo.items()],
-            "node int, lo long, hi long, shift int",
+            [(k, v["lo"], v["lo"] + 2 ** v["bits"], max(0, v["bits"] - STEP_BITS), float(v["want"] - v["below"])) for k, v in todo.items()],
+            "node int, lo long, hi long, shift int, want double",
         ))
         cell = F.expr("shiftright(key - lo, shift)")
-        hist = keyed.join(cells, "node").filter("key >= lo and key < hi").groupBy("node", cell.alias("cell")).agg(
+        hist = keyed.join(cells, "node").filter("key >= lo and key < hi").groupBy("node", "want", cell.alias("cell")).agg(
             F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")
         )
         run = F.sum("w").over(Window.partitionBy("node").orderBy("cell"))
-        wants = F.create_map(*(F.lit(x) for k, v in todo.items() for x in (k, float(v["want"] - v["below"]))))
         # the histogram has at most 2**STEP_BITS cells a node
         found = (
-            hist.withColumn("upto", run).withColumn("want", wants[F.col("node")])
-            .withColumn("over", F.col("upto") >= F.col("want"))
+            hist.withColumn("upto", run).withColumn("over", F.col("upto") >= F.col("want"))
             .groupBy("node").agg(F.min(F.when(F.col("over"), F.struct("cell", "w", "n", "upto"))).alias("c"), F.max("cell").alias("last"))
             .collect()
         )

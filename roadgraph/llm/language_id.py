@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches, table
+from .common import drawn, id_crc, small_batches, table
 
 DIMENSIONS = 1024
 #: Slots for letters: 0 is everything else, 1 to 26 are a to z, other letters share the rest by hash.
 SLOTS = 128
 SEED = 20240501
-#: Characters that are counted at once.
+#: Characters that are counted at once, and cells of one table of counts or vectors (4 bytes each).
 CHUNK = 1_000_000
+CELLS = 8_000_000
 #: Documents that prototypes are learned from, drawn by hash from all labelled ones.
 MAX_TRAIN = 20_000
 #: Languages whose prototypes fit the driver and every task.
@@ -91,10 +92,19 @@ def document_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         seen[codes] = True
         grams = np.flatnonzero(seen)
         lookup[grams] = np.arange(len(grams))
-        row = np.repeat(np.arange(len(own)), [len(c) for c, _ in made])
-        counts = np.bincount(row * len(grams) + lookup[codes], minlength=len(own) * len(grams)).reshape(len(own), -1)
-        bound = rolled[0][grams // SLOTS**2] * rolled[1][grams // SLOTS % SLOTS] * rolled[2][grams % SLOTS]
-        out[own] = counts.astype(np.float32) @ bound
+        row, at = np.repeat(np.arange(len(own)), [len(c) for c, _ in made]), lookup[codes]
+        step = max(1, CELLS // max(len(own), DIMENSIONS))
+        if len(grams) > step:  # many scripts: in blocks of 3-grams, each a stretch of the codes in their order
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+        for low in range(0, len(grams), step):
+            some = grams[low : low + step]
+            x, y = (0, len(at)) if len(grams) <= step else np.searchsorted(at, [low, low + len(some)])
+            counts = np.bincount(row[x:y] * len(some) + at[x:y] - low, minlength=len(own) * len(some)).reshape(len(own), -1).astype(np.float32)
+            bound = rolled[0][some // SLOTS**2]
+            bound *= rolled[1][some // SLOTS % SLOTS]
+            bound *= rolled[2][some % SLOTS]
+            out[own] += counts @ bound
     return out, has
 
 
@@ -115,12 +125,16 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes, from at most about max_train rows with a text and a language."""
+    """Languages and their unit prototypes, from about max_train rows with a text and a language, or all if they are fewer.
+
+    Rows are drawn by a hash of the id, so rows that repeat an id are drawn together. Texts without a letter add
+    nothing. An empty table gives no language.
+    """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("u")).filter("lang is not null and text is not null")
     n = own.count()
     if n > max_train:
-        own = own.filter(F.pmod("u", F.lit(2**20)) < F.lit(int(max_train / n * 2**20)))
+        own = own.filter(drawn("u", max_train, n))
     sums = own.select("lang", "text").mapInArrow(_bundle, "lang string, v array<double>")
     cells = sums.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     found = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()

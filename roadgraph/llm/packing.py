@@ -27,8 +27,9 @@ SEQUENCE = 2048
 OPEN_BINS = 1024
 #: Pieces that a part packs.
 PART_PIECES = 200_000
-#: Chunks that a Python worker remembers.
+#: Chunks that a Python worker remembers, and the longest of them: at most about 150 MB.
 CACHE = 500_000
+LONGEST = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _state: dict = {}
@@ -38,8 +39,10 @@ def _encoder(vocabulary: str):
     """How this worker turns chunks into ids, and its memory of chunks.
 
     Where the vocabulary also comes as a table of ranks, that is read: it gives the same ids several times faster.
+    Strings of the vocabulary's added tokens in a text become those tokens, as the vocabulary's own reader has it.
     """
     if _state.get("name") != vocabulary:
+        import json
         import os
 
         import public_tokenizers
@@ -53,13 +56,14 @@ def _encoder(vocabulary: str):
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-            many = lambda xs: map(one, xs)
+            with open(path, encoding="utf-8") as f:
+                added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+            reader = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            many = lambda xs: (reader.encode(x, allowed_special="all") for x in xs)
         else:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True  # their strings in a text are ordinary text
             many = lambda xs: (e.ids for e in tok.encode_batch(xs, add_special_tokens=False))
         _state.update(name=vocabulary, many=many, seen={})
     return _state["many"], _state["seen"]
@@ -75,7 +79,7 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
     if len(seen) > CACHE:
         seen.clear()
     cut = []
-    new: dict[str, None] = {}
+    new: dict[str, bytes] = {}
     whole: list[int] = []
     for i, x in enumerate(texts):
         # the first chunk has no blank before it; a chunk that is empty or has blanks at an end is not safe to cut
@@ -86,7 +90,7 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
             if p not in seen and p not in new:
                 bare = p[1:] if p[:1] == " " else p
                 if bare and not bare[0].isspace() and not bare[-1].isspace():
-                    new[p] = None
+                    new[p] = b""
                 else:
                     cut[i] = None
                     whole.append(i)
@@ -95,10 +99,11 @@ def token_bytes(texts: list[str], vocabulary: str) -> list[bytes]:
     for at in range(0, len(todo), 10_000):
         some = todo[at : at + 10_000]
         for p, ids in zip(some, many(some), strict=True):
-            seen[p] = _packed(ids)
-    out = [b"".join(map(seen.__getitem__, c)) if c is not None else b"" for c in cut]
+            new[p] = _packed(ids)
+    out = [b"".join(seen.get(p) or new[p] for p in c) if c is not None else b"" for c in cut]
     for i, ids in zip(whole, many([texts[i] for i in whole]), strict=True):
         out[i] = _packed(ids)
+    seen.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
     return out
 
 

@@ -1,5 +1,8 @@
 """Personal data: regular expressions propose spans, checks confirm them, nearby words move the score.
 
+Every kind has a score from which its spans are kept. The four base kinds are kept at any score; of the added ones a
+contrary word nearby takes a span below it.
+
 Everything is built from Spark's own functions and runs where the documents are; nothing is shuffled. A text is
 split at the matches of a pattern; the lengths of the parts between give each match's place in code points.
 
@@ -90,8 +93,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, 0.0, "ip|host|server|address|login", "version|section|release"),
     Kind("card", r"[0-9]++(?:[\x20-][0-9]++)*+", "", 0.7, 0.0, "card|visa|credit|payment|carte|karte|tarjeta", "order|serial|isbn"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, 0.0, "phone|tel|call|mobile|fax", "score|offset"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b", "", 0.8, 0.5, "iban|account|bank|konto|compte|cuenta", "sample"),
-    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "-", 0.5, 0.3, "ssn|social|security", "part|serial|order"),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b", "", 0.8, 0.7, "iban|account|bank|konto|compte|cuenta", "sample"),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "-", 0.5, 0.4, "ssn|social|security", "part|serial|order"),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 
@@ -137,7 +140,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are in order of kind, then start; places are code points, end exclusive. Null and empty texts have
     none. Spans of different kinds may overlap. Matches that fail their check are dropped without a second try.
-    The four base kinds stay whatever their score. Repeated rows are searched one by one.
+    The four base kinds stay whatever their score; iban and ssn go where a contrary word stands near. Repeated rows are
+    searched one by one, also those with equal or null ids. Other columns are ignored; an empty table gives an empty result.
     """
     nothing = F.expr("cast(array() as array<string>)")
     text = F.col("text")
@@ -162,14 +166,19 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
 
 
-def _sql_spans(kind: str, pattern: str, check: str) -> str:
-    """DuckDB: spans of one kind, as a list of 'kind:start:end'."""
-    return f"""list_transform(list_filter(list_transform(range(1, len(v_{kind}) + 1),
-          lambda i: {{'v': v_{kind}[i], 'e': list_sum(list_transform(v_{kind}[1:i], lambda x: length(x))) + list_sum(list_transform(p_{kind}[1:i], lambda x: length(x)))}}),
-          lambda s: {check}), lambda s: '{kind}:' || CAST(s.e - length(s.v) AS VARCHAR) || ':' || CAST(s.e AS VARCHAR))"""
+def _sql_spans(kind: Kind, pattern: str, check: str) -> str:
+    """DuckDB: spans of one kind, as a list of {s: 'kind:start:end', score}."""
+    v, p = f"v_{kind.name}", f"p_{kind.name}"
+    step = f"CASE WHEN regexp_matches(s.near, '\\b(?:{kind.helps})') THEN {CONTEXT_STEP} WHEN regexp_matches(s.near, '\\b(?:{kind.denies})') THEN -{CONTEXT_STEP} ELSE 0 END"
+    return f"""list_filter(list_transform(list_filter(list_transform(range(1, len({v}) + 1),
+          lambda i: {{'v': {v}[i], 'e': list_sum(list_transform({v}[1:i], lambda x: length(x))) + list_sum(list_transform({p}[1:i], lambda x: length(x))),
+                     'near': lower(right({p}[i], {CONTEXT_BEFORE}) || ' ' || left({p}[i + 1], {CONTEXT_AFTER}))}}),
+          lambda s: {check}), lambda s: {{'s': '{kind.name}:' || CAST(s.e - length(s.v) AS VARCHAR) || ':' || CAST(s.e AS VARCHAR), 'score': round(least(1.0, {kind.base_score} + {step}), 2)}}),
+          lambda s: s.score >= {kind.least_score})"""
 
 
 _DIGITS = "regexp_replace(s.v, '[^0-9]', '', 'g')"
@@ -190,13 +199,15 @@ _SQL = {
     "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "left(s.v, 3) NOT IN ('000', '666') AND left(s.v, 1) <> '9' AND substr(s.v, 5, 2) <> '00' AND right(s.v, 4) <> '0000'"),
 }
 
+_KIND = {k.name: k for k in KINDS}
 _LISTS = {n: " || ".join(k for k in _SQL if n == "all" or k in BASE) for n in ("base", "all")}
+_SAID = {n: f"array_to_string(list_transform({x}, lambda s: s.s), ',')" for n, x in _LISTS.items()}
 OP7_SQL = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, "
     + ", ".join(f"regexp_extract_all(t, '{p}') AS v_{k}, string_split_regex(t, '{p}') AS p_{k}" for k, (p, _) in _SQL.items())
     + " FROM d), s AS (SELECT doc_id, "
-    + ", ".join(f"{_sql_spans(k, p, c)} AS {k}" for k, (p, c) in _SQL.items())
+    + ", ".join(f"{_sql_spans(_KIND[k], p, c)} AS {k}" for k, (p, c) in _SQL.items())
     + " FROM m) SELECT doc_id, "
     + ", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in BASE)
-    + f", sha256(array_to_string({_LISTS['base']}, ',')) AS base_sha256, array_to_string({_LISTS['all']}, ',') AS spans FROM s"
+    + f", sha256({_SAID['base']}) AS base_sha256, {_SAID['all']} AS spans, array_to_string(list_transform({_LISTS['all']}, lambda s: printf('%.2f', s.score)), ',') AS scores FROM s"
 )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches, stored, table
+from .common import drawn, id_crc, small_batches, stored, table
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "lower", "digits", "blanks", "points", "symbols", "bars",
@@ -122,12 +122,16 @@ def isotonic(total: np.ndarray, good: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on documents with a label 0 or 1 (column quality). None if there is no such document."""
+    """Fits on documents with a label 0 or 1 (column quality), about max_train of them. None if there is no such document.
+
+    Labels are drawn by a hash of their id. Null texts count as empty, null ids match no label; a document that
+    repeats an id, or a label that does, counts once for every pair of them.
+    """
     small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("y")).filter("label_id is not null and y in (0, 1)")
     n = marks.count()
     if n > max_train:
-        marks = marks.filter(F.pmod(F.xxhash64("label_id"), F.lit(2**20)) < F.lit(int(max_train / n * 2**20)))
+        marks = marks.filter(drawn(F.xxhash64("label_id"), max_train, n))
     # the sample has at most about max_train rows of two numbers
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), F.col("id") == F.col("label_id"))
     data = stored(own.select(F.xxhash64("id").alias("u"), "y", "text").mapInArrow(_statistics, "u long, y double, x array<double>"), "quality-train").coalesce(8)
@@ -186,7 +190,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches THRESHOLD; no shuffle. Without a model all stay."""
+    """The rows of docs, with all their columns, whose score reaches THRESHOLD; no shuffle. Without a model all stay.
+    Null texts count as empty; repeated rows are judged alike, as only the text counts."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

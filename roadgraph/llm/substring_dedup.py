@@ -8,10 +8,14 @@ pieces with the same anchor.
    of all others are repeats. What remains is narrow: anchor, hash of the words, place.
 2. Pieces meet by anchor, sorted. Equal ones are folded again. An anchor with pieces of only one wording needs
    nothing more. Pieces of an anchor with several wordings may still share some windows.
-3. Only those pieces fetch their words. They are sharded by anchor; each shard builds an FM-index (wavelet matrix)
-   over its pieces and streams them through it: backward search gives matching statistics, and the interval of a
-   20-word match gives the earliest place of that window.
-4. Repeats are gathered per document and taken out of its words.
+3. Only those pieces fetch their words. Pieces of an anchor that fills more than a shard (the edge of a passage that
+   very many documents share, each with other words around it) are cut again by anchors of 19 words, which are much
+   rarer, and folded again.
+4. Shards hold the pieces of some anchors, or, where an anchor still fills more than one, a block of its pieces. Each
+   shard builds a compressed FM-index over its pieces, and all pieces of its anchors, also those of other blocks, are
+   streamed through it: backward search gives matching statistics, and the interval of a 20-word match gives the
+   earliest place of that window in the shard.
+5. Repeats are gathered per document and taken out of its words.
 
 Hot passages cost nothing extra: copies of a piece are folded before the shuffle and again in a stream after it.
 """
@@ -32,9 +36,12 @@ from .wordhash import grams, hashes, runs, split
 
 WINDOW = 20
 ANCHOR = 6
-#: Words of one FM-index; an anchor's pieces are never parted.
+#: Words of one FM-index. Pieces of a single anchor beyond it are parted into blocks.
 SHARD_WORDS = 400_000
-PIECES = "anchor long, words long, doc_id long, start int, n int, done boolean"
+PIECES = "anchor long, words long, doc_id long, tie long, start int, n int, done boolean"
+FETCHED = "anchor long, words long, doc_id long, tie long, start int, n int, hot boolean, text binary"
+#: Ids that are sent to every task where they are no more than this; more are joined by sorting.
+FEW = 100_000
 #: Narrow rows that are folded at once.
 NARROW = 20_000
 
@@ -50,14 +57,14 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def pieces(doc: np.ndarray, texts: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> list[np.ndarray]:
-    """Columns anchor, hash of the words, doc, start, number of windows of all pieces of some documents."""
-    h = [hashes(split(x)) for x in texts]
+def pieces(doc: np.ndarray, tie: np.ndarray, texts: list[str | bytes], window: int = WINDOW, anchor: int = ANCHOR) -> list[np.ndarray]:
+    """Columns anchor, hash of the words, doc, tie, start, number of windows of all pieces of some documents."""
+    h = [hashes(split(x) if isinstance(x, str) else x.split()) for x in texts]
     size = np.array([len(x) for x in h], np.int64)
     keep = size >= window
     if not keep.any():
-        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
-    h, size, doc = np.concatenate([x for x, k in zip(h, keep, strict=True) if k]), size[keep], doc[keep]
+        return [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
+    h, size, doc, tie = np.concatenate([x for x, k in zip(h, keep, strict=True) if k]), size[keep], doc[keep], tie[keep]
     base = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)[:-1]])
     g = grams(h, anchor)
     at = _least(g, window - anchor + 1)  # of the window that starts at each place
@@ -71,7 +78,7 @@ def pieces(doc: np.ndarray, texts: list[str], window: int = WINDOW, anchor: int
     stops = np.flatnonzero(new | ~inside)
     nxt = np.searchsorted(stops, head, side="right")
     n = np.append(stops, len(at))[nxt] - head
-    return [g[at[head]], runs(h, head, n + window - 1), doc[own[head]], head - base[own[head]], n]
+    return [g[at[head]], runs(h, head, n + window - 1), doc[own[head]], tie[own[head]], head - base[own[head]], n]
 
 
 def _once(*cols: np.ndarray) -> list[np.ndarray]:
@@ -82,66 +89,62 @@ def _once(*cols: np.ndarray) -> list[np.ndarray]:
 
 
 def _batch(cols: list[np.ndarray], done: np.ndarray) -> pa.RecordBatch:
-    a, w, d, s, n = cols
+    a, w, d, t, s, n = cols
     return pa.RecordBatch.from_arrays(
-        [pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done)],
-        names=["anchor", "words", "doc_id", "start", "n", "done"],
+        [pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(d), pa.array(t), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(done)],
+        names=["anchor", "words", "doc_id", "tie", "start", "n", "done"],
     )
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that follow each other in a document become one."""
-    if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], start[at], np.add.reduceat(n, at)
-
-
-def _repeats(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows that say: these windows are repeats. Their anchor only spreads them over the tasks."""
-    doc, start, n = _joined(doc, start, n)
-    spread = (doc * 1_000_003 + start * 7_919).astype(np.uint64)
-    return _batch([spread, np.zeros(len(doc), np.uint64), doc, start, n], np.ones(len(doc), bool))
+def _repeats(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows that say: these windows are repeats. Runs of windows that follow each other in a document become one.
+    Their anchor only spreads them over the tasks."""
+    if len(doc):
+        order = np.lexsort((start, tie, doc))
+        doc, tie, start, n = doc[order], tie[order], start[order], n[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + n[:-1])
+        at = np.flatnonzero(new)
+        doc, tie, start, n = doc[at], tie[at], start[at], np.add.reduceat(n, at)
+    with np.errstate(over="ignore"):
+        spread = (doc * 1_000_003 + tie + start * 7_919).astype(np.uint64)
+    return _batch([spread, np.zeros(len(doc), np.uint64), doc, tie, start, n], np.ones(len(doc), bool))
 
 
 def _cut(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, w, d, s, n = pieces(b.column(0).to_numpy(), b.column(1).to_pylist(), window, anchor)
-            order = np.lexsort((s, d, w, a))
-            a, w, d, s, n = (x[order] for x in (a, w, d, s, n))
-            a, w, d, s, n = _once(a, w, d, s, n)
+            cols = pieces(b.column("doc_id").to_numpy(), b.column("tie").to_numpy(), b.column("text").to_pylist(), window, anchor)
+            order = np.lexsort(cols[4::-1])
+            a, w, d, t, s, n = _once(*(x[order] for x in cols))
             again = np.zeros(len(a), bool)
             again[1:] = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
-            yield _batch([x[~again] for x in (a, w, d, s, n)], np.zeros((~again).sum(), bool))
-            yield _repeats(d[again], s[again], n[again])
+            yield _batch([x[~again] for x in (a, w, d, t, s, n)], np.zeros((~again).sum(), bool))
+            yield _repeats(d[again], t[again], s[again], n[again])
 
     return run
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, words, doc, start. Emits repeats (done), and the first piece of every wording of an
+    """Rows sorted by anchor, words, place. Emits repeats (done), and the first piece of every wording of an
     anchor that has several. Holds back one row, so memory does not grow with an anchor."""
     held: tuple | None = None  # the first piece of the last wording so far, and whether it is to be emitted
     for b in gathered(batches, NARROW):
         done = b.column("done").to_numpy(zero_copy_only=False)
-        a, w, d, s, n = (b.column(k).to_numpy() for k in ("anchor", "words", "doc_id", "start", "n"))
+        cols = [b.column(k).to_numpy().astype(np.int64) for k in ("anchor", "words", "doc_id", "tie", "start", "n")]
         if done.any():
-            yield _batch([x[done] for x in (a, w, d, s.astype(np.int64), n.astype(np.int64))], np.ones(done.sum(), bool))
-        a, w, d, s, n = (x[~done].astype(np.int64) for x in (a, w, d, s, n))
-        if not len(a):
+            yield _batch([x[done] for x in cols], np.ones(done.sum(), bool))
+        cols = [x[~done] for x in cols]
+        if not len(cols[0]):
             continue
         if held:
-            a, w, d, s, n = (np.concatenate([np.array([x], np.int64), y]) for x, y in zip(held[0], (a, w, d, s, n), strict=True))
-        a, w, d, s, n = _once(a, w, d, s, n)
+            cols = [np.concatenate([np.array([x], np.int64), y]) for x, y in zip(held[0], cols, strict=True)]
+        a, w, d, t, s, n = _once(*cols)
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-        yield _repeats(d[~first], s[~first], n[~first])
-        a, w, d, s, n = (x[first] for x in (a, w, d, s, n))
+        yield _repeats(d[~first], t[~first], s[~first], n[~first])
+        cols = [x[first] for x in (a, w, d, t, s, n)]
+        a = cols[0]
         with_last = np.zeros(len(a), bool)
         with_last[1:] = a[1:] == a[:-1]
         several = with_last.copy()
@@ -149,80 +152,104 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held and held[1]:
             several[0] = True
         out = several[:-1]
-        yield _batch([x[:-1][out] for x in (a, w, d, s, n)], np.zeros(out.sum(), bool))
-        held = (tuple(x[-1] for x in (a, w, d, s, n)), bool(several[-1]))
+        yield _batch([x[:-1][out] for x in cols], np.zeros(out.sum(), bool))
+        held = (tuple(x[-1] for x in cols), bool(several[-1]))
     if held and held[1]:
         yield _batch([np.array([x], np.int64) for x in held[0]], np.zeros(1, bool))
 
 
 def _fetch(window: int):
-    """(doc_id, text, pieces of the document) -> pieces with their words."""
+    """(doc_id, tie, text, pieces of the document) -> pieces with their words; hot ones are cut again by longer anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            rows: list[tuple] = []  # anchor, words, doc_id, tie, start, n, hot, text
+            hot: list[tuple] = []
+            for doc, tie, text, own in zip(*(b.column(k).to_pylist() for k in ("doc_id", "tie", "text", "own")), strict=True):
                 words = split(text)
                 for p in own:
-                    out[0].append(p["anchor"])
-                    out[1].append(doc)
-                    out[2].append(p["start"])
-                    out[3].append(b" ".join(words[p["start"] : p["start"] + p["n"] + window - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc_id", "start", "text"])
+                    span = words[p["start"] : p["start"] + p["n"] + window - 1]
+                    (hot if p["hot"] else rows).append((p["anchor"], 0, doc, tie, p["start"], p["n"], p["hot"], b" ".join(span)))
+            place = np.arange(len(hot))
+            again = [x.astype(np.int64).tolist() for x in pieces(place, place, [x[-1] for x in hot], window, max(1, window - 1))]
+            for a, w, at, _, s, n in zip(*again, strict=True):
+                _, _, doc, tie, start, _, _, text = hot[at]
+                rows.append((a, w, doc, tie, start + s, n, True, b" ".join(text.split(b" ")[s : s + n + window - 1])))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["anchor", "words", "doc_id", "tie", "start", "n", "hot", "text"])
 
     return run
 
 
-def earliest(doc: np.ndarray, start: np.ndarray, texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of all windows in texts that also start earlier, among these texts.
-
-    texts[j] are words of document doc[j] from word start[j] on.
-    """
-    ids: dict[bytes, int] = {}
-    size = np.array([len(x) for x in texts], np.int64)
-    flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for x in texts for w in x), np.int64, int(size.sum()))
-    end = np.cumsum(size + 1) - 1
-    text = np.zeros(int((size + 1).sum()), np.int64)
-    where = np.ones(len(text), bool)
-    where[end] = False
-    text[where] = flat
-    index = FMIndex(text, window)
-    length, place = index.matching(text, end, size, window)
-    own = np.repeat(np.arange(len(texts)), size + 1)
-    at_doc, at_start = doc[own], start[own] + np.arange(len(text)) - (end - size)[own]
-    order = np.lexsort((at_start, at_doc))
-    later = (np.diff(at_doc[order]) != 0) | (np.diff(at_start[order]) != 0)
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(later)])  # the same place has the same rank
-    low, _ = index.group(window)
-    heads = np.unique(low)
-    first = np.empty(len(text), np.int64)
-    first[heads] = np.minimum.reduceat(rank[index.sa], heads)
-    hit = np.flatnonzero(length == window)
-    hit = hit[first[low[place[hit]]] < rank[hit]]
-    return at_doc[hit], at_start[hit]
+class Shard:
+    """FM-index over some pieces (doc, tie, start, words), which can be asked for the earliest place of any window."""
+
+    def __init__(self, own: list[tuple], window: int):
+        own = sorted(own, key=lambda p: p[:3])  # so that the order of the text is the order of places
+        self.window = window
+        self.ids: dict[bytes, int] = {}
+        for p in own:
+            for w in p[3]:
+                self.ids.setdefault(w, len(self.ids) + 1)
+        self.doc, self.tie, self.start = (np.array([p[k] for p in own], np.int64) for k in range(3))
+        text, end, size = self._text(own)
+        self.base = end - size
+        self.index = FMIndex(text, window)
+
+    def _text(self, some: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids of all pieces with a 0 after each, and where each ends."""
+        get = self.ids.get
+        size = np.array([len(p[3]) for p in some], np.int64)
+        end = np.cumsum(size + 1) - 1
+        text = np.zeros(int((size + 1).sum()), np.int64)
+        inside = np.ones(len(text), bool)
+        inside[end] = False
+        text[inside] = np.fromiter((get(w, -1) for p in some for w in p[3]), np.int64, int(size.sum()))
+        return text, end, size
+
+    def earlier(self, some: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, tie, start) of the windows in some pieces that this shard also has at an earlier place."""
+        query, end, size = self._text(some)
+        length, low, _ = self.index.matching(query, end, size)
+        hit = np.flatnonzero(length == self.window)
+        place = self.index.earliest(low[hit])
+        there = np.searchsorted(self.base, place, side="right") - 1
+        here = np.searchsorted(end - size, hit, side="right") - 1
+        doc, tie, start = (np.array([p[k] for p in some], np.int64)[here] for k in range(3))
+        start = start + hit - (end - size)[here]
+        d, t, s = self.doc[there], self.tie[there], self.start[there] + place - self.base[there]
+        before = (d < doc) | (d == doc) & ((t < tie) | (t == tie) & (s < start))
+        return doc[before], tie[before], start[before]
 
 
 def _resolve(window: int, shard_words: int):
+    """Rows of pieces sorted by anchor, block, other: those with other are not of the block, but of its anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        shard: Shard | None = None
         n_words, last = 0, None
 
-        def solved() -> pa.RecordBatch:
-            doc, start = earliest(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), [x[2] for x in held], window)
-            return _repeats(doc, start, np.ones(len(doc), np.int64))
+        def found(on: Shard) -> pa.RecordBatch:
+            doc, tie, start = on.earlier(held)
+            return _repeats(doc, tie, start, np.ones(len(doc), np.int64))
 
         for b in batches:
-            for a, d, s, t in zip(*(b.column(k).to_pylist() for k in ("anchor", "doc_id", "start", "text")), strict=True):
-                if a != last and n_words >= shard_words:
-                    yield solved()
+            for a, k, parted, other, d, t, s, text in zip(*(b.column(c).to_pylist() for c in ("anchor", "block", "parted", "other", "doc_id", "tie", "start", "text")), strict=True):
+                new = (a, k, parted) != last
+                if held and (new and (shard or parted or last[2] or n_words >= shard_words) or other and (not shard or n_words >= shard_words)):
+                    shard = shard or Shard(held, window)
+                    yield found(shard)
                     held, n_words = [], 0
-                words = t.split(b" ")
-                held.append((d, s, words))
+                if new:
+                    shard = None
+                words = text.split(b" ")
+                held.append((d, t, s, words))
                 n_words += len(words) + 1
-                last = a
+                last = (a, k, parted)
         if held:
-            yield solved()
+            yield found(shard or Shard(held, window))
 
     return run
 
@@ -249,33 +276,75 @@ def _take_out(window: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, sent to every task if it is small, else joined by sorting."""
+    return F.broadcast(df) if df.count() <= FEW else df.hint("merge")
+
+
+def _blocks(hot: DataFrame, window: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """From the pieces of hot anchors, cut again: what is to be searched, and repeats by equal words. Their groups have no
+    bound, so they are folded by aggregation, and Spark splits the join back where a group is large."""
+    heads = stored(hot.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "tie", "start")).alias("p"), F.first("n").alias("n"), F.first("text").alias("text")), "repeats-hot")
+    repeats = hot.drop("text", "n").join(heads.select("anchor", "words", "p", "n").hint("merge"), ["anchor", "words"]).filter(F.struct("doc_id", "tie", "start") > F.col("p"))
+    sizes = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("wordings"), F.sum(F.col("n") + window).alias("size")).filter("wordings > 1")
+    n = F.ceil(F.col("size") / shard_words).cast("int")
+    own = heads.join(sizes.select("anchor", n.alias("blocks")), "anchor").withColumn("block", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int"))
+    met = own.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    todo = met.select("anchor", F.col("at").alias("block"), (F.col("blocks") > 1).alias("parted"), (F.col("at") != F.col("block")).alias("other"), "p.*", "text")
+    return todo, repeats.select("doc_id", "tie", "start", "n")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, start, n): the n windows from word start on also start earlier. docs has doc_id and text, both not null."""
+    """(doc_id, tie, start, n): the n windows from word start on also start earlier. docs has doc_id, tie and text, none
+    of them null; rows are ordered by doc_id, then tie, and rows with both equal repeat each other."""
+    if window < 1:
+        raise ValueError("a window has one word at least")
     spark = docs.sparkSession
     small_batches(spark)
-    cut = docs.mapInArrow(_cut(window, anchor), PIECES)
-    met = cut.repartition("anchor").sortWithinPartitions("anchor", "words", "doc_id", "start")
+    cut = docs.select("doc_id", "tie", "text").mapInArrow(_cut(window, min(anchor, window)), PIECES)
+    met = cut.repartition("anchor").sortWithinPartitions("anchor", "words", "doc_id", "tie", "start")
     folded = stored(met.mapInArrow(_fold, PIECES), "repeats-folded")
-    edges = folded.filter("not done").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("own"))
+    left = folded.filter("not done")
+    hot = stored(left.groupBy("anchor").agg(F.sum(F.col("n") + window).alias("size")).filter(F.col("size") > shard_words).select("anchor", F.lit(True).alias("hot")), "repeats-hot-anchors")
+    any_hot = not hot.isEmpty()
+    marked = left.join(_few(hot), "anchor", "left") if any_hot else left.withColumn("hot", F.lit(False))
+    edges = marked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("own"))
     # by sorting at any size: at scale the documents with such pieces are too many to broadcast
-    fetched = docs.join(edges.hint("merge"), "doc_id").select("doc_id", "text", "own").mapInArrow(_fetch(window), "anchor long, doc_id long, start int, text binary")
-    sharded = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    fetched = docs.join(edges.hint("merge"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "own").mapInArrow(_fetch(window), FETCHED)
+    fetched = stored(fetched, "repeats-fetched") if any_hot else fetched
+    whole = (F.lit(0).alias("block"), F.lit(False).alias("parted"), F.lit(False).alias("other"))
+    todo = fetched.filter("not hot").select("anchor", *whole, "doc_id", "tie", "start", "text")
+    out = folded.filter("done").select("doc_id", "tie", "start", "n")
+    if any_hot:
+        more, repeats = _blocks(fetched.filter("hot"), window, shard_words)
+        todo, out = todo.unionByName(more), out.union(repeats)
+    sharded = todo.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "parted", "other", "doc_id", "tie", "start")
     found = stored(sharded.mapInArrow(_resolve(window, shard_words), PIECES), "repeats-found")
-    return folded.filter("done").union(found).select("doc_id", "start", "n")
+    return out.union(found.select("doc_id", "tie", "start", "n"))
+
+
+def _with_ties(own: DataFrame) -> DataFrame:
+    """Adds tie: a hash of the text where an id has several texts, else 0."""
+    h = F.xxhash64("text")
+    several = stored(own.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("doc_id", F.lit(True).alias("several")), "repeats-ids")
+    if several.isEmpty():
+        return own.withColumn("tie", F.lit(0).cast("long"))
+    return own.join(_few(several), "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), h).otherwise(0).alias("tie"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one blank).
 
     Earlier means a smaller doc_id, or the same document and an earlier start. A null text has no words; texts
-    with fewer words than window keep all. Rows that repeat a doc_id must repeat its text; they are answered
-    alike. A null doc_id counts as smaller than every other. Other columns are ignored.
+    with fewer words than window keep all. Ids are whole numbers; a null one counts as smaller than every other. Rows
+    that repeat an id, or have none, with another text are documents of their own, in the order of a hash of the text;
+    rows equal in id and text are one document and answered alike. Other columns are ignored.
     """
     null_id = -(2**63)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc_id"), text_of(text_col).alias("text"))
+    own = _with_ties(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("doc_id"), text_of(text_col).alias("text")))
     found = repeated_windows(own, window, **how)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("own"))
-    both = own.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "text", "own")
+    by_doc = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("own"))
+    both = own.join(by_doc.hint("merge"), ["doc_id", "tie"], "left").select("doc_id", "text", "own")
     out = both.mapInArrow(_take_out(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(null_id)))
 

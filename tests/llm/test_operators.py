@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from roadgraph.llm.common import row_key
 from roadgraph.llm import decontamination, exact_dedup, html_text, kd_sharding, language_id, packing, pii, quality, set_join, substring_dedup
 
 DATA = "/root/testdata/sf0.001"
@@ -143,6 +144,48 @@ def test_substring_dedup_of_wide_windows(spark, window):
     assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts, window)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_substring_dedup_of_repeated_and_null_ids(spark, monkeypatch, few):
+    """Rows with one id, or none, and different texts are documents of their own, in the order of a hash."""
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    shared = prose(60)
+    texts = [(7, shared), (7, prose(2)), (None, prose(30) + " " + shared), (None, prose(40)), (None, shared + " " + prose(9)), (3, shared), (7, shared), (9, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ties = {t: h for t, h in df.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted({(i if i is not None else -(2**63), ties[t] if i in (7, None) else 0, t or "") for i, t in texts})
+    want = brute_repeats([t for _, _, t in order], 20)
+    want = {(i, t): want[k] for k, (i, _, t) in enumerate(order)}
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(df).collect())
+    assert got == sorted((str(i), *want[(i if i is not None else -(2**63), t or "")]) for i, t in texts)
+
+
+def test_substring_dedup_of_a_hot_passage(spark):
+    """A passage in every text with other words around it: its anchors fill many shards, are cut again and parted into blocks."""
+    few = VOCAB[:6]
+    passage = prose(45)
+    texts = [" ".join(random.choices(few, k=random.randint(1, 4))) + " " + passage + " " + " ".join(random.choices(few, k=random.randint(1, 6))) + " " + prose(10) for _ in range(400)]
+    got = by_id(substring_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard_words=300))
+    assert {k: (r.n_words, r.n_removed, r.kept_sha256) for k, r in got.items()} == brute_repeats(texts, 20)
+
+
+def test_an_anchor_of_many_wordings_is_parted(spark, monkeypatch):
+    """50,000 wordings of one anchor never meet in one index."""
+    import pyarrow as pa
+
+    seen = []
+    make = substring_dedup.Shard.__init__
+    monkeypatch.setattr(substring_dedup.Shard, "__init__", lambda self, own, window: (seen.append(sum(len(p[3]) + 1 for p in own)), make(self, own, window))[1])
+    n, window, most = 50_000, 20, 100_000
+    rng = random.Random(1)
+    core = prose(19).encode()
+    rows = [(1, k % 13, True, other, i, 0, 0, b" ".join([core, str(i % 9_000).encode()])) for k in range(13) for other in (False, True) for i in range(n) if (i % 13 == k) != other]
+    cols = list(zip(*rows))
+    types = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["anchor", "block", "parted", "other", "doc_id", "tie", "start", "text"])
+    found = {d for b in substring_dedup._resolve(window, most)(iter([batch])) for d in b.column("doc_id").to_pylist()}
+    assert found == set(range(9_000, n)) and len(seen) == 13 and max(seen) < most and rng
+
+
 def test_matching_statistics():
     import numpy as np
 
@@ -151,27 +194,32 @@ def test_matching_statistics():
     rng = random.Random(3)
     text = [rng.randint(1, 6) if rng.random() > 0.05 else 0 for _ in range(800)] + [0]
     query = [rng.choice([1, 2, 3, 4, 5, 6, 9, -1]) for _ in range(300)]
-    index = FMIndex(np.array(text))
+    index = FMIndex(np.array(text), 4)
     cuts = [0, 40, 41, 160, 300]
-    size, place = index.matching(np.array(query), np.array(cuts[1:]), np.diff(cuts), 9)
-    where = {tuple(text[i : i + n]) for n in range(1, 10) for i in range(len(text) - n + 1)}
+    size, low, high = index.matching(np.array(query), np.array(cuts[1:]), np.diff(cuts))
+    where = {}
+    for n in range(1, 5):
+        for i in range(len(text) - n + 1):
+            where.setdefault(tuple(text[i : i + n]), []).append(i)
     for a, b in zip(cuts, cuts[1:]):
         for i in range(a, b):
             n = 0
-            while n < 9 and i + n < b and tuple(query[i : i + n + 1]) in where:
+            while n < 4 and i + n < b and tuple(query[i : i + n + 1]) in where:
                 n += 1
             assert size[i] == n
-            assert not n or text[index.sa[place[i]] : index.sa[place[i]] + n] == query[i : i + n]
+            assert not n or high[i] - low[i] == len(where[tuple(query[i : i + n])])
+            assert n < 4 or index.earliest(low[i : i + 1])[0] == min(where[tuple(query[i : i + n])])
 
 
 def test_pii(spark):
     texts = [
         None, "", "write to Ann.Lee+x@mail.example.org, or a@b", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "host 10.0.0.255 and 10.0.0.256 v1.2.3.4.5.6.7.8",
         "call +1 (415) 555-0100 now, +12", "IBAN GB82 WEST 1234 5698 7654 32 ok, DE89370400440532013001", "ssn 123-45-6789 000-12-3456", "é" * 50 + " a@b.co " + "x@" * 2000, "1 " * 30_000,
-        ("a.b@c.de ") * 1500,
+        ("a.b@c.de ") * 1500, "my iban DE89370400440532013000 and my social security 123-45-6789", "a sample DE89370400440532013000, part 123-45-6789, order 4111111111111111",
     ]
     got = {r.doc_id: [(s.kind, s.start, s.end, s.value) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == got[1] == got[9] == []
+    assert [x[3] for x in got[11]] == ["DE89370400440532013000", "123-45-6789"] and [x[0] for x in got[12]] == ["card"]
     assert got[2] == [("email", 9, 35, "Ann.Lee+x@mail.example.org")]
     assert got[3] == [("card", 5, 24, "4111 1111 1111 1111")]
     assert [x[3] for x in got[4]] == ["10.0.0.255", "1.2.3.4", "5.6.7.8"]
@@ -356,26 +404,72 @@ def test_html_text(spark):
     assert got[99].text == "" and got[99].n_lines == 0
 
 
+def plain_stages(spark, docs, model, items):
+    """What each stage keeps, as lists of (doc_id, text, other columns), with plain Python."""
+    last = lambda i: (i is None, i or 0)
+    key = {(r.doc_id, r.text): bytes(r.k) for r in docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    rows = [tuple(r) for r in docs.collect()]
+    good = [r for r in rows if model is None or model.score(quality._stack([r[1]]))[0] >= quality.THRESHOLD]
+    by_norm = {}
+    for r in good:
+        by_norm.setdefault("".join(c for c in (r[1] or "") if c not in " \t\n\x0b\x0c\r"), []).append(r)
+    exact = [min(g, key=lambda r: (-len(r[1] or ""), last(r[0]), key[r[:2]])) for g in by_norm.values()]
+    groups = brute_groups([r[1] for r in exact])
+    of = {}
+    for k, r in enumerate(exact):
+        of.setdefault(groups[k][1], []).append(r)
+    near = [min(g, key=lambda r: (last(r[0]), key[r[:2]])) for g in of.values()]
+    wanted = [shingles_of(t or "") for t in items]
+    clean = [r for r in near if not any(w and len(w & shingles_of(r[1] or "")) >= 0.8 * len(w) for w in wanted)]
+    return good, exact, near, clean
+
+
+def check_stages(spark, docs, sf_dir, model, items):
+    """All five stages, each on what the one before it kept, row for row."""
+    import corpus_pipeline as c
+
+    kept = docs
+    for (name, stage), want in zip(c.STAGES, plain_stages(spark, docs, model, items)):
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns, name
+        kept = set_join.stored(kept, "test")
+        assert sorted(str(r[:2]) for r in map(tuple, kept.collect())) == sorted(str(r[:2]) for r in want), name
+    packed = c.STAGES[4][1](spark, kept, sf_dir).toPandas()
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    lengths = sorted((-1 if i is None else i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in kept.select("doc_id", "text").collect())
+    pieces = packed.fillna({"doc_id": -1})
+    assert sum(n for _, n in lengths) == pieces["length"].sum() and len(pieces) == sum(-(-n // 2048) for _, n in lengths)
+    assert set(pieces["doc_id"].astype(int)) == {i for i, _ in lengths}
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 2048
+    return packed
+
+
 def test_pipeline(spark):
-    """Every stage against plain Python on what the one before it kept."""
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    stages = dict(c.STAGES)
-    good = stages["quality classifier"](spark, docs, DATA)
     model = quality.fitted(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    kept = {r.doc_id: r.text for r in docs.collect() if model.score(quality._stack([r.text]))[0] >= quality.THRESHOLD}
-    assert {r.doc_id for r in good.collect()} == set(kept)
-    ids = sorted(kept)
-    want = brute_dedup([kept[i] for i in ids])
-    exact = stages["exact dedup"](spark, good, DATA)
-    left = [i for k, i in enumerate(ids) if want[k][1]]
-    assert sorted(r.doc_id for r in exact.collect()) == left and exact.columns == docs.columns
-    groups = brute_groups([kept[i] for i in left])
-    near = stages["n-gram Jaccard join"](spark, exact, DATA)
-    left = [i for k, i in enumerate(left) if groups[k][1] == k]
-    assert sorted(r.doc_id for r in near.collect()) == left and near.columns == docs.columns
-    clean = stages["benchmark decontamination"](spark, near, DATA)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} <= set(left)
-    packed = c.run(spark, DATA)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    packed = check_stages(spark, docs, DATA, model, items)
+    assert sorted(c.run(spark, DATA).toPandas()["doc_id"]) == sorted(packed["doc_id"])
+
+
+def test_pipeline_of_nulls_repeats_and_ties(spark, tmp_path):
+    """No label matches, so stage 1 keeps all. Null ids with texts of their own stay; of repeated ids every text counts."""
+    item = prose(40)
+    near = lambda t, k: " ".join(w if i != k else "changed" for i, w in enumerate(t.split()))
+    a, b, c, d = (prose(n) for n in (120, 150, 90, 60))
+    texts = [
+        (None, a), (None, b), (None, c), (1, a), (2, "  " + b), (3, c + "\n"), (3, d), (3, near(d, 5)), (3, d), (None, d), (4, near(a, 7)), (None, near(b, 9)), (None, prose(30)), (None, prose(30)),
+        (5, prose(20) + " " + item), (None, item.upper() + " " + prose(9)), (6, None), (6, ""), (None, None), (None, " \t"), (7, "one"), (8, "one two"), (8, "one two"), (9, LONG), (9, LONG[:-7]),
+    ]
+    rows = [(i, t, 1, "x", None, k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_of_id int, chosen_id string, h string, row_key long")
+    spark.createDataFrame([(99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    check_stages(spark, docs, str(tmp_path), None, [item])
+    check_stages(spark, docs.limit(0), str(tmp_path), None, [item])
