@@ -8,21 +8,23 @@ TABLES = ("region", "customer", "part", "lineitem", "events", "embeddings")
 
 #: name -> SQL with the tables it reads in braces
 SQL = {
-    "fx_edges": """SELECT CAST(FLOOR(a.l_orderkey/960) AS BIGINT) AS graph_id,
-        LEAST(a.l_partkey%64,b.l_partkey%64) AS u, GREATEST(a.l_partkey%64,b.l_partkey%64) AS v, MIN(CAST(a.l_quantity AS BIGINT)) AS w
+    "fx_edges": """SELECT CAST(FLOOR(a.l_orderkey/16) AS BIGINT) AS graph_id,
+        LEAST(a.l_partkey%16,b.l_partkey%16) AS u, GREATEST(a.l_partkey%16,b.l_partkey%16) AS v, MIN(CAST(a.l_quantity AS BIGINT)) AS w
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1
-        WHERE a.l_partkey%64<>b.l_partkey%64 AND a.l_orderkey%960<20 GROUP BY 1,2,3""",
+        WHERE a.l_partkey%16<>b.l_partkey%16 GROUP BY 1,2,3""",
     "fx_nodes": """SELECT g.graph_id, n.node_id, (n.node_id*37+g.graph_id*11)%512 AS pos_r, (n.node_id*101+g.graph_id*29)%512 AS pos_c,
         CASE WHEN n.node_id%3=0 THEN 'endpoint' ELSE 'junction' END AS kind
-        FROM (SELECT DISTINCT graph_id FROM {fx_edges}) g JOIN (SELECT DISTINCT p_partkey%64 AS node_id FROM {part}) n ON 1=1""",
+        FROM (SELECT DISTINCT graph_id FROM {fx_edges}) g JOIN (SELECT DISTINCT p_partkey%16 AS node_id FROM {part}) n ON 1=1""",
     "fx_scen": """SELECT g.graph_id*3+s.s AS scenario_id, g.graph_id, (g.graph_id*53+s.s*170)%512 AS epi_r, (g.graph_id*97+s.s*130)%512 AS epi_c, 60+40*s.s AS radius
         FROM (SELECT DISTINCT graph_id FROM {fx_edges}) g JOIN (SELECT r_regionkey AS s FROM {region} WHERE r_regionkey<3) s ON 1=1""",
-    "fx_lines": """SELECT e.graph_id AS tile_id, e.u*64+e.v AS line_id, a.pos_r%64 AS r0, a.pos_c%64 AS c0, b.pos_r%64-a.pos_r%64 AS dr, b.pos_c%64-a.pos_c%64 AS dc,
-        GREATEST(ABS(b.pos_r%64-a.pos_r%64),ABS(b.pos_c%64-a.pos_c%64)) AS n
-        FROM {fx_edges} e JOIN {fx_nodes} a ON a.graph_id=e.graph_id AND a.node_id=e.u JOIN {fx_nodes} b ON b.graph_id=e.graph_id AND b.node_id=e.v
-        WHERE (e.u+e.v)%4=0""",
+    "fx_lines": """SELECT CAST(FLOOR(q.graph_id/8) AS BIGINT) AS tile_id, q.graph_id%8 AS line_id, q.r0, q.c0, q.r1-q.r0 AS dr, q.c1-q.c0 AS dc, GREATEST(ABS(q.r1-q.r0),ABS(q.c1-q.c0)) AS n
+        FROM (SELECT graph_id, CAST(SUM(u*7+w)%64 AS BIGINT) AS r0, CAST(SUM(v*5+w)%64 AS BIGINT) AS c0, CAST(SUM(u+3*v)%64 AS BIGINT) AS r1, CAST(SUM(w)%64 AS BIGINT) AS c1 FROM {fx_edges} GROUP BY graph_id) q""",
     "fx_skel": """SELECT DISTINCT l.tile_id, l.r0+CAST(FLOOR((2*t.t*l.dr+l.n)/(2*l.n)) AS BIGINT) AS r, l.c0+CAST(FLOOR((2*t.t*l.dc+l.n)/(2*l.n)) AS BIGINT) AS c
         FROM {fx_lines} l JOIN (SELECT DISTINCT p_partkey%64 AS t FROM {part}) t ON t.t<=l.n WHERE l.n>0""",
+    "fx_ring": """SELECT q.tile_id, 8+CASE q.side WHEN 0 THEN q.o WHEN 1 THEN q.k-q.o WHEN 2 THEN -q.o ELSE q.o-q.k END AS r, 8+CASE q.side WHEN 0 THEN q.k-q.o WHEN 1 THEN -q.o WHEN 2 THEN q.o-q.k ELSE q.o END AS c
+        FROM (SELECT p.p_partkey AS tile_id, 2+p.p_partkey%5 AS k, CAST(FLOOR(t.t/(2+p.p_partkey%5)) AS BIGINT) AS side, t.t%(2+p.p_partkey%5) AS o
+            FROM {part} p JOIN (SELECT DISTINCT p_partkey%64 AS t FROM {part}) t ON t.t<4*(2+p.p_partkey%5)) q
+        UNION ALL SELECT p_partkey, CAST(8 AS BIGINT), 11+p_partkey%5 FROM {part} WHERE p_partkey%7=0""",
     "fx_files": """SELECT 'img' AS side, CONCAT('img/SN3_roads_train_AOI_',CAST(p_partkey%5 AS VARCHAR(20)),'_City_PS-RGB_img',CAST(p_partkey AS VARCHAR(20)),'.tif') AS path FROM {part} WHERE p_partkey%7<>0
         UNION ALL SELECT 'img', CONCAT('img/z/AOI_',CAST(p_partkey%5 AS VARCHAR(20)),'_City_img',CAST(p_partkey AS VARCHAR(20)),'.png') FROM {part} WHERE p_partkey%11=0
         UNION ALL SELECT 'vec', CONCAT('vec/SN3_roads_train_AOI_',CAST(p_partkey%5 AS VARCHAR(20)),'_City_geojson_roads_img',CAST(p_partkey AS VARCHAR(20)),'.geojson') FROM {part} WHERE p_partkey%5<>1""",

@@ -7,22 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadgraph.operators.paths import G, MAX_ROUNDS, ShortestPaths, avg_shortest_path, components, efficiency, largest_component, path_counts
+from roadgraph.operators.paths import G, ShortestPaths, avg_shortest_path, efficiency, hop_distances, largest_component, layered, path_counts, reachable_components
 from roadgraph.plans.loops import kept
 
+def _rank():
+    """Place of a node by betweenness, then number; sums that differ only by the order of additions count as equal."""
+    return F.row_number().over(Window.partitionBy(G).orderBy(F.desc(F.round("betweenness", 9)), "node_id"))
+
 
 def dependencies(paths: ShortestPaths) -> DataFrame:
     """graph_id, src, x, delta: how much of the shortest paths from src runs through x (Brandes 2001), summed in layers."""
-    layer = paths.dist.select(G, "src", F.col("dst").alias("v"), F.lit(1.0).alias("c"))
-    layers = []
-    for _ in range(MAX_ROUNDS):
-        layer = kept(layer.join(paths.dag, [G, "src", "v"]).groupBy(G, "src", F.col("u").alias("v")).agg(F.sum(F.col("share") * F.col("c")).alias("c")))
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-    if not layers:
-        return layer.select(G, "src", F.col("v").alias("x"), F.col("c").alias("delta"))
-    return kept(reduce(DataFrame.union, layers).groupBy(G, "src", F.col("v").alias("x")).agg(F.sum("c").alias("delta")))
+    first = paths.dist.select(G, "src", F.col("dst").alias("v"), F.lit(1.0).alias("c"))
+    layers = layered(first, lambda x: x.join(paths.dag, [G, "src", "v"]).groupBy(G, "src", F.col("u").alias("v")).agg(F.sum(F.col("share") * F.col("c")).alias("c")))
+    return kept(reduce(DataFrame.union, layers[1:]).groupBy(G, "src", F.col("v").alias("x")).agg(F.sum("c").alias("delta")))
 
 
 def _counted(nodes: DataFrame) -> DataFrame:
@@ -60,8 +57,9 @@ def edge_betweenness(paths: ShortestPaths, edges: DataFrame, delta: DataFrame |
 
 def max_normalize(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """Adds value divided by its group's maximum; a maximum of 0 counts as 1."""
-    top = F.max(value).over(Window.partitionBy(group))
-    return df.withColumn(out, F.col(value) / F.when(top == 0, 1.0).otherwise(top))
+    top = F.col("top_of_group")
+    tops = df.groupBy(group).agg(F.max(value).alias("top_of_group"))
+    return df.join(tops, group).withColumn(out, F.col(value) / F.when(top == 0, 1.0).otherwise(top)).select(*df.columns, out)
 
 
 def edge_criticality(edge_bc: DataFrame) -> DataFrame:
@@ -76,26 +74,33 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def gatekeepers(bc: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
     """All nodes, or the first k per graph, by betweenness, then node_id, with position, kind, degree and rank from 1."""
-    rank = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("betweenness"), "node_id"))
-    own = nodes.join(bc, [G, "node_id"]).join(degree(edges), [G, "node_id"], "left").na.fill(0, ["degree"]).withColumn("rank", rank)
+    own = nodes.join(bc, [G, "node_id"]).join(degree(edges), [G, "node_id"], "left").na.fill(0, ["degree"]).withColumn("rank", _rank())
     own = own if k is None else own.filter(F.col("rank") <= k)
     return own.select(G, "node_id", "pos_r", "pos_c", "kind", "betweenness", "degree", "rank")
 
 
 def top_fraction(df: DataFrame, group: str, value: str, fraction: float, *ties: str) -> DataFrame:
     """max(1, ceil(n * fraction)) rows of each group with the largest values."""
-    w = Window.partitionBy(group)
-    own = df.withColumn("place", F.row_number().over(w.orderBy(F.desc(value), *ties))).withColumn("size", F.count(F.lit(1)).over(w))
-    return own.filter(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * fraction))).drop("place", "size")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size_of_group"))
+    own = df.join(sizes, group).withColumn("place_in_group", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), *ties)))
+    return own.filter(F.col("place_in_group") <= F.greatest(F.lit(1), F.ceil(F.col("size_of_group") * fraction))).select(*df.columns)
+
+
+def cap(df: DataFrame, n: int, order: list[str], group: str | None = None) -> DataFrame:
+    """The first n rows by order, of every group or of all; fewer where there are fewer."""
+    if group is None:
+        return df.orderBy(*order).limit(n)
+    return df.withColumn("place_in_group", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place_in_group") <= n).select(*df.columns)
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+def snapshot(nodes: DataFrame, edges: DataFrame, baseline: DataFrame | None = None, dist: DataFrame | None = None) -> DataFrame:
     """graph_id, efficiency, resilience (to baseline(graph_id, e0), else to itself), n_components, largest, isolated, avg_path.
-    isolated counts all nodes outside the largest component."""
-    comp = kept(components(nodes, edges))
+    isolated counts all nodes outside the largest component. dist: distances of all nodes, where they are known."""
+    hops = kept(hop_distances(nodes, edges))  # all reachable pairs, which tell the components as well
+    comp = kept(reachable_components(hops))
     counts = comp.groupBy(G).agg(F.count_distinct("comp_id").alias("n_components"), F.count(F.lit(1)).alias("n_nodes"))
     big = largest_component(comp).select(G, F.col("size").alias("largest"))
-    all_ = efficiency(nodes, edges).drop("n").join(counts, G).join(big, G).join(avg_shortest_path(nodes, edges), G, "left")
+    all_ = efficiency(nodes, edges, hops).drop("n").join(counts, G).join(big, G).join(avg_shortest_path(nodes, edges, comp=comp, dist=dist), G, "left")
     all_ = all_.join(baseline, G, "left") if baseline is not None else all_.withColumn("e0", F.col("efficiency"))
     r = F.when(F.coalesce("e0", F.lit(0.0)) == 0, 0.0).otherwise(F.col("efficiency") / F.col("e0"))
     return all_.select(G, "efficiency", r.alias("resilience"), "n_components", "largest", (F.col("n_nodes") - F.col("largest")).alias("isolated"), "avg_path")
@@ -120,12 +125,13 @@ def removal_curve(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, n_s
     Otherwise nodes go by the first ranking, and every step is a scenario of its own in one job.
     """
     steps = kept(_steps(nodes, fraction, n_steps))
-    base = kept(snapshot(nodes, edges))
+    paths = path_counts(nodes, edges)
+    base = kept(snapshot(nodes, edges, dist=paths.dist))
     e0 = base.select(G, F.col("efficiency").alias("e0"))
     first = base.select(G, F.lit(0).alias("step"), F.lit(None).cast("long").alias("removed_node"), *base.columns[1:])
-    rank = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("betweenness"), "node_id"))
+    rank = _rank()
     if not adaptive:
-        order = kept(node_betweenness(path_counts(nodes, edges)).withColumn("at", rank).join(steps, G).filter("at <= steps"))
+        order = kept(node_betweenness(paths).withColumn("at", rank).join(steps, G).filter("at <= steps"))
         s = order.select(G, F.col("at").alias("step"))
         key = F.struct(G, "step")
         gone = s.join(order.select(G, "node_id", "at"), G).filter("at <= step").select(key.alias("k"), "node_id")
@@ -139,10 +145,20 @@ def removal_curve(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, n_s
     out, gone = [first], None
     most = steps.agg(F.max("steps")).first()[0] or 0
     n, e = nodes, edges
-    for k in range(1, most + 1):
+    for k in range(1, most + 1):  # the paths that rank a graph's nodes are those of its last snapshot
         open_ = steps.filter(F.col("steps") >= k).select(G)
         n, e = n.join(open_, G, "left_semi"), e.join(open_, G, "left_semi")
-        top = kept(node_betweenness(path_counts(n, e)).withColumn("at", rank).filter("at = 1").select(G, "node_id"))
+        top = kept(node_betweenness(paths).join(open_, G, "left_semi").withColumn("at", rank).filter("at = 1").select(G, "node_id"))
         n, e = (kept(x) for x in survivors(n, e, top))
-        out.append(snapshot(n, e, e0).join(top, G).select(G, F.lit(k).alias("step"), F.col("node_id").alias("removed_node"), *base.columns[1:]))
+        paths = path_counts(n, e)
+        out.append(snapshot(n, e, e0, paths.dist).join(top, G).select(G, F.lit(k).alias("step"), F.col("node_id").alias("removed_node"), *base.columns[1:]))
     return reduce(DataFrame.union, out)
+
+
+def full_report(nodes: DataFrame, edges: DataFrame, k: int | None = None, fraction: float = 0.2) -> DataFrame:
+    """graph_id, place, and side by side the gatekeeper of that rank (node_id, betweenness, degree) and the step of that number of
+    the adaptive removal curve (removed_node, efficiency, resilience, largest, isolated). Step 0 is the whole graph; where one of
+    both is longer, the other's columns are null."""
+    top = gatekeepers(node_betweenness(path_counts(nodes, edges)), nodes, edges, k).select(G, F.col("rank").alias("place"), "node_id", "betweenness", "degree")
+    curve = removal_curve(nodes, edges, fraction).select(G, F.col("step").alias("place"), "removed_node", "efficiency", "resilience", "largest", "isolated")
+    return top.join(curve, [G, "place"], "full_outer")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgraph.operators.centrality import edge_betweenness, node_betweenness, survivors, top_fraction
-from roadgraph.operators.paths import G, components, efficiency, largest_component, path_counts
+from roadgraph.operators.paths import G, efficiency, hop_distances, largest_component, path_counts, reachable_components
 from roadgraph.plans.loops import kept
 
 #: Stands for an endless loss of time.
 NO_PATH_PENALTY = 999.0
+#: Side of the grid cells in which nodes and blasts meet.
+CELL = 64
 
 
 def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:
@@ -31,10 +33,15 @@ def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame
 
 
 def blast_hits(nodes: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """scenario_id, graph_id, node_id of all nodes within a scenario's radius."""
-    s = scenarios.select("scenario_id", G, "epi_r", "epi_c", "radius")
+    """scenario_id, graph_id, node_id of all nodes within a scenario's radius. Both meet in grid cells, so one large graph
+    with many scenarios is not compared node by node; a negative radius hits nothing."""
+    r, side = F.col("radius"), F.lit(float(CELL))
+    edge = lambda x, sign: F.floor((F.col(x) + sign * r) / side).cast("long")
+    s = scenarios.filter("radius >= 0").select("scenario_id", G, "epi_r", "epi_c", "radius", F.explode(F.sequence(edge("epi_r", -1), edge("epi_r", 1))).alias("cr"), F.sequence(edge("epi_c", -1), edge("epi_c", 1)).alias("ccs"))
+    s = s.select("*", F.explode("ccs").alias("cc")).drop("ccs")
+    n = nodes.select(G, "node_id", "pos_r", "pos_c", F.floor(F.col("pos_r") / side).cast("long").alias("cr"), F.floor(F.col("pos_c") / side).cast("long").alias("cc"))
     dr, dc = F.col("pos_r") - F.col("epi_r"), F.col("pos_c") - F.col("epi_c")
-    return nodes.join(s, G).filter(dr * dr + dc * dc <= F.col("radius") * F.col("radius")).select("scenario_id", G, "node_id")
+    return n.join(s, [G, "cr", "cc"]).filter(dr * dr + dc * dc <= r * r).select("scenario_id", G, "node_id")
 
 
 def _per_scenario(df: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -61,8 +68,9 @@ def impact(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fallback: b
     all_n, all_e = _per_scenario(nodes, scenarios), kept(_per_scenario(edges, scenarios))
     n, e = (kept(x) for x in survivors(all_n, all_e, gone))
     pre = efficiency(nodes, edges).select(G, F.col("efficiency").alias("e_pre"), F.col("n").alias("n_pre"))
-    post = efficiency(n, e).select(F.col(G).alias("scenario_id"), F.col("efficiency").alias("post"))
-    comp = kept(components(n, e))
+    hops = kept(hop_distances(n, e))  # all reachable pairs, which tell the components as well
+    post = efficiency(n, e, hops).select(F.col(G).alias("scenario_id"), F.col("efficiency").alias("post"))
+    comp = reachable_components(hops)
     shape = comp.groupBy(G).agg(F.count_distinct("comp_id").alias("nc"), F.count(F.lit(1)).alias("nn")).join(largest_component(comp).select(G, "size"), G)
     shape = shape.select(F.col(G).alias("scenario_id"), "nc", (F.col("nn") - F.col("size")).alias("iso"))
     n_edges = lambda df, name: df.groupBy(F.col(G).alias("scenario_id")).agg(F.count(F.lit(1)).alias(name))
@@ -83,7 +91,7 @@ def impact(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fallback: b
 
 def bottlenecks(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fraction: float = 0.10) -> DataFrame:
     """scenario_id, u, v, betweenness of the most used edges of what survives each scenario."""
-    gone = hit_nodes(nodes, edges, scenarios).select(F.col("scenario_id").alias(G), "node_id")
+    gone = kept(hit_nodes(nodes, edges, scenarios)).select(F.col("scenario_id").alias(G), "node_id")
     n, e = (kept(x) for x in survivors(_per_scenario(nodes, scenarios), _per_scenario(edges, scenarios), gone))
     bc = edge_betweenness(path_counts(n, e), e)
     return top_fraction(bc, G, "betweenness", fraction, "u", "v").withColumnRenamed(G, "scenario_id")
@@ -128,11 +136,16 @@ def connectivity_boost(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(G, F.when(F.col("pre") == 0, 0.0).otherwise((F.col("post") - F.col("pre")) / F.col("pre") * 100).alias("boost"))
 
 
-def network_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, n_nodes, n_edges, n_healed (edges marked synthetic), efficiency."""
+def network_stats(nodes: DataFrame, edges: DataFrame, mask: DataFrame | None = None, skel: DataFrame | None = None) -> DataFrame:
+    """graph_id, n_nodes, n_edges, n_healed (edges marked synthetic), efficiency, and with the tables of pixels they came from
+    road_px and skeleton_px; 0 where a graph has none."""
     healed = F.count_if("synthetic") if "synthetic" in edges.columns else F.lit(0).cast("long")
     e = edges.groupBy(G).agg(F.count(F.lit(1)).alias("n_edges"), healed.alias("n_healed"))
-    return efficiency(nodes, edges).join(e, G, "left").na.fill(0, ["n_edges", "n_healed"]).select(G, F.col("n").alias("n_nodes"), "n_edges", "n_healed", "efficiency")
+    out = efficiency(nodes, edges).join(e, G, "left").na.fill(0, ["n_edges", "n_healed"]).select(G, F.col("n").alias("n_nodes"), "n_edges", "n_healed", "efficiency")
+    for name, px in (("road_px", mask), ("skeleton_px", skel)):
+        if px is not None:
+            out = out.join(px.groupBy(F.col("tile_id").alias(G)).agg(F.count(F.lit(1)).alias(name)), G, "left").na.fill(0, [name])
+    return out
 
 
 def path_error(truth: tuple[DataFrame, DataFrame], pred: tuple[DataFrame, DataFrame], pairs: DataFrame, reach: float = 50) -> DataFrame:

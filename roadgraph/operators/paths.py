@@ -6,6 +6,7 @@ nodes(graph_id, node_id, ...) and edges(graph_id, u, v, w); graph_id may be any
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,8 @@ from roadgraph.plans.loops import kept
 
 G = "graph_id"
 MAX_ROUNDS = 10_000
+#: Layers of a graph of shortest paths that one job computes.
+LAYERS = 4
 
 
 def adjacency(edges: DataFrame, weight: str = "w") -> DataFrame:
@@ -58,9 +61,20 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     return reduce(DataFrame.union, found)
 
 
-def efficiency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, n, efficiency: mean of 1 / hops over ordered pairs, 0 for pairs without a path and for graphs of one node."""
-    by_hops = hop_distances(nodes, edges).filter("hops > 0").groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k"))
+def reachable_components(hops: DataFrame) -> DataFrame:
+    """components, from hop_distances of all nodes: the least node that a node reaches."""
+    return hops.groupBy(G, F.col("src").alias("node_id")).agg(F.min("dst").alias("comp_id"))
+
+
+def efficiency(nodes: DataFrame, edges: DataFrame, hops: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """graph_id, n, efficiency: mean of 1 / hops over ordered pairs, 0 for pairs without a path and for graphs of one node.
+    hops: hop_distances, where they are known. sources(graph_id, src): an estimate from these sources only, for large graphs."""
+    if sources is not None:
+        found = hop_distances(nodes, edges, sources).filter("hops > 0").groupBy(G).agg(F.sum(1 / F.col("hops")).alias("s"))
+        k = sources.groupBy(G).agg(F.count_distinct("src").alias("k"))
+        n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n")).join(k, G, "left").join(found, G, "left")
+        return n.select(G, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("k") * (F.col("n") - 1))).alias("efficiency"))
+    by_hops = (hops if hops is not None else hop_distances(nodes, edges)).filter("hops > 0").groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k"))
     sums = by_hops.groupBy(G).agg(F.sum(F.col("k") / F.col("hops")).alias("s"))
     n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
     value = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1)))
@@ -68,17 +82,39 @@ def efficiency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, weight: str = "w") -> DataFrame:
-    """graph_id, src, dst, dist: weighted distances, by relaxing only what got shorter in the round before."""
+    """graph_id, src, dst, dist: weighted distances, by relaxing only what got shorter in the round before. A round writes no
+    more than what it made shorter."""
     adj = kept(adjacency(edges, weight).select(G, F.col("u").alias("dst"), F.col("v").alias("next"), "w"))
-    best = kept(_starts(nodes, sources).select(G, "src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("new")))
+    found = [kept(_starts(nodes, sources).select(G, "src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist")))]
+    for _ in range(MAX_ROUNDS):
+        step = found[-1].join(adj, [G, "dst"]).groupBy(G, "src", F.col("next").alias("dst")).agg(F.min(F.col("dist") + F.col("w")).alias("cand"))
+        met = step.join(_least(found), [G, "src", "dst"], "left").filter("dist is null or cand < dist")
+        new = kept(met.select(G, "src", "dst", F.col("cand").alias("dist")))
+        if new.isEmpty():
+            break
+        found.append(new)
+    return _least(found)
+
+
+def _least(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, found).groupBy(G, "src", "dst").agg(F.min("dist").alias("dist"))
+
+
+def layered(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """first, step(first), step(step(first)) and so on until nothing is left. Several layers are computed in one job, which
+    shares their shuffles, and kept together."""
+    layers, last = [first], first
     for _ in range(MAX_ROUNDS):
-        step = best.filter("new").join(adj, [G, "dst"]).groupBy(G, "src", F.col("next").alias("dst")).agg(F.min(F.col("dist") + F.col("w")).alias("cand"))
-        both = best.select(G, "src", "dst", "dist").join(step, [G, "src", "dst"], "full_outer")
-        shorter = F.col("dist").isNull() | (F.col("cand") < F.col("dist"))
-        best = kept(both.select(G, "src", "dst", F.least("dist", "cand").alias("dist"), F.coalesce(shorter, F.lit(False)).alias("new")))
-        if best.filter("new").isEmpty():
+        some = []
+        for k in range(LAYERS):
+            last = step(last)
+            some.append(last.withColumn("layer", F.lit(k)))
+        some = kept(reduce(DataFrame.union, some))
+        layers.append(some.drop("layer"))
+        last = some.filter(F.col("layer") == LAYERS - 1).drop("layer")
+        if last.isEmpty():
             break
-    return best.drop("new")
+    return layers
 
 
 @dataclass
@@ -97,13 +133,8 @@ def path_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     a = dist.select(G, "src", F.col("dst").alias("u"), F.col("dist").alias("du"))
     b = dist.select(G, "src", F.col("dst").alias("v"), F.col("dist").alias("dv"))
     dag = kept(a.join(adjacency(edges, weight), [G, "u"]).join(b, [G, "src", "v"]).filter("du + w = dv").select(G, "src", "u", "v"))
-    layer = kept(dist.filter("src = dst").select(G, "src", F.col("src").alias("x"), F.lit(1.0).alias("c")))
-    layers = [layer]
-    for _ in range(MAX_ROUNDS):
-        layer = kept(layer.withColumnRenamed("x", "u").join(dag, [G, "src", "u"]).groupBy(G, "src", F.col("v").alias("x")).agg(F.sum("c").alias("c")))
-        if layer.isEmpty():
-            break
-        layers.append(layer)
+    start = kept(dist.filter("src = dst").select(G, "src", F.col("src").alias("x"), F.lit(1.0).alias("c")))
+    layers = layered(start, lambda x: x.withColumnRenamed("x", "u").join(dag, [G, "src", "u"]).groupBy(G, "src", F.col("v").alias("x")).agg(F.sum("c").alias("c")))
     sigma = reduce(DataFrame.union, layers).groupBy(G, "src", F.col("x").alias("dst")).agg(F.sum("c").alias("sigma"))
     dist = kept(dist.join(sigma, [G, "src", "dst"]))
     s = dist.select(G, "src", "dst", "sigma")
@@ -113,11 +144,13 @@ def path_counts(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     return ShortestPaths(nodes, dist, kept(shares.select(G, "src", "u", "v", (F.col("su") / F.col("sv")).alias("share"))))
 
 
-def avg_shortest_path(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> DataFrame:
-    """graph_id, avg_path: mean weighted distance between the nodes of the largest component; null if it has one node."""
-    big = components(nodes, edges).join(largest_component(components(nodes, edges)).select(G, "comp_id"), [G, "comp_id"])
+def avg_shortest_path(nodes: DataFrame, edges: DataFrame, weight: str = "w", comp: DataFrame | None = None, dist: DataFrame | None = None) -> DataFrame:
+    """graph_id, avg_path: mean weighted distance between the nodes of the largest component; null if it has one node.
+    comp and dist: components, and distances of all nodes, where they are known."""
+    comp = comp if comp is not None else kept(components(nodes, edges))
+    big = comp.join(largest_component(comp).select(G, "comp_id"), [G, "comp_id"])
     own = big.select(G, F.col("node_id").alias("src"))
-    d = distances(nodes, edges, own, weight).filter("src <> dst").groupBy(G).agg(F.avg("dist").alias("avg_path"))
+    d = (dist.join(own, [G, "src"], "left_semi") if dist is not None else distances(nodes, edges, own, weight)).filter("src <> dst").groupBy(G).agg(F.avg("dist").alias("avg_path"))
     return nodes.select(G).distinct().join(d, G, "left")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Leading hex digits of the hash by which rows are put into ranges for a global order.
 DIGITS = 3
+#: Draws of a weighted sample that meet in one bucket.
+BUCKET_DRAWS = 64
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -48,12 +50,13 @@ def unit(x: Column) -> Column:
     return F.conv(F.substring(x, 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42, buckets: int = 256) -> DataFrame:
+def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
     """(draw, key): n draws with replacement, each row by its weight.
 
     Rows lie side by side on a line, each as long as its weight; draw i falls on a point of it. Rows and points meet in
-    buckets of the line. Rows are summed up inside ranges of the hash, so no task sees all of them.
+    buckets of the line, by default so many that one holds about BUCKET_DRAWS draws. Rows are summed up inside ranges of the hash, so no task sees all of them.
     """
+    buckets = buckets or max(256, n // BUCKET_DRAWS)
     own = df.select(key, weight).withColumn("h", hash_order(key, seed)).withColumn("range", F.substring("h", 1, DIGITS))
     sums = own.groupBy("range").agg(F.sum(weight).alias("s"))
     past = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,8 @@ from roadgraph.plans.loops import kept
 WIDE = 2**20
 DIAGONAL = 2.0**0.5
 MAX_ROUNDS = 10_000
+#: Sub-passes of thinning in one job; an even number.
+PASSES = 2
 #: Neighbours clockwise from the north, as the thinning rule numbers them.
 CLOCK = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
@@ -63,12 +65,13 @@ def _codes(px: DataFrame) -> DataFrame:
 
 
 def thin(mask: DataFrame) -> DataFrame:
-    """One-pixel centre lines (Zhang & Suen 1984): two sub-passes until neither takes a pixel away."""
+    """One-pixel centre lines (Zhang & Suen 1984): two sub-passes until neither takes a pixel away. A job makes PASSES of them."""
     now = kept(mask.select(*K).distinct())
     n = now.count()
     for _ in range(MAX_ROUNDS):
-        for first in (True, False):
-            now = kept(_codes(now).filter(~F.col("nb").isin(_removable(first))).select(*K))
+        for k in range(PASSES):
+            now = _codes(now).filter(~F.col("nb").isin(_removable(k % 2 == 0))).select(*K)
+        now = kept(now)
         left = now.count()
         if left == n:
             return now

@@ -80,10 +80,25 @@ def convolve(px: DataFrame, kernel: DataFrame) -> DataFrame:
     return px.join(sums, [*keys, "r", "c"])
 
 
-def unsharp(px: DataFrame, kernel: DataFrame, amount: float = 0.3) -> DataFrame:
+def blur(px: DataFrame, radius: float) -> DataFrame:
+    """Adds blur: the Gaussian mean of each pixel's neighbourhood, over the pixels that there are. A Gaussian is a product of
+    one along rows and one along columns, so each pixel is sent to 2 * (6 * radius + 1) places, not to the square of that."""
+    keys = [c for c in ("tile_id", "band") if c in px.columns]
+    reach = math.ceil(3 * radius)
+    steps = F.array(*(F.struct(F.lit(i).alias("d"), F.lit(math.exp(-i * i / (2 * radius * radius))).alias("k")) for i in range(-reach, reach + 1)))
+
+    def along(sums: DataFrame, at: str, other: str) -> DataFrame:
+        sent = sums.select(*keys, other, at, "x", "k", F.explode(steps).alias("s")).select(*keys, other, (F.col(at) + F.col("s.d")).alias(at), (F.col("x") * F.col("s.k")).alias("x"), (F.col("k") * F.col("s.k")).alias("k"))
+        return sent.groupBy(*keys, "r", "c").agg(F.sum("x").alias("x"), F.sum("k").alias("k"))
+
+    both = along(along(px.select(*keys, "r", "c", F.col("v").alias("x"), F.lit(1.0).alias("k")), "c", "r"), "r", "c")
+    return px.join(both.select(*keys, "r", "c", (F.col("x") / F.col("k")).alias("blur")), [*keys, "r", "c"])
+
+
+def unsharp(px: DataFrame, radius: float = 2, amount: float = 0.3) -> DataFrame:
     """v + amount * (v - blur), clipped to 0..255."""
     v = F.col("v") + amount * (F.col("v") - F.col("blur"))
-    return convolve(px, kernel).withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).drop("blur")
+    return blur(px, radius).withColumn("v", F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).drop("blur")
 
 
 def sample_grid(cities: DataFrame, per_city: int = 8) -> DataFrame:

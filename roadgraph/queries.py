@@ -199,14 +199,15 @@ def _(img):
 
 @query(
     "P8_unsharp", "fx_prob",
-    sql="""+k AS (SELECT i, j, exp(-(i * i + j * j) / 8.0) AS k FROM (SELECT unnest(range(-6, 7)) AS i) CROSS JOIN (SELECT unnest(range(-6, 7)) AS j)),
+    sql="""+k AS (SELECT i, exp(-i * i / 8.0) AS k FROM (SELECT unnest(range(-6, 7)) AS i)),
         v AS (SELECT tile_id, r, c, floor((logit + 8) * 15) AS v FROM fx_prob),
-        b AS (SELECT v.tile_id, v.r + i AS r, v.c + j AS c, sum(v * k) / sum(k) AS blur FROM v CROSS JOIN k GROUP BY 1, 2, 3)
+        x AS (SELECT v.tile_id, v.r, v.c + i AS c, sum(v * k) AS s, sum(k) AS n FROM v CROSS JOIN k GROUP BY 1, 2, 3),
+        b AS (SELECT x.tile_id, x.r + i AS r, x.c, sum(s * k) / sum(n * k) AS blur FROM x CROSS JOIN k GROUP BY 1, 2, 3)
         SELECT tile_id, r, c, round(greatest(0, least(255, v + 0.3 * (v - blur))), 6) AS v FROM v JOIN b USING (tile_id, r, c)""",
 )
 def _(px):
     v = px.select("tile_id", "r", "c", F.floor((F.col("logit") + 8) * 15).cast("double").alias("v"))
-    return T.unsharp(v, T.gaussian_kernel(px.sparkSession, 2))
+    return T.unsharp(v, 2)
 
 
 @query(
@@ -303,11 +304,11 @@ def _(lines):
 
 @query(
     "P18_class_mask", "fx_prob", "fx_skel",
-    sql="""+m AS (SELECT * FROM fx_prob WHERE logit > 0 AND tile_id < 32) SELECT m.tile_id, m.r, m.c,
+    sql="""+m AS (SELECT * FROM fx_prob WHERE logit > 0) SELECT m.tile_id, m.r, m.c,
         CASE WHEN (m.r + m.c + m.tile_id) % 5 = 0 THEN 'destroyed' WHEN 1 / (1 + exp(-logit)) > 0.7 THEN 'critical' ELSE 'normal' END AS class FROM m""",
 )
 def _(px, skel):
-    m = px.filter("logit > 0 and tile_id < 32")
+    m = px.filter("logit > 0")
     return T.class_mask(m, m.withColumn("crit", C.sigmoid(F.col("logit"))), m.filter((F.col("r") + F.col("c") + F.col("tile_id")) % 5 == 0))
 
 
@@ -503,9 +504,7 @@ def _(e):
 
 @query("W4_cap", "fx_edges", sql="SELECT graph_id, u, v, w FROM fx_edges QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY u, v) <= 8")
 def _(e):
-    from pyspark.sql import Window
-
-    return e.withColumn("k", F.row_number().over(Window.partitionBy(G).orderBy("u", "v"))).filter("k <= 8").drop("k")
+    return B.cap(e, 8, ["u", "v"], G)
 
 
 @query("W5_degree", "fx_edges", sql="SELECT graph_id, node_id, count(*) AS degree FROM (SELECT graph_id, u AS node_id FROM fx_edges UNION ALL SELECT graph_id, v FROM fx_edges) GROUP BY 1, 2")
@@ -682,14 +681,18 @@ def _(n, e, s):
     return I.impact(n, e, s)
 
 
-@query("H16_network_stats", *NE, sql="+" + BOTH + HOPS + EFF + " SELECT g AS graph_id, n AS n_nodes, (SELECT count(*) FROM fx_edges x WHERE x.graph_id = g) AS n_edges, 0 AS n_healed, round(e, 6) AS efficiency FROM ef", recursive=True)
-def _(n, e):
-    return I.network_stats(n, e)
+@query(
+    "H16_network_stats", *NE, "fx_skel", recursive=True,
+    sql="+" + BOTH + HOPS + EFF + """ SELECT g AS graph_id, n AS n_nodes, (SELECT count(*) FROM fx_edges x WHERE x.graph_id = g) AS n_edges, (SELECT count(*) FROM fx_edges x WHERE x.graph_id = g AND w > 40) AS n_healed, round(e, 6) AS efficiency,
+        (SELECT count(*) FROM fx_skel s WHERE s.tile_id = g) AS road_px, (SELECT count(*) FROM fx_skel s WHERE s.tile_id = g AND (r + c) % 2 = 0) AS skeleton_px FROM ef""",
+)
+def _(n, e, skel):
+    return I.network_stats(n, e.withColumn("synthetic", F.col("w") > 40), skel, skel.filter("(r + c) % 2 = 0"))
 
 
-@query("H17_pair_paths", *NE, sql="+" + BOTH + DIST + ", q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 64 AS b FROM fx_nodes WHERE node_id % 9 = 0) SELECT graph_id, a, b, d AS dist FROM q LEFT JOIN dd ON g = graph_id AND s = a AND x = b", recursive=True)
+@query("H17_pair_paths", *NE, sql="+" + BOTH + DIST + ", q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 16 AS b FROM fx_nodes) SELECT graph_id, a, b, d AS dist FROM q LEFT JOIN dd ON g = graph_id AND s = a AND x = b", recursive=True)
 def _(n, e):
-    pairs = n.filter("node_id % 9 = 0").select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 64).alias("b"))
+    pairs = n.select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 16).alias("b"))
     return P.pair_paths(n, e, pairs)
 
 
@@ -719,21 +722,17 @@ def _(n, e, s):
 
 @query("H11_removal_curve", *NE)
 def _(n, e):
-    return B.removal_curve(n, e, n_steps=2)
+    return B.removal_curve(n, e)
 
 
 @query("H11_removal_static", *NE)
 def _(n, e):
-    return B.removal_curve(n, e, n_steps=3, adaptive=False)
+    return B.removal_curve(n, e, adaptive=False)
 
 
 @query("H15_full_report", *NE)
 def _(n, e):
-    """Gatekeepers of the whole graph beside the first steps of its removal curve."""
-    bc = B.node_betweenness(P.path_counts(n, e))
-    top = B.gatekeepers(bc, n, e, 10).select(G, F.col("rank").alias("step"), "node_id", "betweenness", "degree")
-    curve = B.removal_curve(n, e, n_steps=1).select(G, F.col("step"), "removed_node", "efficiency", "resilience")
-    return top.join(curve, [G, "step"], "left")
+    return B.full_report(n, e, 10)
 
 
 @query(
@@ -806,7 +805,7 @@ def _(skel):
     return K.skeleton_graph(skel, 3.0, paths=False)[1].select(G, "u", "v", "w", "n_card", "n_diag")
 
 
-@query("G8_ring_anchor", "fx_skel", sql="+" + CLS + ", px AS MATERIALIZED (SELECT * FROM cl)" + BLOB + " SELECT c.tile_id AS graph_id, l AS node_id, l // 1048576 AS pos_r, l % 1048576 AS pos_c, 'junction' AS kind FROM c JOIN cl ON cl.tile_id = c.tile_id AND cl.r = x // 1048576 AND cl.c = x % 1048576 GROUP BY c.tile_id, l HAVING bool_and(class = 'arc')", recursive=True)
+@query("G8_ring_anchor", "fx_ring", sql="+" + CLS.replace("fx_skel", "fx_ring") + ", px AS MATERIALIZED (SELECT * FROM cl)" + BLOB + " SELECT c.tile_id AS graph_id, l AS node_id, l // 1048576 AS pos_r, l % 1048576 AS pos_c, 'junction' AS kind FROM c JOIN cl ON cl.tile_id = c.tile_id AND cl.r = x // 1048576 AND cl.c = x % 1048576 GROUP BY c.tile_id, l HAVING bool_and(class = 'arc')", recursive=True)
 def _(skel):
     return K.ring_anchor(K.classify(skel))
 
@@ -848,11 +847,11 @@ def _(lines):
 PIX = """+px AS (SELECT e.graph_id, e.u, e.v, t, CAST(round_even(CAST(a.pos_r + (b.pos_r - a.pos_r) * t / (k - 1) AS DOUBLE), 0) AS BIGINT) AS r, CAST(round_even(CAST(a.pos_c + (b.pos_c - a.pos_c) * t / (k - 1) AS DOUBLE), 0) AS BIGINT) AS c FROM
     (SELECT e.*, CAST(greatest(2, ceil(sqrt((a.pos_r - b.pos_r) * (a.pos_r - b.pos_r) + (a.pos_c - b.pos_c) * (a.pos_c - b.pos_c)))) AS BIGINT) AS k FROM fx_edges e JOIN fx_nodes a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN fx_nodes b ON b.graph_id = e.graph_id AND b.node_id = e.v) e
     JOIN fx_nodes a ON a.graph_id = e.graph_id AND a.node_id = e.u JOIN fx_nodes b ON b.graph_id = e.graph_id AND b.node_id = e.v JOIN (SELECT unnest(range(800)) AS t) ON t < k),
-    ep AS (SELECT graph_id, u, v, r, c FROM px WHERE r < 256 AND c < 256)"""
+    ep AS (SELECT graph_id, u, v, r, c FROM px WHERE r < 64 AND c < 64)"""
 
 
 def _edge_pixels(n, e):
-    tiles = n.select(F.col(G).alias("tile_id")).distinct().select("tile_id", F.lit(256).alias("h"), F.lit(256).alias("w"))
+    tiles = n.select(F.col(G).alias("tile_id")).distinct().select("tile_id", F.lit(64).alias("h"), F.lit(64).alias("w"))
     return I.edge_pixels(_with_paths(n, e), tiles)
 
 
@@ -886,10 +885,10 @@ def _(n, e):
     "A9_path_error", "fx_nodes", "fx_edges", recursive=True,
     sql="+" + BOTH + DIST + """, ew AS (SELECT * FROM e WHERE w > 5), k(g, s, x, d) USING KEY (g, s, x) AS (SELECT graph_id, node_id, node_id, CAST(0 AS BIGINT) FROM fx_nodes UNION SELECT k.g, k.s, ew.v, min(k.d + ew.w) FROM k JOIN ew ON k.g = ew.g AND k.x = ew.u
         LEFT JOIN recurring.k r ON r.g = k.g AND r.s = k.s AND r.x = ew.v WHERE r.d IS NULL OR r.d > k.d + ew.w GROUP BY 1, 2, 3),
-        q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 64 AS b FROM fx_nodes WHERE node_id % 9 = 0), x AS (SELECT q.graph_id, CASE WHEN k.d IS NULL THEN 1 ELSE least(1, abs(k.d - dd.d) / dd.d) END AS err
+        q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 16 AS b FROM fx_nodes), x AS (SELECT q.graph_id, CASE WHEN k.d IS NULL THEN 1 ELSE least(1, abs(k.d - dd.d) / dd.d) END AS err
             FROM q JOIN dd ON dd.g = graph_id AND dd.s = a AND dd.x = b LEFT JOIN k ON k.g = graph_id AND k.s = a AND k.x = b WHERE dd.d >= 1e-5)
         SELECT n.graph_id, round(coalesce(avg(err), 0), 6) AS path_error FROM (SELECT DISTINCT graph_id FROM fx_nodes) n LEFT JOIN x USING (graph_id) GROUP BY 1""",
 )
 def _(n, e):
-    pairs = n.filter("node_id % 9 = 0").select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 64).alias("b"))
+    pairs = n.select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 16).alias("b"))
     return I.path_error((n, e), (n, e.filter("w > 5")), pairs)
