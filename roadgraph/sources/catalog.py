@@ -19,7 +19,8 @@ def described(paths: DataFrame) -> DataFrame:
 
 
 def catalog(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
-    """Files below a folder with one of the extensions, whatever their case: path, stem, ext, image_id. Contents are not read."""
+    """Files below a folder with one of the extensions, whatever their case: path, stem, ext, image_id. Contents are not
+    read; files without any are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     return described(files).filter(F.col("ext").isin([e.lower() for e in extensions]))
 
@@ -89,9 +90,9 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """CSV with a header; doubles as text with six decimals."""
+    """CSV with a header; doubles as text with six decimals, nulls as nothing."""
     kinds = dict(df.dtypes)
-    df.select(*(F.format_string("%.6f", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns)).write.mode("overwrite").csv(path, header=True)
+    df.select(*(F.when(F.col(c).isNotNull(), F.format_string("%.6f", F.col(c))).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns)).write.mode("overwrite").csv(path, header=True)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

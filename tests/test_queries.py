@@ -15,8 +15,8 @@ def rows(frame):
     cols = sorted(frame.columns)
     frame = frame[cols].copy()
     for c in cols:
-        if frame[c].dtype.kind == "f":
-            frame[c] = frame[c].round(5) + 0.0
+        if frame[c].dtype.kind == "f" or frame[c].dtype.kind in "iu" and frame[c].isna().any():  # integers with nulls are floats in one frame, not in the other
+            frame[c] = frame[c].astype("float64").round(5) + 0.0
     return sorted(str(x) for x in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
 
 
