@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadgraph.plans.loops import shared_dir
+
 #: A word is a run of characters other than these six.
 BLANKS = r"\x20\x09-\x0D"
 #: Rows and bytes that one Arrow batch hands to Python, whichever limit is met first; one longer row is a batch of its own.
@@ -30,18 +31,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(ours))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="roadgraph-"))
-        found = context.getCheckpointDir()
-    return found
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back, so later jobs don't compute it again
     and a lost executor costs nothing. Whoever owns the folder clears it."""
