@@ -10,8 +10,9 @@ little room are passed over.
 
 Answers. First only one class of every list, its leader (of those with most copies), is compared with the others.
 Linked sets fall into groups at once, and a list whose members are all in one group is done: it never reaches the
-next step, so a group of near copies costs no more than a comparison with its leader each. Of the other lists only
-pairs between groups are formed, list by list; long lists are parted into blocks, and every pair of blocks is a
+next step, so a group of near copies costs no more than a comparison with its leader each. A leader may lie at the
+edge of a group, too far from some members; so long lists that still hold several groups get another one, drawn by a
+hash, in a few more rounds of the same kind. Of the lists that are left only pairs between groups are formed, list by list; long lists are parted into blocks, and every pair of blocks is a
 cell of its own. What is known about both sets' overlap with a common leader bounds theirs: too small a bound
 skips the pair, a large enough one links it. A sketch of every set holds the parities of its hashes in 256 slots;
 two sketches differ in no more slots than their sets differ in tokens, which skips further pairs. The overlap of
@@ -44,6 +45,8 @@ SLICES = 64
 NARROW = 50_000
 #: Members of a list that meet in one cell; longer lists are parted into blocks of about half of it.
 CELL = 8_192
+#: Members of lists with one leader that go to one task.
+LEADER_ROWS = 200_000
 #: Slots of a set's sketch, 64 to a column.
 SKETCH = ["k0", "k1", "k2", "k3"]
 CELLS = ["token", "i", "j", "block", "class", "n", "pos", "group", "lead", "shared", "n_lead", *SKETCH]
@@ -51,6 +54,9 @@ PAIRS = "a long, b long, na int, nb int, lead long, sure boolean, c long"
 #: Pairs that a task looks at, and that it holds before it counts and emits them, at once.
 SEEN_PAIRS = 500_000
 HELD_PAIRS = 2_000_000
+#: Rounds with drawn leaders at most, which end when one finds no link, and the least members of a list that takes part.
+ROUNDS = 4
+LONG = 8
 #: A class number takes the lower bits of a leader's rank.
 CLASS_BITS = 57
 
@@ -311,26 +317,50 @@ def _linked(percent: int):
 
 
 def _led_lists(classes: DataFrame) -> DataFrame:
-    """(token, leader, class, n, pos) of all lists with several classes. The leader has most copies, in powers of four;
+    """(token, leader, long, class, n, pos) of all lists with several classes. The leader has most copies, in powers of four;
     of equal ones it is the one with the least number."""
     postings = classes.select("class", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftleft((F.lit(62 - CLASS_BITS) - F.least(F.lit(62 - CLASS_BITS), F.floor(F.log2("copies") / 2))).cast("long"), CLASS_BITS).bitwiseOR(F.col("class"))
     least = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("rank")).filter("size > 1")
-    leads = least.select("token", F.col("rank").bitwiseAND(F.lit(2**CLASS_BITS - 1)).alias("leader"))
-    return postings.select("token", "class", "n", "pos").join(leads.hint("merge"), "token").select("token", "leader", "class", "n", "pos")
+    leads = least.select("token", F.col("rank").bitwiseAND(F.lit(2**CLASS_BITS - 1)).alias("leader"), F.col("size") >= LONG)
+    return postings.select("token", "class", "n", "pos").join(leads.toDF("token", "leader", "long").hint("merge"), "token").select("token", "leader", "long", "class", "n", "pos")
 
 
-def _open_cells(lists: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of lists that hold several groups, dealt into cells."""
+def _several(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, leader, size) of the lists that hold several groups."""
     group = F.coalesce("group", "class")
-    sizes = lists.join(groups, "class", "left").groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high"), F.count(F.lit(1)).alias("size"))
-    several = sizes.filter("low <> high").select("token", F.ceil(F.col("size") * 2 / CELL).cast("int").alias("blocks"))
+    sizes = lists.join(groups, "class", "left").groupBy("token").agg(F.min(group).alias("low"), F.max(group).alias("high"), F.count(F.lit(1)).alias("size"), F.min("leader").alias("leader"))
+    return sizes.filter("low <> high").select("token", "leader", "size")
+
+
+def _drawn_pairs(long: DataFrame, facts: DataFrame, groups: DataFrame, met: DataFrame, percent: int, draw: int) -> DataFrame:
+    """(a, b, na, nb): of every list with several groups, the members of other groups with a drawn leader, where sizes and
+    sketches allow a link and the pair is not in met."""
+    open_ = long.join(_several(long, groups).select("token").hint("merge"), "token").join(facts.hint("merge"), "class")
+    lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(draw)).alias("x"), "class", "n", "group", *SKETCH)).alias("l"))
+    want = F.ceil(percent * (F.col("n") + F.col("l.n")) / (100 + percent))
+    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"l.{x}"))) for x in SKETCH)
+    near = (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent) & (apart <= F.col("n") + F.col("l.n") - 2 * want)
+    pairs = open_.join(lead.hint("merge"), "token").filter(F.col("group") != F.col("l.group")).filter(near)
+    pairs = pairs.groupBy(F.col("l.class").alias("a"), F.col("class").alias("b")).agg(F.first("l.n").alias("na"), F.first("n").alias("nb"))
+    known = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    return pairs.join(known.distinct().hint("merge"), ["a", "b"], "left_anti")
+
+
+def _open_cells(lists: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of lists that hold several groups, dealt into cells. Lists of one leader, which mostly hold the same near
+    copies, have the same part, so that a pair in many of them is counted before it is emitted."""
+    several = _several(lists, groups)
+    rows = several.groupBy("leader").agg(F.ceil(F.sum("size") / LEADER_ROWS).alias("parts"))
+    several = several.join(rows, "leader").select(
+        "token", F.pmod(F.xxhash64("token"), F.col("parts")).cast("int").alias("part"), F.ceil(F.col("size") * 2 / CELL).cast("int").alias("blocks")
+    )
     parted = F.col("blocks") > 2  # two blocks are one cell
     block = F.when(parted, F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(0).cast("int")
     cell = lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j"))
     others = F.sequence(F.lit(0), F.when(parted, F.col("blocks") - 1).otherwise(0))
     met = lists.join(several.hint("merge"), "token").withColumn("block", block)
-    return met.withColumn("cell", F.explode(F.transform(others, cell))).select("token", "cell.i", "cell.j", "block", "class", "n", "pos").join(facts.hint("merge"), "class").select(*CELLS)
+    return met.withColumn("cell", F.explode(F.transform(others, cell))).select("leader", "part", "token", "cell.i", "cell.j", "block", "class", "n", "pos").join(facts.hint("merge"), "class").select("leader", "part", *CELLS)
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
@@ -352,7 +382,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
     index = stored(own.mapInArrow(_index(k, percent, levels), schema), "join-index")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
     classes = index.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("prefix", *SKETCH)))
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "join-classes")
+    # numbers follow the ids, so of equal leaders the earliest document leads, which later ones are mostly copies of
+    ordered = classes.repartitionByRange(F.col("first")).sortWithinPartitions("first")
+    classes = stored(ordered.withColumn("class", F.monotonically_increasing_id()), "join-classes")
     lists = stored(_led_lists(classes), "join-lists")
 
     # leaders first
@@ -361,17 +393,36 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
     star = stored(_enough(star, percent).select("a", "b", "na", "nb"), "join-star")
     sets = _sets(own, classes, _ends(star), k)
     compared = stored(_overlaps(star, sets), "join-compared")
-    links = compared.filter(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = component_labels(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    linked_in = lambda x: x.filter(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    grouped = lambda x: component_labels(x).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    links = linked_in(compared)
+    groups = grouped(links)
+    sketches = stored(classes.select("class", *SKETCH), "join-sketches")
+    long = stored(lists.filter("long").select("token", "leader", "class", "n"), "join-long")
+    for draw in range(ROUNDS):
+        facts = sketches.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
+        drawn = stored(_drawn_pairs(long, facts, groups, compared, percent, draw), "join-drawn")
+        if drawn.isEmpty():
+            break
+        sets = sets.union(_sets(own, classes, _ends(drawn).join(sets.select("class"), "class", "left_anti"), k))
+        found = stored(_overlaps(drawn, sets), "join-compared")
+        compared, new = compared.union(found), linked_in(found)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        groups = grouped(links)
 
     # what is left between groups
-    fact = lambda of, lead, o, n, nl: compared.select(F.col(of).alias("class"), F.struct((F.col(o) / F.col(n)).alias("share"), F.col(lead).alias("lead"), F.col(o).cast("long").alias("shared"), F.col(nl).cast("long").alias("n_lead")).alias("f"))
-    best = fact("b", "a", "o", "nb", "na").union(fact("a", "a", "na", "na", "na")).groupBy("class").agg(F.max("f").alias("f"))
-    facts = classes.select("class", *SKETCH).join(groups, "class", "left").join(best, "class", "left").select(
+    # of its leaders a set remembers the one that most sets were compared with, so that many pairs have one in common
+    famed = compared.join(compared.groupBy("a").agg(F.count(F.lit(1)).alias("fame")), "a")
+    fact = lambda of, o: famed.select(F.col(of).alias("class"), F.struct("fame", F.col("a").alias("lead"), F.col(o).cast("long").alias("shared"), F.col("na").cast("long").alias("n_lead")).alias("f"))
+    best = fact("b", "o").union(fact("a", "na")).groupBy("class").agg(F.max("f").alias("f"))
+    facts = sketches.join(groups, "class", "left").join(best, "class", "left").select(
         "class", F.coalesce("group", "class").alias("group"), F.coalesce("f.lead", F.lit(-1)).alias("lead"),
         F.coalesce("f.shared", F.lit(0)).alias("shared"), F.coalesce("f.n_lead", F.lit(0)).alias("n_lead"), *SKETCH,
     )
-    cells = _open_cells(lists, facts, groups).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "class")
+    where = ("leader", "part", "i", "j")
+    cells = _open_cells(lists, facts, groups).repartition(*where).sortWithinPartitions(*where, "token", "n", "pos", "class").select(*CELLS)
     across = cells.mapInArrow(_pairs(percent), PAIRS)
     counted = across.groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "lead")), F.max("sure").alias("sure"))
     met = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -381,7 +432,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
     rest = todo.join(derived.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     more = _sets(own, classes, _ends(rest).join(sets.select("class"), "class", "left_anti"), k)
     plain = _overlaps(rest, sets.union(more)).select(derived.columns)
-    edges = stored(links.union(plain.union(derived).filter(_linked(percent)).select("a", "b")).union(open_pairs.filter("sure").select("a", "b")), "join-links")
+    edges = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(plain.union(derived).filter(_linked(percent)).select("a", "b")).union(open_pairs.filter("sure").select("a", "b")), "join-links")
 
     labels = component_labels(edges).select(F.col("node").alias("class"), F.col("component"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
