@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ BLANKS = r"\x20\x09-\x0D"
 #: Rows and bytes that one Arrow batch hands to Python, whichever limit is met first; one longer row is a batch of its own.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+#: Tables of one row for each group are broadcast up to this many rows; more are joined by sorting, with salts.
+GROUP_ROWS = 100_000
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,35 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], text: int, size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in blocks of about size bytes of text (the column of that number) or of so many rows, whichever is met
+    first. A longer text is a block of its own."""
+    held: list[pa.RecordBatch] = []
+    full, n = 0, 0
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        start = 0
+        for i, own in enumerate(lengths):
+            if n and (full + own > size or n == rows):
+                held.append(b.slice(start, i - start))
+                yield pa.concat_batches(held)
+                held, start, full, n = [], i, 0, 0
+            full, n = full + own, n + 1
+        held.append(b.slice(start))
+    if n:
+        yield pa.concat_batches(held)
+
+
+def with_groups(df: DataFrame, groups: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """df with the columns of its row in groups, which has n_groups rows, one for each key; keys are never null. Up to
+    GROUP_ROWS groups are broadcast; beyond, every group is there once for each salt, and rows of a hot key are shared."""
+    if n_groups <= GROUP_ROWS:
+        return df.join(F.broadcast(groups), keys)
+    salted = groups.withColumn("salt_of_row", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = df.withColumn("salt_of_row", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return own.join(salted.hint("merge"), [*keys, "salt_of_row"]).drop("salt_of_row")
+
+
 def text_of(col: str | Column) -> Column:
     """A null text counts as an empty one."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

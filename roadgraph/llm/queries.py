@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import op11_alignment
 from .common import table
 from .decontamination import OP8_SQL, op8_decontamination
+from .divergence import OP12_SQL, op12_divergence
 from .exact_dedup import exact_dedup
 from .html_text import op3_html_text
 from .kd_sharding import kd_shards
 from .language_id import op1_language_id
+from .mixing import OP13_SQL, op13_mixing
 from .packing import pack_documents
 from .pii import OP7_SQL, op7_pii
 from .quality import op4_quality
@@ -46,11 +49,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_set_join": op10_set_join,
+    "op11_alignment": op11_alignment,
+    "op12_divergence": op12_divergence,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_pii": OP7_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_divergence": OP12_SQL,
+    "op13_mixing": OP13_SQL,
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
