@@ -31,8 +31,8 @@ MOST = 2
 BLOCK = 1024
 FINE = 1000
 #: Words and rows of a shard on average.
-SHARD_WORDS = 10_000_000
-SHARD_ROWS = 50_000
+SHARD_WORDS = 2_000_000
+SHARD_ROWS = 5_000
 #: Copies of one row that are numbered by one task.
 CHUNK = 10_000
 SEED = 42
