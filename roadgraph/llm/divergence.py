@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, stored, table, text_of, with_groups
+from .common import small_batches, stored, table, text_of, with_groups
 
 #: Documents of a language in which a kept term is found at least.
 LEAST = 3
@@ -38,8 +38,10 @@ FIRST = 2
 #: Bits of the table of surviving prefixes (8 MB), at any number of prefixes.
 BITS = 1 << 26
 #: Text and documents of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 48 << 20
 BLOCK_ROWS = 20_000
+#: Rows of prefixes that leave a worker at once.
+ROWS = 100_000
 #: Bytes of a text that are split at once.
 SLICE = 1 << 20
 SCALE = 1_000_000_000
@@ -63,23 +65,42 @@ def terms_of(text: str) -> Counter:
     return found
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in blocks(batches, 0, BLOCK_BYTES, BLOCK_ROWS):
-        by_lang: dict[str, list] = {}
-        for text, lang, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            number, sources, of_doc, term, doc, n = by_lang.setdefault(lang, [{}, {}, [], [], [], []])
-            found = terms_of(text)
-            term.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.uint32, len(found)))
-            n.append(np.fromiter(found.values(), np.uint32, len(found)))
-            doc.append(np.full(len(found), len(of_doc), np.uint32))
-            of_doc.append(sources.setdefault(source, len(sources)))
+class _Block:
+    """Packed terms of some documents, by language."""
+
+    def __init__(self):
+        self.langs: dict[str, list] = {}
+        self.bytes, self.rows = 0, 0
+
+    def add(self, text: str, lang: str, source: str) -> None:
+        number, sources, of_doc, term, doc, n = self.langs.setdefault(lang, [{}, {}, [], [], [], []])
+        found = terms_of(text)
+        term.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.uint32, len(found)))
+        n.append(np.fromiter(found.values(), np.uint32, len(found)))
+        doc.append(np.full(len(found), len(of_doc), np.uint32))
+        of_doc.append(sources.setdefault(source, len(sources)))
+        self.bytes, self.rows = self.bytes + len(text), self.rows + 1
+
+    def packed(self) -> pa.RecordBatch:
         rows = [
             (lang, b" ".join(number), list(sources), np.array(of_doc, np.uint32).tobytes(), *(np.concatenate(x).tobytes() for x in (term, doc, n)))
-            for lang, (number, sources, of_doc, term, doc, n) in by_lang.items()
+            for lang, (number, sources, of_doc, term, doc, n) in self.langs.items()
         ]
         columns = [list(x) for x in zip(*rows, strict=True)]
         kinds = [pa.string(), pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "terms", "sources", "of_doc", "term", "doc", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "terms", "sources", "of_doc", "term", "doc", "n"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = _Block()
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            block.add(*row)
+            if block.bytes >= BLOCK_BYTES or block.rows >= BLOCK_ROWS:
+                yield block.packed()
+                block = _Block()
+    if block.rows:
+        yield block.packed()
 
 
 def _bit(lang: bytes, prefix: bytes, n_bits: int) -> int:
@@ -124,21 +145,24 @@ def _count_block(row: dict, before: int, length: int, bits: np.ndarray | None) -
     use = own >= 0
     own, doc, n = own[use], doc[use], n[use]
     done = whole[own]
+    shown = pa.array(names, pa.binary())
     # unfinished prefixes: a document counts once for all its terms
     part = np.unique(own[~done] * len(of_doc) + doc[~done]) // len(of_doc)
     docs = np.bincount(part, minlength=len(names))
     some = np.flatnonzero(docs)
-    yield _level_rows(row["lang"], [None] * len(some), [names[i] for i in some], docs[some], np.zeros(len(some), np.int64))
+    yield _level_rows(row["lang"], pa.nulls(len(some), pa.string()), shown.take(pa.array(some)), docs[some], np.zeros(len(some), np.int64))
     # whole terms: one row for each source
     k = len(row["sources"])
     at = own[done] * k + of_doc[doc[done]]
-    docs, times = np.bincount(at, minlength=0), np.bincount(at, n[done]) if at.size else np.zeros(0)
+    docs, times = np.bincount(at), np.bincount(at, n[done]) if at.size else np.zeros(0)
     some = np.flatnonzero(docs)
-    yield _level_rows(row["lang"], [row["sources"][i % k] for i in some], [names[i // k] for i in some], docs[some], times[some].astype(np.int64))
+    for i in range(0, len(some), ROWS):
+        own = some[i : i + ROWS]
+        yield _level_rows(row["lang"], pa.array(row["sources"], pa.string()).take(pa.array(own % k)), shown.take(pa.array(own // k)), docs[own], times[own].astype(np.int64))
 
 
-def _level_rows(lang: str, sources: list, prefixes: list, docs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(prefixes), pa.string()), pa.array(sources, pa.string()), pa.array(prefixes, pa.binary()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
+def _level_rows(lang: str, sources: pa.Array, prefixes: pa.Array, docs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(docs), np.int64))), sources, prefixes, pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "prefix", "docs", "n"])
 
 
@@ -249,12 +273,14 @@ def _pairs(used: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     as_item = F.struct(F.col("other").alias("source"), F.col("source").alias("item"), (k * (_f(o0, p) - _f(o0, p0))).alias("value"))
     ones = others.select("lang", F.explode(F.array(as_source, as_item)).alias("x")).select("lang", "x.*").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
-    # terms of both
+    # terms of both: each two sources meet once, for both directions
     x = used.select("lang", "term", "source", "p", "p0")
     y = used.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    q, q0 = F.col("q"), F.col("q0")
-    more = _f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0)
-    twos = x.join(y, ["lang", "term"]).filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(more).alias("value"))
+    more = lambda p, p0, q, q0: F.sum(_f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0))
+    p, p0, q, q0 = (F.col(c) for c in ("p", "p0", "q", "q0"))
+    met = x.join(y, ["lang", "term"]).filter("source < item").groupBy("lang", "source", "item").agg(more(p, p0, q, q0).alias("there"), more(q, q0, p, p0).alias("back"))
+    sides = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    twos = met.select("lang", F.explode(sides).alias("x")).select("lang", "x.*")
     return base.union(ones).union(twos).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
