@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ FIRST = 2
 #: Bits of the table of surviving prefixes (8 MB), at any number of prefixes.
 BITS = 1 << 26
 #: Text and documents of a block.
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 20_000
+#: Cells (prefix, document) of a block that are marked in a table of bytes; more are told apart by sorting.
+CELLS = 64 << 20
 #: Rows of prefixes that leave a worker at once.
 ROWS = 100_000
 #: Bytes of a text that are split at once.
@@ -52,9 +55,9 @@ LEVEL = "lang string, source string, prefix binary, docs long, n long"
 _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: str) -> Counter:
-    """How often each term [^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+ occurs, only A-Z lower-cased, in UTF-8; a long text slice by slice."""
-    data = text.encode("utf-8", "surrogatepass").translate(_LETTERS)
+def terms_of(text: bytes) -> Counter:
+    """How often each term [^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+ of a text in UTF-8 occurs, only A-Z lower-cased; a long text slice by slice."""
+    data = text.translate(_LETTERS)
     found: Counter = Counter()
     at = 0
     while at < len(data):
@@ -72,7 +75,7 @@ class _Block:
         self.langs: dict[str, list] = {}
         self.bytes, self.rows = 0, 0
 
-    def add(self, text: str, lang: str, source: str) -> None:
+    def add(self, text: bytes, lang: str, source: str) -> None:
         number, sources, of_doc, term, doc, n = self.langs.setdefault(lang, [{}, {}, [], [], [], []])
         found = terms_of(text)
         term.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.uint32, len(found)))
@@ -94,7 +97,7 @@ class _Block:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for row in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             block.add(*row)
             if block.bytes >= BLOCK_BYTES or block.rows >= BLOCK_ROWS:
                 yield block.packed()
@@ -147,8 +150,12 @@ def _count_block(row: dict, before: int, length: int, bits: np.ndarray | None) -
     done = whole[own]
     shown = pa.array(names, pa.binary())
     # unfinished prefixes: a document counts once for all its terms
-    part = np.unique(own[~done] * len(of_doc) + doc[~done]) // len(of_doc)
-    docs = np.bincount(part, minlength=len(names))
+    if len(names) * len(of_doc) <= CELLS:
+        held = np.zeros((len(names), len(of_doc)), bool)
+        held[own[~done], doc[~done]] = True
+        docs = held.sum(axis=1)
+    else:
+        docs = np.bincount(np.unique(own[~done] * len(of_doc) + doc[~done]) // len(of_doc), minlength=len(names))
     some = np.flatnonzero(docs)
     yield _level_rows(row["lang"], pa.nulls(len(some), pa.string()), shown.take(pa.array(some)), docs[some], np.zeros(len(some), np.int64))
     # whole terms: one row for each source
@@ -190,27 +197,24 @@ def _bit_table(survivors: DataFrame, n_bits: int) -> bytes | None:
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST, first: int = FIRST, n_bits: int = BITS) -> DataFrame:
-    """lang, source, term, n of every term that at least so many documents of its lang hold, for sources that have it, from
-    docs(text, lang, source) without nulls. Every row is a document."""
+    """lang, source, term, n, lang_n, leads of every term that at least so many documents of its lang hold, for sources that have it, from
+    docs(text, lang, source) without nulls. n counts it in the source, lang_n in the lang; one source leads. Every row is a document."""
     spark = docs.sparkSession
     small_batches(spark)
     packed = stored(docs.select("text", "lang", "source").mapInArrow(_pack, PACKED), "audit-packed")
     found, before, length, bits = [], 0, first, None
     while True:
         rows = packed.mapInArrow(_counted(before, length, bits), LEVEL)
-        level = stored(rows.groupBy("lang", "source", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "audit-level")
-        whole = level.filter("source is not null")
-        enough = whole.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least)
+        level = rows.groupBy("lang", "source", "prefix").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        of = Window.partitionBy("lang", "prefix")  # the sources of a term, or one row of an unfinished prefix
+        level = level.withColumns({"lang_docs": F.sum("docs").over(of), "lang_n": F.sum("n").over(of), "leads": F.col("source") == F.min("source").over(of)}).filter(F.col("lang_docs") >= least)
+        level = stored(level.drop("docs", "lang_docs"), "audit-level")
         term = F.expr("decode(substring(prefix, 1, length(prefix) - 1), 'UTF-8')")
-        found.append(whole.join(enough.select("lang", "prefix"), ["lang", "prefix"], "left_semi").select("lang", "source", term.alias("term"), "n"))
-        alive = _bit_table(level.filter(F.col("source").isNull() & (F.col("docs") >= least)), n_bits)
+        found.append(level.filter("source is not null").select("lang", "source", term.alias("term"), "n", "lang_n", "leads"))
+        alive = _bit_table(level.filter("source is null"), n_bits)
         if alive is None:
-            break
+            return reduce(DataFrame.union, found)
         bits, before, length = spark.sparkContext.broadcast(alive), length, 2 * length
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return stored(out, "audit-terms")
 
 
 def _p(count: Column | str, total: Column | str, terms: Column | str) -> Column:
@@ -239,18 +243,16 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, n_bits: int = BIT
     src = docs.select(text_of(text_col).alias("text"), text_of(lang_col).alias("lang"), text_of(source_col).alias("source"))
     terms = kept_terms(src, least, n_bits=n_bits)
     own = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = terms.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_distinct("term").alias("terms"))
+    langs = terms.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("leads").alias("terms"))
     groups = src.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "lang_total", "terms"])
     zero = _p(F.lit(0), "total", "terms")
     groups = stored(groups.withColumn("p0", zero), "audit-groups")
     n_groups = groups.count()
 
-    lang_p = terms.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    used = with_groups(terms, groups, ["lang", "source"], n_groups).select("lang", "source", "term", "n", "lang_total", "terms", "p0", _p("n", "total", "terms").alias("p"))
-    used = stored(used, "audit-used")
-    both = used.join(lang_p, ["lang", "term"]).withColumn("q", _p("lang_n", "lang_total", "terms")).filter("p > q")
+    used = with_groups(terms, groups, ["lang", "source"], n_groups)
+    used = stored(used.select("lang", "source", "term", "p0", _p("n", "total", "terms").alias("p"), _p("lang_n", "lang_total", "terms").alias("q")), "audit-used")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    term_part = both.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
+    term_part = used.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
     term_part = term_part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
     pairs = _pairs(used, groups, n_groups)

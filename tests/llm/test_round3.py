@@ -201,7 +201,7 @@ def test_audit_discards_prefixes_level_by_level(spark):
     k = divergence._bit(b"en", b"ab", 1 << 20)
     bits[k >> 6] = np.uint64(1) << np.uint64(k & 63)
     assert seen(2, 4, bits) == {b"abcd": 3, b"abce": 1, b"abcf": 1}
-    assert divergence.terms_of("AbÄb c1d") == {"abÄb".encode(): 1, b"c": 1, b"d": 1}
+    assert divergence.terms_of("AbÄb c1d".encode()) == {"abÄb".encode(): 1, b"c": 1, b"d": 1}
 
 
 def test_audit_of_an_empty_table_and_texts_without_terms(spark):
