@@ -19,7 +19,7 @@ few different values, so these are counted by value: sum over all terms = terms
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +35,7 @@ from .common import small_batches, stored, table, text_of, with_groups
 LEAST = 3
 TOP = 200
 #: Prefix lengths in bytes of the first level; each level doubles it.
-FIRST = 2
+FIRST = 3
 #: Bits of the table of surviving prefixes (8 MB), at any number of prefixes.
 BITS = 1 << 26
 #: Text and documents of a block.
@@ -68,6 +68,13 @@ def terms_of(text: bytes) -> Counter:
     return found
 
 
+def _numbers() -> defaultdict:
+    """A dictionary that numbers what it is asked for, from 0."""
+    found: defaultdict = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
 class _Block:
     """Packed terms of some documents, by language."""
 
@@ -76,12 +83,12 @@ class _Block:
         self.bytes, self.rows = 0, 0
 
     def add(self, text: bytes, lang: str, source: str) -> None:
-        number, sources, of_doc, term, doc, n = self.langs.setdefault(lang, [{}, {}, [], [], [], []])
+        number, sources, of_doc, term, doc, n = self.langs.get(lang) or self.langs.setdefault(lang, [_numbers(), _numbers(), [], [], [], []])
         found = terms_of(text)
-        term.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.uint32, len(found)))
+        term.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
         n.append(np.fromiter(found.values(), np.uint32, len(found)))
         doc.append(np.full(len(found), len(of_doc), np.uint32))
-        of_doc.append(sources.setdefault(source, len(sources)))
+        of_doc.append(sources[source])
         self.bytes, self.rows = self.bytes + len(text), self.rows + 1
 
     def packed(self) -> pa.RecordBatch:
