@@ -79,10 +79,12 @@ def gatekeepers(bc: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None
     return own.select(G, "node_id", "pos_r", "pos_c", "kind", "betweenness", "degree", "rank")
 
 
-def top_fraction(df: DataFrame, group: str, value: str, fraction: float, *ties: str) -> DataFrame:
-    """max(1, ceil(n * fraction)) rows of each group with the largest values."""
+def top_fraction(df: DataFrame, group: str, value: str, fraction: float, *ties: str, digits: int | None = None) -> DataFrame:
+    """max(1, ceil(n * fraction)) rows of each group with the largest values. digits: values that round to the same number count as
+    equal; for sums whose last digits depend on the order of additions."""
+    key = F.col(value) if digits is None else F.round(value, digits)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size_of_group"))
-    own = df.join(sizes, group).withColumn("place_in_group", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), *ties)))
+    own = df.join(sizes, group).withColumn("place_in_group", F.row_number().over(Window.partitionBy(group).orderBy(key.desc(), *ties)))
     return own.filter(F.col("place_in_group") <= F.greatest(F.lit(1), F.ceil(F.col("size_of_group") * fraction))).select(*df.columns)
 
 

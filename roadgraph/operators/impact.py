@@ -56,7 +56,7 @@ def hit_nodes(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fallback
     if not fallback or rest.isEmpty():
         return blast
     own = nodes.join(rest.select(G).distinct(), G, "left_semi")
-    top = top_fraction(node_betweenness(path_counts(own, edges)), G, "betweenness", 0.05, "node_id")
+    top = top_fraction(node_betweenness(path_counts(own, edges)), G, "betweenness", 0.05, "node_id", digits=9)
     return blast.union(rest.select("scenario_id", G).join(top.select(G, "node_id"), G).select("scenario_id", G, "node_id"))
 
 
@@ -94,7 +94,7 @@ def bottlenecks(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fracti
     gone = kept(hit_nodes(nodes, edges, scenarios)).select(F.col("scenario_id").alias(G), "node_id")
     n, e = (kept(x) for x in survivors(_per_scenario(nodes, scenarios), _per_scenario(edges, scenarios), gone))
     bc = edge_betweenness(path_counts(n, e), e)
-    return top_fraction(bc, G, "betweenness", fraction, "u", "v").withColumnRenamed(G, "scenario_id")
+    return top_fraction(bc, G, "betweenness", fraction, "u", "v", digits=9).withColumnRenamed(G, "scenario_id")
 
 
 def point_failure(points: DataFrame, nodes: DataFrame, edges: DataFrame, reach: float = 20, radius: float = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.components import component_labels
@@ -56,9 +56,9 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
         step = found[-1].join(adj, [G, "dst"]).select(G, "src", F.col("next").alias("dst")).distinct()
         new = kept(step.join(seen, [G, "src", "dst"], "left_anti").withColumn("hops", F.lit(d)))
         if new.isEmpty():
-            break
+            return reduce(DataFrame.union, found)
         found.append(new)
-    return reduce(DataFrame.union, found)
+    raise RuntimeError(f"hop distances did not end in {MAX_ROUNDS} rounds")
 
 
 def reachable_components(hops: DataFrame) -> DataFrame:
@@ -66,6 +66,12 @@ def reachable_components(hops: DataFrame) -> DataFrame:
     return hops.groupBy(G, F.col("src").alias("node_id")).agg(F.min("dst").alias("comp_id"))
 
 
+def _in_order(place: str, value) -> Column:
+    """Sum of a group's few values in the order of place, so that it doesn't depend on partitioning."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(place), value.alias("value_in_order"))))
+    return F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["value_in_order"])
+
+
 def efficiency(nodes: DataFrame, edges: DataFrame, hops: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """graph_id, n, efficiency: mean of 1 / hops over ordered pairs, 0 for pairs without a path and for graphs of one node.
     hops: hop_distances, where they are known. sources(graph_id, src): an estimate from these sources only, for large graphs."""
@@ -75,7 +81,7 @@ def efficiency(nodes: DataFrame, edges: DataFrame, hops: DataFrame | None = None
         n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n")).join(k, G, "left").join(found, G, "left")
         return n.select(G, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("k") * (F.col("n") - 1))).alias("efficiency"))
     by_hops = (hops if hops is not None else hop_distances(nodes, edges)).filter("hops > 0").groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k"))
-    sums = by_hops.groupBy(G).agg(F.sum(F.col("k") / F.col("hops")).alias("s"))
+    sums = by_hops.groupBy(G).agg(_in_order("hops", F.col("k") / F.col("hops")).alias("s"))
     n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
     value = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1)))
     return n.join(sums, G, "left").select(G, "n", value.alias("efficiency"))
@@ -91,9 +97,9 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = No
         met = step.join(_least(found), [G, "src", "dst"], "left").filter("dist is null or cand < dist")
         new = kept(met.select(G, "src", "dst", F.col("cand").alias("dist")))
         if new.isEmpty():
-            break
+            return _least(found)
         found.append(new)
-    return _least(found)
+    raise RuntimeError(f"distances did not end in {MAX_ROUNDS} rounds")
 
 
 def _least(found: list[DataFrame]) -> DataFrame:
@@ -113,8 +119,8 @@ def layered(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> list[Da
         layers.append(some.drop("layer"))
         last = some.filter(F.col("layer") == LAYERS - 1).drop("layer")
         if last.isEmpty():
-            break
-    return layers
+            return layers
+    raise RuntimeError(f"shortest paths have more than {MAX_ROUNDS * LAYERS} layers")
 
 
 @dataclass

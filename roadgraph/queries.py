@@ -606,7 +606,8 @@ def _(n, e):
     return P.hop_distances(n, e)
 
 
-EFF = ", ef AS (SELECT g, count(DISTINCT s) AS n, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END) / (count(DISTINCT s) * (count(DISTINCT s) - 1)) AS e FROM h GROUP BY 1)"
+EFF = """, ek AS (SELECT g, d, count(*) AS k FROM h GROUP BY 1, 2), en0 AS (SELECT g, sum(k)::BIGINT AS n FROM ek WHERE d = 0 GROUP BY 1), es0 AS (SELECT g, sum(k::DOUBLE / d ORDER BY d) AS s FROM ek WHERE d > 0 GROUP BY 1),
+    ef AS (SELECT g, n, coalesce(s, 0.0) / (n * (n - 1)) AS e FROM en0 LEFT JOIN es0 USING (g))"""
 
 
 @query("H3_efficiency", *NE, sql="+" + BOTH + HOPS + EFF + " SELECT g AS graph_id, n, round(e, 6) AS efficiency FROM ef", recursive=True)
@@ -667,7 +668,8 @@ IMPACT = """, e AS MATERIALIZED (SELECT 'pre' AS k, graph_id AS g, u, v FROM fx_
     nd AS MATERIALIZED (SELECT 'pre' AS k, graph_id AS g, node_id AS x FROM fx_nodes UNION ALL SELECT 'post', scenario_id, node_id FROM en),
     h(k, g, s, x, d) USING KEY (k, g, s, x) AS (SELECT k, g, x, x, 0 FROM nd UNION SELECT h.k, h.g, h.s, e.v, min(h.d + 1) FROM h JOIN e ON h.k = e.k AND h.g = e.g AND h.x = e.u
         LEFT JOIN recurring.h r ON r.k = h.k AND r.g = h.g AND r.s = h.s AND r.x = e.v WHERE r.d IS NULL OR r.d > h.d + 1 GROUP BY 1, 2, 3, 4),
-    ef AS (SELECT k, g, count(DISTINCT s) AS n, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END) / (count(DISTINCT s) * (count(DISTINCT s) - 1)) AS e FROM h GROUP BY 1, 2),
+    ek AS (SELECT k, g, d, count(*) AS c FROM h GROUP BY 1, 2, 3), en0 AS (SELECT k, g, sum(c)::BIGINT AS n FROM ek WHERE d = 0 GROUP BY 1, 2), es0 AS (SELECT k, g, sum(c::DOUBLE / d ORDER BY d) AS s FROM ek WHERE d > 0 GROUP BY 1, 2),
+    ef AS (SELECT k, g, n, coalesce(s, 0.0) / (n * (n - 1)) AS e FROM en0 LEFT JOIN es0 USING (k, g)),
     c AS MATERIALIZED (SELECT g, s AS x, min(x) AS l FROM h WHERE k = 'post' GROUP BY 1, 2), z AS (SELECT g, l, count(*) AS size FROM c GROUP BY 1, 2), b AS (SELECT g, count(*) AS nc, sum(size) - max(size) AS iso FROM z GROUP BY 1),
     ng AS (SELECT scenario_id, count(*) AS n FROM h0 GROUP BY 1), ec AS (SELECT scenario_id, count(*) AS n FROM fx_scen JOIN fx_edges USING (graph_id) GROUP BY 1), es AS (SELECT scenario_id, count(*) AS n FROM se GROUP BY 1)
     SELECT s.scenario_id, s.graph_id, coalesce(ng.n, 0) AS removed_nodes, coalesce(ec.n, 0) - coalesce(es.n, 0) AS removed_edges, round(p.e, 6) AS e_pre, round(q.e, 6) AS e_post, round(q.e / p.e, 6) AS resilience,
