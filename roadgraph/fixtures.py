@@ -15,6 +15,11 @@ SQL = {
     "fx_nodes": """SELECT g.graph_id, n.node_id, (n.node_id*37+g.graph_id*11)%512 AS pos_r, (n.node_id*101+g.graph_id*29)%512 AS pos_c,
         CASE WHEN n.node_id%3=0 THEN 'endpoint' ELSE 'junction' END AS kind
         FROM (SELECT DISTINCT graph_id FROM {fx_edges}) g JOIN (SELECT DISTINCT p_partkey%16 AS node_id FROM {part}) n ON 1=1""",
+    "fx_big_edges": """SELECT CAST(0 AS BIGINT) AS graph_id, q.u, q.v, MIN(q.w) AS w FROM (SELECT LEAST(x.p,x.q) AS u, GREATEST(x.p,x.q) AS v, x.w FROM
+            (SELECT a.l_partkey AS p, CASE WHEN b.l_partkey%16<15 THEN CAST(FLOOR(a.l_partkey/(2+b.l_partkey%3)) AS BIGINT) ELSE a.l_partkey+1 END AS q, CAST(a.l_quantity AS BIGINT) AS w
+            FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey=b.l_orderkey AND a.l_linenumber=1 AND b.l_linenumber=2) x) q
+        WHERE q.u>=1 AND q.u<q.v AND q.v<=(SELECT MAX(p_partkey) FROM {part}) GROUP BY 1,2,3""",
+    "fx_big_nodes": """SELECT CAST(0 AS BIGINT) AS graph_id, p_partkey AS node_id, (p_partkey*7919)%4096 AS pos_r, (p_partkey*104729)%4096 AS pos_c, CASE WHEN p_partkey%3=0 THEN 'endpoint' ELSE 'junction' END AS kind FROM {part}""",
     "fx_scen": """SELECT g.graph_id*3+s.s AS scenario_id, g.graph_id, (g.graph_id*53+s.s*170)%512 AS epi_r, (g.graph_id*97+s.s*130)%512 AS epi_c, 60+40*s.s AS radius
         FROM (SELECT DISTINCT graph_id FROM {fx_edges}) g JOIN (SELECT r_regionkey AS s FROM {region} WHERE r_regionkey<3) s ON 1=1""",
     "fx_lines": """SELECT CAST(FLOOR(q.graph_id/8) AS BIGINT) AS tile_id, q.graph_id%8 AS line_id, q.r0, q.c0, q.r1-q.r0 AS dr, q.c1-q.c0 AS dc, GREATEST(ABS(q.r1-q.r0),ABS(q.c1-q.c0)) AS n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgraph.operators.centrality import edge_betweenness, node_betweenness, survivors, top_fraction
-from roadgraph.operators.paths import G, efficiency, hop_distances, largest_component, path_counts, reachable_components
+from roadgraph.operators.paths import G, adjacency, efficiency, efficiency_of, hop_distances, largest_component, path_counts, reachable_components
 from roadgraph.plans.loops import kept
 
 #: Stands for an endless loss of time.
@@ -60,17 +60,57 @@ def hit_nodes(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fallback
     return blast.union(rest.select("scenario_id", G).join(top.select(G, "node_id"), G).select("scenario_id", G, "node_id"))
 
 
+def rerouted(edges: DataFrame, hops: DataFrame, gone: DataFrame) -> DataFrame:
+    """scenario_id, graph_id, src: surviving sources that are farther from some survivor, by hops, once gone(scenario_id, graph_id,
+    node_id) are out. hops: hop_distances of the whole graphs.
+
+    Of the survivors that move away from a source, one nearest to it has lost all the nodes before it on its shortest paths, so
+    a source is affected if and only if there is such a survivor; only these neighbours of removed nodes are looked at.
+    """
+    x = hops.select(G, "src", F.col("dst").alias("x"), F.col("hops").alias("far"))
+    p = hops.select(G, "src", F.col("dst").alias("p"), F.col("hops").alias("near"))
+    adj = adjacency(edges.withColumn("w", F.lit(1))).select(G, F.col("u").alias("p"), F.col("v").alias("x"))
+    before = kept(p.join(adj, [G, "p"]).join(x, [G, "src", "x"]).filter("near + 1 = far").select(G, "src", "x", "p"))
+    had = before.groupBy(G, "src", "x").agg(F.count(F.lit(1)).alias("had"))
+    lost = before.join(gone.select("scenario_id", G, F.col("node_id").alias("p")), [G, "p"]).groupBy("scenario_id", G, "src", "x").agg(F.count(F.lit(1)).alias("lost"))
+    out = lambda name: gone.select("scenario_id", G, F.col("node_id").alias(name))
+    cut = lost.join(had, [G, "src", "x"]).filter("lost = had").join(out("x"), ["scenario_id", G, "x"], "left_anti").select("scenario_id", G, "src").distinct()
+    return cut.join(out("src"), ["scenario_id", G, "src"], "left_anti")
+
+
+def _hops_after(n: DataFrame, e: DataFrame, edges: DataFrame, hops: DataFrame, hits: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs by hops (graph_id, hops, k) and components (graph_id, node_id, comp_id) of what survives, scenarios as graphs: n and e.
+    Only sources whose distances change are searched from; the others keep their counts without the removed nodes."""
+    again = kept(rerouted(edges, hops, hits))
+    new = kept(hop_distances(n, e, again.select(F.col("scenario_id").alias(G), "src")))
+    own = n.select(F.col(G).alias("scenario_id"), F.col("node_id").alias("src")).join(scenarios.select("scenario_id", G), "scenario_id")
+    same = kept(own.join(again, ["scenario_id", G, "src"], "left_anti").select("scenario_id", G, "src"))
+    had = same.join(hops.groupBy(G, "src", "hops").agg(F.count(F.lit(1)).alias("k")), [G, "src"])
+    to_gone = hops.join(hits.select("scenario_id", G, F.col("node_id").alias("dst")), [G, "dst"]).groupBy("scenario_id", G, "src", "hops").agg((-F.count(F.lit(1))).alias("k"))
+    lost = to_gone.join(same, ["scenario_id", G, "src"], "left_semi")
+    pairs = had.select(F.col("scenario_id").alias(G), "hops", "k").union(lost.select(F.col("scenario_id").alias(G), "hops", "k")).union(new.groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k")))
+    by_hops = pairs.groupBy(G, "hops").agg(F.sum("k").alias("k"))
+    # a source that is no farther from anything still reaches all that survives of its component
+    whole = own.join(reachable_components(hops).withColumnRenamed("node_id", "src"), [G, "src"])
+    first = whole.groupBy("scenario_id", G, "comp_id").agg(F.min("src").alias("first"))
+    old = same.join(whole, ["scenario_id", G, "src"]).join(first, ["scenario_id", G, "comp_id"])
+    comp = old.select(F.col("scenario_id").alias(G), F.col("src").alias("node_id"), F.col("first").alias("comp_id")).union(reachable_components(new))
+    return by_hops, comp
+
+
 def impact(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, fallback: bool = True) -> DataFrame:
     """One row per scenario: removed nodes and edges, efficiency before and after, resilience, drop and time penalty in percent,
-    components and isolated nodes after. Efficiency before is computed once per graph."""
+    components and isolated nodes after. Distances before are computed once per graph; after a removal only the sources that it
+    affects are searched from again."""
     hits = kept(hit_nodes(nodes, edges, scenarios, fallback))
     gone = hits.select(F.col("scenario_id").alias(G), "node_id")
     all_n, all_e = _per_scenario(nodes, scenarios), kept(_per_scenario(edges, scenarios))
     n, e = (kept(x) for x in survivors(all_n, all_e, gone))
-    pre = efficiency(nodes, edges).select(G, F.col("efficiency").alias("e_pre"), F.col("n").alias("n_pre"))
-    hops = kept(hop_distances(n, e))  # all reachable pairs, which tell the components as well
-    post = efficiency(n, e, hops).select(F.col(G).alias("scenario_id"), F.col("efficiency").alias("post"))
-    comp = reachable_components(hops)
+    hops = kept(hop_distances(nodes, edges))
+    pre = efficiency(nodes, edges, hops).select(G, F.col("efficiency").alias("e_pre"), F.col("n").alias("n_pre"))
+    by_hops, comp = _hops_after(n, e, edges, hops, hits, scenarios)
+    post = efficiency_of(n, by_hops).select(F.col(G).alias("scenario_id"), F.col("efficiency").alias("post"))
+    comp = kept(comp)
     shape = comp.groupBy(G).agg(F.count_distinct("comp_id").alias("nc"), F.count(F.lit(1)).alias("nn")).join(largest_component(comp).select(G, "size"), G)
     shape = shape.select(F.col(G).alias("scenario_id"), "nc", (F.col("nn") - F.col("size")).alias("iso"))
     n_edges = lambda df, name: df.groupBy(F.col(G).alias("scenario_id")).agg(F.count(F.lit(1)).alias(name))

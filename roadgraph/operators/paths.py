@@ -80,7 +80,12 @@ def efficiency(nodes: DataFrame, edges: DataFrame, hops: DataFrame | None = None
         k = sources.groupBy(G).agg(F.count_distinct("src").alias("k"))
         n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n")).join(k, G, "left").join(found, G, "left")
         return n.select(G, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("k") * (F.col("n") - 1))).alias("efficiency"))
-    by_hops = (hops if hops is not None else hop_distances(nodes, edges)).filter("hops > 0").groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k"))
+    return efficiency_of(nodes, (hops if hops is not None else hop_distances(nodes, edges)).groupBy(G, "hops").agg(F.count(F.lit(1)).alias("k")))
+
+
+def efficiency_of(nodes: DataFrame, by_hops: DataFrame) -> DataFrame:
+    """efficiency from the number k of ordered pairs by hops: by_hops(graph_id, hops, k)."""
+    by_hops = by_hops.filter("hops > 0 and k > 0")
     sums = by_hops.groupBy(G).agg(_in_order("hops", F.col("k") / F.col("hops")).alias("s"))
     n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("n"))
     value = F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1)))

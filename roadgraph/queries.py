@@ -12,9 +12,11 @@ from roadgraph.functions import columns as C
 from roadgraph.operators import centrality as B
 from roadgraph.operators import healing as L
 from roadgraph.operators import impact as I
+from roadgraph.operators import labels as Q
 from roadgraph.operators import paths as P
 from roadgraph.operators import quality as A
 from roadgraph.operators import sampling as X
+from roadgraph.operators import sketches as N
 from roadgraph.operators import skeleton as K
 from roadgraph.operators import tiles as T
 from roadgraph.sources import catalog as S
@@ -698,6 +700,29 @@ def _(n, e):
     return P.pair_paths(n, e, pairs)
 
 
+#: One large irregular graph of all orders: a junction for every part, a road for every order between two ranks or two neighbours.
+LARGE = ("fx_big_nodes", "fx_big_edges")
+
+
+@query("H2_hop_counts_large", *LARGE)
+def _(n, e):
+    return N.sketched_hops(n, e)[1]
+
+
+@query("H3_efficiency_large", *LARGE)
+def _(n, e):
+    return N.estimated_efficiency(n, e)
+
+
+H17 = "+" + BOTH + DIST + ", q AS (SELECT graph_id, node_id AS a, (node_id * 7 + 3) % 16 AS b FROM fx_nodes) SELECT graph_id, a, b, d AS dist FROM q LEFT JOIN dd ON g = graph_id AND s = a AND x = b"
+
+
+@query("H17_pair_labels", *NE, sql=H17, recursive=True)
+def _(n, e):
+    pairs = n.select(G, F.col("node_id").alias("a"), ((F.col("node_id") * 7 + 3) % 16).alias("b"))
+    return Q.labelled_pair_paths(Q.hub_labels(n, e), pairs)
+
+
 @query(
     "H13_bottlenecks", "fx_nodes", "fx_edges", "fx_scen", recursive=True,
     sql=ALIVE + ", " + EDGE_BC.join(["e AS MATERIALIZED (SELECT scenario_id AS g, u, v, w FROM se UNION ALL SELECT scenario_id, v, u, w FROM se)", ""])
