@@ -41,8 +41,9 @@ BITS = 1 << 26
 #: Text and documents of a block.
 BLOCK_BYTES = 16 << 20
 BLOCK_ROWS = 20_000
-#: Cells (prefix, document) of a block that are marked in a table of bytes; more are told apart by sorting.
-CELLS = 64 << 20
+#: A block's cells (prefix, document) are marked in a table of bytes where there are at most so many for each term of a
+#: document, and else told apart by sorting.
+CELLS = 8
 #: Rows of prefixes that leave a worker at once.
 ROWS = 100_000
 #: Bytes of a text that are split at once.
@@ -157,7 +158,7 @@ def _count_block(row: dict, before: int, length: int, bits: np.ndarray | None) -
     done = whole[own]
     shown = pa.array(names, pa.binary())
     # unfinished prefixes: a document counts once for all its terms
-    if len(names) * len(of_doc) <= CELLS:
+    if len(names) * len(of_doc) <= CELLS * len(own):
         held = np.zeros((len(names), len(of_doc)), bool)
         held[own[~done], doc[~done]] = True
         docs = held.sum(axis=1)
