@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadgraph.operators.centrality import edge_betweenness, node_betweenness, survivors, top_fraction
 from roadgraph.operators.paths import G, adjacency, efficiency, efficiency_of, hop_distances, largest_component, path_counts, reachable_components
+from roadgraph.operators.tiles import straight_point, straight_points
 from roadgraph.plans.loops import kept
 
 #: Stands for an endless loss of time.
@@ -150,6 +151,26 @@ def edge_pixels(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     return at.join(tiles.select(F.col("tile_id").alias(G), "h", "w"), G).filter("r >= 0 and c >= 0 and r < h and c < w").drop("h", "w")
 
 
+def straight_pixels(nodes: DataFrame, edges: DataFrame, tiles: DataFrame) -> DataFrame:
+    """graph_id, u, v, r, c: edge_pixels of edges whose paths are straight_path between their nodes. Each segment is clipped to the
+    tile first (Liang & Barsky 1984), with a pixel to spare for rounding, so that no other point is made."""
+    at = lambda k: nodes.select(G, F.col("node_id").alias(k), F.col("pos_r").alias(f"r{k}"), F.col("pos_c").alias(f"c{k}"))
+    own = edges.select(G, "u", "v").join(at("u"), [G, "u"]).join(at("v"), [G, "v"]).join(tiles.select(F.col("tile_id").alias(G), "h", "w"), G)
+    low, high = [F.lit(0.0)], [F.lit(1.0)]
+    for x, side in (("r", "h"), ("c", "w")):
+        a, d = F.col(f"{x}u"), F.col(f"{x}v") - F.col(f"{x}u")
+        ends = [F.when(d != 0, (b - a) / F.when(d != 0, d)) for b in (F.lit(-1), F.col(side))]
+        inside = a.between(-1, F.col(side))
+        low.append(F.when(d != 0, F.least(*ends)).when(inside, 0.0).otherwise(2.0))
+        high.append(F.when(d != 0, F.greatest(*ends)).when(inside, 1.0).otherwise(-1.0))
+    own = own.withColumns({"low": F.greatest(*low), "high": F.least(*high), "last": straight_points("ru", "cu", "rv", "cv") - 1}).filter("low <= high")
+    first = F.greatest(F.lit(0), F.floor(F.col("low") * F.col("last")) - 1)
+    upto = F.least(F.col("last"), F.ceil(F.col("high") * F.col("last")) + 1)
+    points = own.withColumn("t", F.explode(F.sequence(first.cast("int"), upto.cast("int"))))
+    r, c = (straight_point(F.col(f"{x}u"), F.col(f"{x}v"), F.col("t"), F.col("last")) for x in ("r", "c"))
+    return points.select(G, "u", "v", r.alias("r"), c.alias("c"), "h", "w").filter("r >= 0 and c >= 0 and r < h and c < w").drop("h", "w")
+
+
 def criticality_raster(pixels: DataFrame, edge_bc: DataFrame) -> DataFrame:
     """graph_id, r, c, crit: the largest share of the graph's top betweenness among the edges on a pixel; a top under 1e-10 counts as 1."""
     top = edge_bc.groupBy(G).agg(F.max("betweenness").alias("top"))

@@ -160,11 +160,21 @@ def rasterize_typed(segments: DataFrame, types: str = "types", size: int | None
     return rasterize(segments.withColumn("half_width", road_width(F.col(types)) / 2), size=size)
 
 
+def straight_points(r0: Column | str, c0: Column | str, r1: Column | str, c1: Column | str) -> Column:
+    """Points of a straight path: max(2, ceil(distance))."""
+    r0, c0, r1, c1 = (F.col(x) if isinstance(x, str) else x for x in (r0, c0, r1, c1))
+    return F.greatest(F.lit(2), F.ceil(F.sqrt((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0)))).cast("int")
+
+
+def straight_point(a: Column, b: Column, t: Column, last: Column) -> Column:
+    """Coordinate of point t of 0 to last between a and b, halves to even."""
+    return F.bround((a + (b - a) * t / last).cast("double"), 0).cast("long")
+
+
 def straight_path(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
-    """array<struct<r, c>> of max(2, ceil(distance)) points from one end to the other, halves to even."""
-    n = F.greatest(F.lit(2), F.ceil(F.sqrt((r1 - r0) * (r1 - r0) + (c1 - c0) * (c1 - c0)))).cast("int")
-    at = lambda a, b, t: F.bround((a + (b - a) * t / (n - 1)).cast("double"), 0).cast("long")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.struct(at(r0, r1, t).alias("r"), at(c0, c1, t).alias("c")))
+    """array<struct<r, c>> of a straight path's points from one end to the other."""
+    last = straight_points(r0, c0, r1, c1) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda t: F.struct(straight_point(r0, r1, t, last).alias("r"), straight_point(c0, c1, t, last).alias("c")))
 
 
 def class_mask(mask: DataFrame, critical: DataFrame, destroyed: DataFrame, level: float = 0.7) -> DataFrame:

@@ -877,24 +877,24 @@ PIX = """+px AS (SELECT e.graph_id, e.u, e.v, t, CAST(round_even(CAST(a.pos_r +
     ep AS (SELECT graph_id, u, v, r, c FROM px WHERE r < 64 AND c < 64)"""
 
 
-def _edge_pixels(n, e):
-    tiles = n.select(F.col(G).alias("tile_id")).distinct().select("tile_id", F.lit(64).alias("h"), F.lit(64).alias("w"))
-    return I.edge_pixels(_with_paths(n, e), tiles)
+def _corner(n):
+    """The first 64 rows and columns of every graph's square."""
+    return n.select(F.col(G).alias("tile_id")).distinct().select("tile_id", F.lit(64).alias("h"), F.lit(64).alias("w"))
 
 
 @query("J8_edge_pixels", *NE, sql=PIX + " SELECT * FROM ep")
 def _(n, e):
-    return _edge_pixels(n, e)
+    return I.straight_pixels(n, e, _corner(n))
 
 
 @query("A12_criticality_raster", *NE, sql=PIX + ", m AS (SELECT graph_id, max(w) AS top FROM fx_edges GROUP BY 1) SELECT graph_id, r, c, round(max(w / top), 6) AS crit FROM ep JOIN fx_edges USING (graph_id, u, v) JOIN m USING (graph_id) GROUP BY 1, 2, 3")
 def _(n, e):
-    return I.criticality_raster(_edge_pixels(n, e), e.withColumn("betweenness", F.col("w").cast("double")))
+    return I.criticality_raster(I.straight_pixels(n, e, _corner(n)), e.withColumn("betweenness", F.col("w").cast("double")))
 
 
 @query("A13_destroyed_raster", *NE, sql=PIX + " SELECT DISTINCT graph_id, r, c FROM ep WHERE (u + v) % 7 = 0")
 def _(n, e):
-    return I.destroyed_raster(_edge_pixels(n, e), e.filter("(u + v) % 7 = 0"))
+    return I.destroyed_raster(I.straight_pixels(n, e, _corner(n)), e.filter("(u + v) % 7 = 0"))
 
 
 @query(

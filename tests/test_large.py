@@ -115,6 +115,19 @@ def test_rerouted_sources_are_those_that_lose_a_path(spark):
     assert got == want and 0 < len(want) < alive
 
 
+def test_clipped_segments_give_all_pixels_on_the_tile(spark):
+    """Also segments along a border, of no length, and beside the tile."""
+    from roadgraph.queries import _with_paths
+
+    n, e = fixture(spark, DATA, "fx_nodes"), fixture(spark, DATA, "fx_edges")
+    odd = [(99, 0, 0, 0), (99, 1, 0, 63), (99, 2, 64, -1), (99, 3, 64, 200), (99, 4, -5, -5), (99, 5, 70, 70), (99, 6, 0, 0), (99, 7, -1, 64), (99, 8, 63, 1)]
+    n = n.select("graph_id", "node_id", "pos_r", "pos_c").union(spark.createDataFrame(odd, "graph_id long, node_id long, pos_r long, pos_c long"))
+    e = e.union(spark.createDataFrame([(99, a, b, 1) for a in range(9) for b in range(a + 1, 9)], "graph_id long, u long, v long, w long"))
+    tiles = n.selectExpr("graph_id as tile_id", "64 as h", "65 as w").distinct()
+    want = sorted(map(tuple, impact.edge_pixels(_with_paths(n, e), tiles).collect()))
+    assert sorted(map(tuple, impact.straight_pixels(n, e, tiles).collect())) == want and len(want) > 500
+
+
 def test_ties_don_t_depend_on_partitioning(spark):
     """One value summed in many orders: the answers are equal, and ties go by name."""
     n, e, s = (fixture(spark, DATA, x) for x in ("fx_nodes", "fx_edges", "fx_scen"))
