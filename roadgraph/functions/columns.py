@@ -11,6 +11,9 @@ ROAD_WIDTHS = {
     "secondary_link": 5, "tertiary": 6, "tertiary_link": 4, "residential": 5, "living_street": 4, "service": 4, "unclassified": 5,
 }
 DEFAULT_WIDTH = 5
+# fixed values: patterns of the file names that must be accepted: the collection's prefix, the product's name
+NAME_PREFIX = r"(?i)^SN3_roads_(train|test)_"
+NAME_PRODUCT = r"(?i)_(PS-(RGB|MS)|geojson_roads)"
 # fixed values: channel means and deviations of the usual image normalisation
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
@@ -28,9 +31,7 @@ def extension(path: Column) -> Column:
 
 def image_id(name: Column) -> Column:
     """Normalised id of an image or vector file from its stem: the collection's prefix and the product's name go."""
-    bare = F.regexp_replace(name, r"(?i)^SN3_roads_(train|test)_", "")
-    bare = F.regexp_replace(bare, r"(?i)_(PS-(RGB|MS)|geojson_roads)", "")
-    return F.lower(F.trim(bare, F.lit("_")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, NAME_PREFIX, ""), NAME_PRODUCT, ""), F.lit("_")))
 
 
 def road_width(types: Column) -> Column:

@@ -10,6 +10,7 @@ from roadgraph.operators import paths as P
 from roadgraph.operators import skeleton as K
 
 
+# fixed values: the six-node graph for which results are known
 @pytest.fixture(scope="module")
 def six(spark):
     nodes = [(0, 0, 0, "endpoint"), (1, 0, 100, "junction"), (2, 0, 200, "endpoint"), (3, 100, 50, "endpoint"), (4, 100, 150, "junction"), (5, 100, 250, "endpoint")]
