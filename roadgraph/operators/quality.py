@@ -22,14 +22,30 @@ def shifted(px: DataFrame, cells: list[tuple[int, int]], *keep: str) -> DataFram
     return at.select("tile_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), *keep, "o")
 
 
-def disk(radius: float) -> list[tuple[int, int]]:
-    n = int(radius)
-    return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j <= radius * radius]
+def half_widths(radius: float) -> list[int]:
+    """For each row of a disk, from its middle on, how far it reaches to either side."""
+    return [max(j for j in range(int(radius) + 1) if i * i + j * j <= radius * radius) for i in range(int(radius) + 1)]
 
 
 def near_mask(px: DataFrame, other: DataFrame, radius: float) -> DataFrame:
-    """Pixels of px with a pixel of other at most radius away."""
-    return px.join(shifted(other, disk(radius)).select(*K).distinct(), K, "left_semi")
+    """Pixels of px with a pixel of other at most radius away (none for a negative radius); px keeps its columns and repeated rows.
+
+    Separable: along columns each pixel of other is sent to 2 * radius + 1 rows, of which each (row, column) keeps the nearest;
+    along rows a running maximum and a running minimum of how far the pixels so far reach tell who is covered.
+    """
+    if radius < 0:
+        return px.limit(0)
+    widths = half_widths(radius)
+    n = len(widths) - 1
+    sent = other.dropna(subset=K).select("tile_id", "c", F.col("r").alias("at"), F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("d"))
+    near = sent.groupBy("tile_id", (F.col("at") + F.col("d")).alias("r"), "c").agg(F.min(F.abs("d")).alias("g"))
+    reach = F.element_at(F.array(*map(F.lit, widths)), F.col("g") + 1)
+    row = F.struct(*px.columns)
+    asked = px.dropna(subset=K).select(*K, F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), row.alias("row"))
+    both = asked.unionByName(near.select(*K, (F.col("c") - reach).cast("long").alias("low"), (F.col("c") + reach).cast("long").alias("high")), allowMissingColumns=True)
+    w = Window.partitionBy("tile_id", "r")
+    met = both.withColumn("high", F.max("high").over(w.orderBy("c"))).withColumn("low", F.min("low").over(w.orderBy(F.desc("c"))))
+    return met.filter(F.col("row").isNotNull() & ((F.col("high") >= F.col("c")) | (F.col("low") <= F.col("c")))).select("row.*")
 
 
 def confusion(pred: DataFrame, truth: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -10,14 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.components import component_labels
-from roadgraph.operators.quality import AROUND, K, disk, offsets, shifted
+from roadgraph.operators.quality import AROUND, K, shifted
+from roadgraph.operators.strips import closed, thinned
 from roadgraph.plans.loops import kept
 
 WIDE = 2**20
 DIAGONAL = 2.0**0.5
-MAX_ROUNDS = 10_000
-#: Sub-passes of thinning in one job; an even number.
-PASSES = 2
 #: Neighbours clockwise from the north, as the thinning rule numbers them.
 CLOCK = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
@@ -27,33 +25,16 @@ def code(r: str | Column = "r", c: str | Column = "c") -> Column:
     return (r.cast("long") * WIDE + c.cast("long")).cast("long")
 
 
-def on_tile(px: DataFrame, tiles: DataFrame) -> DataFrame:
-    return px.join(tiles.select("tile_id", "h", "w"), "tile_id").filter("r >= 0 and c >= 0 and r < h and c < w").drop("h", "w")
+def _typed(px: DataFrame, like: DataFrame) -> DataFrame:
+    return px.select("tile_id", *(F.col(x).cast(like.schema[x].dataType) for x in ("r", "c")))
 
 
-def closing(mask: DataFrame, tiles: DataFrame, radius: int = 3) -> DataFrame:
-    """Dilation by a disk, then erosion; what lies off the tile counts as road while eroding. Radius 0 changes nothing."""
+def closing(mask: DataFrame, tiles: DataFrame, radius: float = 3) -> DataFrame:
+    """Dilation by a disk, then erosion; what lies off the tile counts as road while eroding. Radius 0 changes nothing; the
+    largest is strips.WIDEST."""
     if radius <= 0:
         return mask.select(*K).distinct()
-    cells = disk(radius)
-    wide = kept(on_tile(shifted(mask, cells).select(*K).distinct(), tiles))
-    have = shifted(wide, cells).groupBy(*K).agg(F.count(F.lit(1)).alias("have"))
-    size = wide.join(tiles.select("tile_id", "h", "w"), "tile_id")
-    off = F.filter(offsets(cells), lambda o: (F.col("r") + o["dr"]).between(0, F.col("h") - 1) & (F.col("c") + o["dc"]).between(0, F.col("w") - 1))
-    return size.withColumn("want", F.size(off)).join(have, K).filter("have = want").select(*K)
-
-
-def _removable(first: bool) -> list[int]:
-    """8-bit neighbour codes that a sub-pass of Zhang and Suen's thinning takes away."""
-    out = []
-    for x in range(256):
-        p = [(x >> k) & 1 for k in range(8)]
-        rises = sum(p[k] == 0 and p[(k + 1) % 8] == 1 for k in range(8))
-        n, e, s, w = p[0], p[2], p[4], p[6]
-        open_ = not (n and e and s) and not (e and s and w) if first else not (n and e and w) and not (n and s and w)
-        if 2 <= sum(p) <= 6 and rises == 1 and open_:
-            out.append(x)
-    return out
+    return _typed(closed(mask, tiles, radius), mask)
 
 
 def _codes(px: DataFrame) -> DataFrame:
@@ -65,18 +46,8 @@ def _codes(px: DataFrame) -> DataFrame:
 
 
 def thin(mask: DataFrame) -> DataFrame:
-    """One-pixel centre lines (Zhang & Suen 1984): two sub-passes until neither takes a pixel away. A job makes PASSES of them."""
-    now = kept(mask.select(*K).distinct())
-    n = now.count()
-    for _ in range(MAX_ROUNDS):
-        for k in range(PASSES):
-            now = _codes(now).filter(~F.col("nb").isin(_removable(k % 2 == 0))).select(*K)
-        now = kept(now)
-        left = now.count()
-        if left == n:
-            return now
-        n = left
-    raise RuntimeError("thinning did not end")
+    """One-pixel centre lines, by strips of bits."""
+    return kept(_typed(thinned(mask), mask))
 
 
 def classify(skel: DataFrame) -> DataFrame:
