@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.centrality import edge_betweenness, node_betweenness, survivors, top_fraction
@@ -14,6 +14,9 @@ from roadgraph.plans.loops import kept
 NO_PATH_PENALTY = 999.0
 #: Side of the grid cells in which nodes and blasts meet.
 CELL = 64
+#: How many times wider a cell is than the ones below it, where nearest nodes are looked for; copies of cells on upper levels.
+FAN = 8
+SALTS = 16
 
 
 def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:
@@ -25,14 +28,57 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> Dat
     return met.withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= reach * reach)
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
-    """Adds node_id and d2 of the nearest node to points (graph_id, point_id, r, c); null if none is within reach. Ties: least node."""
+def nearest_node(points: DataFrame, nodes: DataFrame, reach: float | None = None) -> DataFrame:
+    """Adds node_id and d2 of the nearest node to points (graph_id, point_id, r, c); null if none is within reach, or, without
+    a reach, if the graph has none or r or c is null. Ties: least node."""
     p = points.select(G, "point_id", F.col("r").alias("ar"), F.col("c").alias("ac"))
     n = nodes.select(G, "node_id", F.col("pos_r").alias("br"), F.col("pos_c").alias("bc"))
-    best = near_pairs(p, n, [G], reach).groupBy(G, "point_id").agg(F.min(F.struct("d2", "node_id")).alias("b"))
+    met = _nearest_cells(p, n) if reach is None else near_pairs(p, n, [G], reach)
+    best = met.groupBy(G, "point_id").agg(F.min(F.struct("d2", "node_id")).alias("b"))
     return points.join(best, [G, "point_id"], "left").select(*points.columns, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2"))
 
 
+def _nearest_cells(p: DataFrame, n: DataFrame) -> DataFrame:
+    """Rows of p and those rows of n that may be nearest, with d2, however far they are.
+
+    Cells of nodes form a tree, each FAN times as wide as the ones below it. From the top, a point keeps the cells whose box
+    begins no farther than the nearest end of any box that it sees; only these are opened, so a point meets few cells on
+    each level. On upper levels, where all points of a graph may ask one cell, cells are there SALTS times.
+    """
+    n = n.dropna(subset=["br", "bc"])
+    span = n.agg(F.max(F.greatest(F.abs("br"), F.abs("bc")))).first()[0]
+    if span is None:
+        return n.join(p, G).withColumn("d2", F.lit(0)).limit(0)
+    levels = [float(CELL)]
+    while levels[-1] <= span:
+        levels.append(levels[-1] * FAN)
+    at = lambda x, side: F.floor(F.col(x) / side).cast("long")
+    gap = lambda x, low, high, f: f(F.col(low) - F.col(x), F.col(x) - F.col(high))
+    square = lambda x: x * x
+    seen = p.dropna(subset=["ar", "ac"]).withColumn("salt", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)).cast("int"))
+    keys = [G]
+    boxes = n.groupBy(G, at("br", levels[0]).alias("cr"), at("bc", levels[0]).alias("cc")).agg(*(f(x).alias(f"{k}_{x}") for x in ("br", "bc") for f, k in ((F.min, "low"), (F.max, "high"))))
+    boxes = kept(boxes)
+    for k in reversed(range(len(levels))):
+        up = [F.floor(F.col(x) * levels[0] / levels[min(k + 1, len(levels) - 1)]).cast("long").alias(f"up_{x}") for x in ("cr", "cc")]
+        own = [F.floor(F.col(x) * levels[0] / levels[k]).cast("long").alias(f"own_{x}") for x in ("cr", "cc")]
+        cells = boxes.select("*", *up, *own).groupBy(G, "up_cr", "up_cc", "own_cr", "own_cc").agg(
+            *(f(f"{side}_{x}").alias(f"{side}_{x}") for x in ("br", "bc") for f, side in ((F.min, "low"), (F.max, "high")))
+        )
+        salted = k > 0 or len(levels) == 1
+        if salted:
+            cells = cells.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        met = seen.join(cells, [*keys, *(["salt"] if salted else [])])
+        near = square(gap("ar", "low_br", "high_br", lambda a, b: F.greatest(a, b, F.lit(0)))) + square(gap("ac", "low_bc", "high_bc", lambda a, b: F.greatest(a, b, F.lit(0))))
+        far = square(gap("ar", "low_br", "high_br", lambda a, b: F.greatest(F.abs(a), F.abs(b)))) + square(gap("ac", "low_bc", "high_bc", lambda a, b: F.greatest(F.abs(a), F.abs(b))))
+        met = met.withColumn("near", near).withColumn("best", F.min(far).over(Window.partitionBy(G, "point_id"))).filter("near <= best")
+        seen = met.select(G, "point_id", "ar", "ac", "salt", F.col("own_cr").alias("up_cr"), F.col("own_cc").alias("up_cc"))
+        keys = [G, "up_cr", "up_cc"]
+    own = n.select("*", at("br", levels[0]).alias("up_cr"), at("bc", levels[0]).alias("up_cc"))
+    dr, dc = F.col("ar") - F.col("br"), F.col("ac") - F.col("bc")
+    return seen.drop("salt").join(own, keys).drop("up_cr", "up_cc").withColumn("d2", dr * dr + dc * dc)
+
+
 def blast_hits(nodes: DataFrame, scenarios: DataFrame) -> DataFrame:
     """scenario_id, graph_id, node_id of all nodes within a scenario's radius. Both meet in grid cells, so one large graph
     with many scenarios is not compared node by node; a negative radius hits nothing."""

@@ -364,6 +364,17 @@ def _(nodes, scen):
     return I.nearest_node(scen.select(F.col("scenario_id").alias("point_id"), G, F.col("epi_r").alias("r"), F.col("epi_c").alias("c")), nodes, 50)
 
 
+# customers around one graph of all parts, many of them far from every node
+@query(
+    "J5_nearest_any", "fx_big_nodes", "fx_city",
+    sql="""SELECT point_id, q.graph_id, r, c, arg_min(node_id, ((r - pos_r) * (r - pos_r) + (c - pos_c) * (c - pos_c)) * 1000000 + node_id) AS node_id, min((r - pos_r) * (r - pos_r) + (c - pos_c) * (c - pos_c)) AS d2
+        FROM (SELECT city_id AS point_id, CAST(0 AS BIGINT) AS graph_id, city_id * 7919 % 9000 - 2000 AS r, city_id * 613 % 7000 - 1000 AS c FROM fx_city) q JOIN fx_big_nodes n ON n.graph_id = q.graph_id GROUP BY 1, 2, 3, 4""",
+)
+def _(nodes, city):
+    at = lambda k, n, low: (F.col("city_id") * k % n - low)
+    return I.nearest_node(city.select(F.col("city_id").alias("point_id"), F.lit(0).cast("long").alias(G), at(7919, 9000, 2000).alias("r"), at(613, 7000, 1000).alias("c")), nodes)
+
+
 HITS = "+h AS (SELECT scenario_id, s.graph_id, node_id FROM fx_scen s JOIN fx_nodes n ON n.graph_id = s.graph_id AND (pos_r - epi_r) * (pos_r - epi_r) + (pos_c - epi_c) * (pos_c - epi_c) <= radius * radius)"
 
 

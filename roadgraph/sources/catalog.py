@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadgraph.functions.columns import extension, image_id, stem
+from roadgraph.plans.loops import kept
 
 # fixed values: order of extensions by which one of several files with one stem is taken
 IMAGE_ORDER = (".tif", ".tiff", ".png", ".jpg", ".jpeg")
@@ -103,3 +104,32 @@ def write_splits(df: DataFrame, path: str) -> None:
 def write_pixels(df: DataFrame, path: str, buckets: int = 64) -> None:
     """Parquet in folders by a hash of tile_id, so that reading some tiles reads few folders."""
     df.withColumn("bucket", F.pmod(F.xxhash64("tile_id"), F.lit(buckets)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def add_tiles(df: DataFrame, table: str, replace: bool = False, parts: int = 16, buckets: int = 8) -> None:
+    """Adds the tiles of df to a table that is bucketed by tile_id, so that joins and groups by tile_id need no exchange.
+
+    A resumed run may hand in tiles that are there: they stay as they are, or are replaced, all other tiles stay in both
+    cases. Tiles that the table holds are the list of what is finished, as a run's files appear when it ends. Replacing
+    rewrites the parts (by a hash of tile_id) that hold a tile of df, and no others. Columns: as in the first run.
+    """
+    spark = df.sparkSession
+    own = df.withColumn("part", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int"))
+    dealt = lambda x: x.repartition("part", F.pmod(F.hash("tile_id"), F.lit(buckets)))
+    if not spark.catalog.tableExists(table):
+        dealt(own).write.partitionBy("part").bucketBy(buckets, "tile_id").sortBy("tile_id").saveAsTable(table)
+        return
+    have = spark.table(table)
+    own = own.select(*have.columns)
+    if not replace:
+        dealt(pending(own, have, "tile_id")).write.insertInto(table)
+        return
+    own = kept(own)
+    touched = have.join(F.broadcast(own.select("part").distinct()), "part", "left_semi").select(*have.columns)
+    whole = kept(pending(touched, own, "tile_id").union(own))
+    mode, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set(mode, "dynamic")  # insertInto takes it from the session only
+    try:
+        dealt(whole).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
