@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.components import component_labels
-from roadgraph.operators.quality import AROUND, K, shifted
-from roadgraph.operators.strips import closed, thinned
+from roadgraph.operators.quality import AROUND, K, near_mask, shifted
+from roadgraph.operators.strips import WIDEST, closed, thinned
 from roadgraph.plans.loops import kept
 
 WIDE = 2**20
@@ -30,10 +30,15 @@ def _typed(px: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def closing(mask: DataFrame, tiles: DataFrame, radius: float = 3) -> DataFrame:
-    """Dilation by a disk, then erosion; what lies off the tile counts as road while eroding. Radius 0 changes nothing; the
-    largest is strips.WIDEST."""
+    """Dilation by a disk, then erosion; what lies off the tile counts as road while eroding. Radius 0 changes nothing.
+    Up to a radius of strips.WIDEST by strips of bits, beyond it by near masks over all pixels of the tiles."""
     if radius <= 0:
         return mask.select(*K).distinct()
+    if radius >= WIDEST + 1:
+        rows = tiles.select("tile_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"))
+        every = rows.select("tile_id", "r", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("c"))
+        wide = kept(near_mask(every, mask, radius))
+        return _typed(wide.join(near_mask(wide, every.join(wide, K, "left_anti"), radius), K, "left_anti"), mask)
     return _typed(closed(mask, tiles, radius), mask)
 
 
