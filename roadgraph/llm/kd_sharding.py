@@ -36,8 +36,10 @@ def kd_shards(
 
     Give target_bytes (leaves are split until they hold at most about that much) or the number of leaves.
     size is the UTF-8 length plus 8; a null text has none. Null metadata is a value of its own. Sizes of
-    shards differ by about the largest unit at a cut. Repeated rows are placed one by one. With fewer units
-    than shards some shards stay empty. An empty table gives an empty result.
+    shards differ by about the largest unit at a cut. Repeated rows, rows that repeat an id and rows with null ids are
+    placed one by one: chunks of large groups and slots go by the place of a row in the stored table, not by its id.
+    Ids are cast to long; text that is no number raises an error in ANSI mode. Of other columns only lang and source are
+    read. With fewer units than shards some shards stay empty. An empty table gives an empty result.
     """
     has = set(docs.columns)
     meta = {c: (F.col(c).cast("string") if c in has else F.lit(None).cast("string")) for c in ("lang", "source")}
@@ -51,7 +53,7 @@ def kd_shards(
         "lang",
         "source",
     )
-    rows = stored(rows, "kd-rows")
+    rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "kd-rows")
     total = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     total_bytes, n_rows = total[0] or 0, total[1]
     leaves = n_shards or max(1, math.ceil(total_bytes / target_bytes))
@@ -66,7 +68,7 @@ def kd_shards(
     chunks = F.ceil(F.col("g_bytes") / cap)
     hot = F.broadcast(hot) if 100 * leaves <= FEW else hot.hint("merge")
     rows = rows.join(hot, "h", "left").withColumn(
-        "chunk", F.when(F.col("g_bytes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), chunks)).cast("int")
+        "chunk", F.when(F.col("g_bytes").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("place"), chunks)).cast("int")
     )
     units = rows.groupBy("h", "chunk").agg(
         F.sum("size").alias("w"),
@@ -77,7 +79,7 @@ def kd_shards(
     )
     units = stored(_placed(units), "kd-units")
     leaf = _split_all(units, leaves, share)
-    shards = rows.select("doc_id", "size", "text_crc32", "h", "chunk").join(leaf, ["h", "chunk"])
+    shards = rows.select("doc_id", "place", "size", "text_crc32", "h", "chunk").join(leaf, ["h", "chunk"])
     return _with_slots(shards, leaves, n_rows)
 
 
@@ -190,11 +192,11 @@ def _medians(keyed: DataFrame, plan: dict, enough: float) -> dict[int, int]:
 def _with_slots(rows: DataFrame, leaves: int, n_rows: int) -> DataFrame:
     """slot: gapless from 0 in each shard. Rows are numbered in parts of bounded size, with offsets by part."""
     parts = row_parts(n_rows, 100_000)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)))
     offsets = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = offsets.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "h"))
-    return rows.withColumn("place", place).join(offsets, ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.col("shard").cast("int"), (F.col("before") + F.col("place") - 1).cast("long").alias("slot")
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place"))
+    return rows.withColumn("nth", nth).join(offsets, ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", F.col("shard").cast("int"), (F.col("before") + F.col("nth") - 1).cast("long").alias("slot")
     )

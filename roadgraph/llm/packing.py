@@ -4,7 +4,7 @@ Tokenising runs where the documents are and leaves narrow rows (id, piece, start
 never shuffled. The byte-level vocabulary splits a text at every single blank between two other characters, so
 ids are looked up by blank-separated chunk, and only chunks not seen before go through the tokenizer, in batches.
 
-Pieces are dealt by hash into parts of bounded size. In each part they arrive in hash order and go into the
+Pieces are dealt by hash of id and place into parts of bounded size. In each part they arrive in hash order and go into the
 open bin with the least free space that still holds them. A bit set keyed by free space finds that bin. When
 all bins are open and none fits, the fullest closes.
 """
@@ -196,10 +196,13 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, part_pieces: int = PART_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Sequence ids are unique, not gapless."""
+    """Adds sequence_id and offset to pieces, a stored table. Sequence ids are unique, not gapless.
+
+    Pieces are dealt by their place in the table as well, so rows with null or repeated ids do not fill one part."""
     parts = row_parts(pieces.count(), part_pieces)
     order = F.xxhash64("doc_id", "piece")
-    dealt = pieces.repartition(parts, order).sortWithinPartitions(order, "doc_id", "piece", "start")
+    placed = pieces.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartition(parts, F.xxhash64("doc_id", "piece", "place")).drop("place").sortWithinPartitions(order, "doc_id", "piece", "start", "length", "ids_crc32")
     return dealt.mapInArrow(_pack(size, open_bins), PIECES + ", sequence_id long, offset long")
 
 
@@ -207,7 +210,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_i
     """Tokenises docs, cuts what is longer than size and packs all pieces.
 
     Null text counts as empty: one piece with only end_id. A longer document is cut into pieces of size
-    tokens, the first taking what is left over. Repeated rows are packed one by one. An empty table gives
-    an empty result.
+    tokens, the first taking what is left over. Repeated rows, rows that repeat an id and rows with null ids are packed
+    one by one. Ids are cast to long; text that is no number raises an error in ANSI mode. Other columns are ignored.
+    An empty table gives an empty result.
     """
     return pack(stored(token_pieces(docs, vocabulary, end_id, size, id_col, text_col), "pieces"), size)

@@ -276,3 +276,25 @@ def test_html_nulls_repeats_and_clashes(spark):
     got = html_text.extract_text(pages).collect()
     assert sorted((str(r.page_id), r.text, r.n_lines, r.n_chars) for r in got) == [("1", "", 0, 0), ("1", "x", 1, 1), ("1", "x", 1, 1), ("None", "", 0, 0), ("None", "- é", 1, 3)]
     assert html_text.extract_text(pages.filter("page_id is null and html is null")).first().text == ""
+
+
+def test_sharding_of_one_text_with_null_ids(spark):
+    """Half of all rows are one text without an id: its chunks and slots go by rows, so sizes are even."""
+    rng = random.Random(16)
+    rows = [(None, "the same words again and again " * 3, None, "s", 0) if i % 2 else (i // 8, prose(rng, 20), "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int")
+    got = kd_sharding.kd_shards(docs, n_shards=24).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    share = got["size"].sum() / 24
+    assert len(got) == 3000 and len(sizes) == 24
+    # a unit is a hundredth of a shard or one row; a cut is off by one of them at each of five levels at most
+    assert (sizes - share).abs().max() <= 5 * (share / 100 + got["size"].max())
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_packing_deals_null_ids_to_all_parts(spark):
+    rows = [(None if i % 2 else 7 if i % 4 else i, 0, 0, 700, 5) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), part_pieces=300).toPandas()
+    parts = got["sequence_id"].floordiv(2**32).value_counts()
+    assert len(got) == 3000 and len(parts) == 10 and parts.max() < 400
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048 and got["sequence_id"].nunique() <= 1510
