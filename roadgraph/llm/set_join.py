@@ -13,7 +13,7 @@ Linked sets fall into groups at once, and a list whose members are all in one gr
 next step, so a group of near copies costs no more than a comparison with its leader each. A leader may lie at the
 edge of a group, too far from some members; so long lists that still hold several groups get another one, drawn by a
 hash, in a few more rounds of the same kind. Of the lists that are left only pairs between groups are formed, list by list; long lists are parted into blocks, and every pair of blocks is a
-cell of its own. What is known about both sets' overlap with a common leader bounds theirs: too small a bound
+cell of its own. In a cell a group is first compared by one member, its representative. What is known about both sets' overlap with a common leader bounds theirs: too small a bound
 skips the pair, a large enough one links it. A sketch of every set holds the parities of its hashes in 256 slots;
 two sketches differ in no more slots than their sets differ in tokens, which skips further pairs. The overlap of
 two sets with a common leader is then derived from the leader's answers, by what each of them lacks of the leader
@@ -56,6 +56,8 @@ SEEN_PAIRS = 500_000
 HELD_PAIRS = 2_000_000
 #: Rounds with drawn leaders at most, which end when one finds no link, and the least members of a list that takes part.
 ROUNDS = 4
+#: Members of a group in a cell from which on they are met through their representative.
+MANY = 32
 LONG = 8
 #: A class number takes the lower bits of a leader's rank.
 CLASS_BITS = 57
@@ -182,19 +184,6 @@ def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "na", "nb", "lead", "sure", "c"])
 
 
-def _in_main(cell: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether a row is of its cell's largest group."""
-    order = np.lexsort((group, cell))
-    c, g = cell[order], group[order]
-    head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])]))
-    size = np.diff(np.append(head, len(c)))
-    best = np.lexsort((-size, c[head]))  # the largest run of every cell comes first
-    first = best[np.concatenate([[True], c[head][best][1:] != c[head][best][:-1]])]
-    main = np.zeros(len(cell), bool)
-    main[order] = np.repeat(np.isin(np.arange(len(head)), first), size)
-    return main
-
-
 def _ranges(left: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of left[x] with every number from low[x] to high[x] - 1, at most about SEEN_PAIRS at once."""
     count = np.maximum(high - low, 0)
@@ -211,18 +200,39 @@ def _ranges(left: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tup
 
 
 def between_groups(c: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places i < j of pairs in one cell that sizes allow, but for those of two members of the cell's largest group.
-    Rows are sorted by cell, then n."""
-    n, cell = c["n"].astype(np.int64), c["cell"]
+    """Places i < j of pairs in one cell that sizes allow, but for those within a group of MANY or more members of the cell.
+    Rows are sorted by cell, then n. Members of such a group are met by others only if the sketch of one of them, its
+    representative, and the group's radius around it allow a link."""
+    n, cell, group = c["n"].astype(np.int64), c["cell"], c["group"]
+    sketch = [c[x] for x in SKETCH if x in c]
     wide = int(n.max()) + 2
     # skip pointers: beyond the last partner of a list that is not too large
     reach = np.searchsorted(cell * wide + n, cell * wide + np.minimum(n * 100 // percent, wide - 1), side="right")
-    main = _in_main(cell, c["group"])
-    at = np.flatnonzero(~main)
-    yield from _ranges(at, at + 1, reach[at])
-    own = np.flatnonzero(main)
-    for i, k in _ranges(own, np.searchsorted(at, own), np.searchsorted(at, reach[own])):
+    order = np.lexsort((group, cell))
+    head = np.flatnonzero(np.concatenate([[True], (cell[order][1:] != cell[order][:-1]) | (group[order][1:] != group[order][:-1])]))
+    size = np.diff(np.append(head, len(n)))
+    few = np.empty(len(n), bool)
+    few[order] = np.repeat(size < MANY, size)
+    at, all_ = np.flatnonzero(few), np.arange(len(n))
+    for i, k in _ranges(all_, np.searchsorted(at, all_, side="right"), np.searchsorted(at, reach)):
         yield i, at[k]
+    apart = lambda i, j: sum((np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in sketch), np.zeros(len(i), np.int64))
+    held: list[tuple[np.ndarray, ...]] = []
+    for h in np.flatnonzero(size >= MANY):
+        own = order[head[h] : head[h] + size[h]]
+        i = np.arange(*np.searchsorted(cell, [cell[own[0]], cell[own[0]] + 1]))
+        i = i[(group[i] != group[own[0]]) & (reach[i] > own[0]) & (i < own[-1])]
+        centre = own[len(own) // 2]
+        # a set of n differs from a larger linked one in n (100 - percent) / percent tokens at most
+        i = i[apart(i, centre) - apart(own, centre).max() <= n[i] * (100 - percent) // percent]
+        held.append((i, head[h] + np.searchsorted(own, i), head[h] + np.searchsorted(own, reach[i])))
+        if sum(len(x[0]) for x in held) > SEEN_PAIRS:
+            for i, k in _ranges(*map(np.concatenate, zip(*held, strict=True))):
+                yield i, order[k]
+            held = []
+    if held:
+        for i, k in _ranges(*map(np.concatenate, zip(*held, strict=True))):
+            yield i, order[k]
 
 
 def _pairs(percent: int):

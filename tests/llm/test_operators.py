@@ -345,6 +345,39 @@ def test_pairs_between_groups_grow_with_the_smaller_groups():
     assert sum(len(i) for i, _ in set_join.between_groups(big, 90)) == 199_990 * 10 + 45
 
 
+@pytest.mark.parametrize("n_groups", [1, 2, 10])
+def test_groups_are_met_by_their_representatives(n_groups):
+    """Groups of near copies with one common token: no member is met by another group's, however many there are."""
+    import numpy as np
+
+    rng = np.random.default_rng(n_groups)
+    for members in (4_000, 8_000):
+        base = rng.integers(-(2**63), 2**63 - 1, (n_groups, 4))
+        group = rng.integers(0, n_groups, members)
+        sketch = base[group]
+        sketch[np.arange(members), rng.integers(0, 4, members)] ^= 1 << rng.integers(0, 62, members)  # one parity differs
+        c = {"cell": np.zeros(members, np.int64), "n": np.sort(rng.integers(200, 210, members)), "group": group} | {f"k{x}": np.ascontiguousarray(sketch[:, x]) for x in range(4)}
+        assert sum(len(i) for i, _ in set_join.between_groups(c, 90)) == 0
+
+
+def test_no_pair_that_sketches_allow_is_passed_over():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cell = np.sort(rng.integers(0, 3, 700))
+    group = rng.integers(0, 4, 700)
+    sketch = rng.integers(-(2**63), 2**63 - 1, (1, 4)) ^ (1 << rng.integers(0, 62, (4, 4)))[group] ^ (1 << rng.integers(0, 62, (700, 4)))
+    sketch[::3] = rng.integers(-(2**63), 2**63 - 1, (len(sketch[::3]), 4))
+    n = np.concatenate([np.sort(rng.integers(150, 200, (cell == x).sum())) for x in range(3)])
+    c = {"cell": cell, "n": n, "group": group} | {f"k{x}": np.ascontiguousarray(sketch[:, x]) for x in range(4)}
+    got = [(a, b) for i, j in set_join.between_groups(c, 90) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and all(i < j and cell[i] == cell[j] for i, j in got)
+    apart = lambda i, j: sum(int(np.bitwise_count(np.uint64(int(sketch[i, x] ^ sketch[j, x]) & (2**64 - 1)))) for x in range(4))
+    slack = lambda i, j: int(n[i] + n[j]) - 2 * -(-90 * int(n[i] + n[j]) // 190)
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if cell[i] == cell[j] and group[i] != group[j] and 90 * n[j] <= 100 * n[i] and apart(i, j) <= slack(i, j)}
+    assert want and want <= set(got)
+
+
 def test_set_join_of_many_near_copies(spark):
     base = [prose(n) for n in (60, 150, 400)]
     texts = [" ".join(w if random.random() > rate else random.choice(VOCAB) for w in random.choice(base).split()) for rate in (0.004, 0.01, 0.02, 0.04) for _ in range(60)]
