@@ -24,7 +24,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)
 #: What is a tag even where the page ends before a >.
 _OPEN_END = re.compile(r"<[!?].*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*+:\s*+([a-z-]++)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +37,7 @@ BLOCKS = frozenset(
 #: Blocks with a blank line before and after.
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 LISTS = frozenset("ul ol menu dir".split())
+ROW_KINDS = frozenset("tr thead tbody tfoot".split())
 #: A start tag closes the open element of these kinds, up to the kind of element that bounds the search.
 CLOSES = {
     "li": ({"li"}, LISTS),
@@ -56,12 +57,13 @@ SCOPE = frozenset({"table", "td", "th", "caption", "button", "template", "html"}
 EDGES = SCOPE | BLOCKS
 #: Tables inside tables beyond this depth are written as plain blocks.
 TABLE_DEPTH = 20
-#: Most columns and rows that a cell spans, most characters that it widens its column to, and most of an indentation.
-SPAN = 100
-WIDEST = 80
-INDENT = 120
-#: A table is only padded if that adds no more than so many characters for each of its own, and these in any case.
-PADDING, PADDING_FREE = 4, 100_000
+#: Most columns and rows that a cell spans, as in the HTML standard; spans end at that column of a table.
+COLUMNS, ROWS = 1000, 65_534
+#: Most characters of a column and of an indentation, characters that the columns of a table share, and what each has at least.
+WIDEST, INDENT = 80, 120
+LINE, NARROWEST = 2_000, 4
+#: A table that would take more blanks than this is written without them, so that no page fills the memory of a task.
+PADDING = 1 << 26
 
 
 @dataclass(slots=True)
@@ -75,7 +77,17 @@ class Node:
             return True
         if self.tag == "input" and self.attrs.get("type", "").lower() == "hidden":
             return True
-        return bool(_HIDING.search(self.attrs.get("style", "")))
+        style = self.style()
+        return style.get("display") == "none" or self.tag in ROW_KINDS and style.get("visibility") == "collapse"
+
+    def style(self) -> dict[str, str]:
+        """The last declarations of display and visibility."""
+        return {m[1].lower(): m[2].lower() for m in _DECLARED.finditer(self.attrs["style"])} if "style" in self.attrs else {}
+
+    def visible(self, inherited: bool) -> bool:
+        """Whether text right in this element is seen; elements in it may say otherwise."""
+        own = self.style().get("visibility", "")
+        return own in ("visible", "initial") or own not in ("hidden", "collapse") and inherited
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -240,89 +252,125 @@ class _Page:
         self.gap = max(self.gap, 1 if space else 0)
 
 
-def _span(text: str) -> int:
-    return min(SPAN, max(1, int(text))) if text.isdecimal() and len(text) < 5 else 1
+def _span(text: str, most: int) -> int:
+    return min(most, max(1, int(text))) if text.isdecimal() and len(text) < 7 else 1
 
 
-def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
-    """Cells (lines, columns, rows) -> (first column, columns, lines); a cell leaves out what cells above it reach down to."""
+def _laid_out(rows: list[list[tuple]]) -> list[list[tuple]]:
+    """Cells (content, columns, rows) -> (first column, columns, content); a cell leaves out what cells above it reach down to."""
     reach: dict[int, int] = {}  # column -> last row that a cell from above takes
     out = []
     for r, row in enumerate(rows):
         at, placed = 0, []
-        for lines, wide, high in row:
+        for content, wide, high in row:
             while reach.get(at, -1) >= r:
                 at += 1
-            placed.append((at, wide, lines))
-            if high > 1:
+            wide = max(1, min(wide, COLUMNS - at))
+            placed.append((at, wide, content))
+            if high > 1 and at < COLUMNS:
                 reach.update((c, r + high - 1) for c in range(at, at + wide))
             at += wide
         out.append(placed)
     return out
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _wrapped(lines: list[str], most: int) -> list[str]:
+    """Lines of at most so many characters, parted at blanks where there are any."""
+    out = []
+    for x in lines:
+        at = 0
+        while len(x) - at > most:
+            cut = x.rfind(" ", at + 1, at + most + 1)
+            if cut < 0 or x[at:cut].isspace():
+                cut = at + most
+            out.append(x[at:cut].rstrip())
+            at = cut + (x[cut] == " ")
+        out.append(x[at:] if at else x)
+    return out
+
+
+def _table(node: Node, depth: int, seen: bool, room: int) -> list[str]:
     """Lines of a table: caption, then rows whose cells start at the same places.
 
-    Columns are as wide as their widest cell of one column, WIDEST at most; a longer cell pushes the rest of its line.
-    Cells may span columns and rows. A table that would be mostly padding is written without any.
+    Columns are as wide as their widest cell of one column, up to WIDEST, or their share of room where that is less. What is
+    longer goes on in the next line below, unless nothing stands to the right of it. Cells may span columns and rows; one
+    that spans columns narrower than it pushes the rest of its line. Invisible cells keep their places.
     """
-    rows: list[list[tuple[list[str], int, int]]] = []
+    rows: list[list[tuple[tuple[Node, bool], int, int]]] = []
     captions: list[str] = []
-    todo = [node]
+    todo = [(node, seen)]
     while todo:
-        own = todo.pop()
-        row: list[tuple[list[str], int, int]] | None = None
+        own, seen = todo.pop()
+        row: list[tuple[tuple[Node, bool], int, int]] | None = None
         later = []
         if own.tag == "tr":
             rows.append(row := [])
         for x in own.children:
             if isinstance(x, str):
-                captions.extend([x.strip()] if x.strip() else [])
+                captions.extend([x.strip()] if seen and x.strip() else [])
             elif x.hidden():
                 continue
             elif x.tag in ("td", "th"):
                 if row is None:
                     rows.append(row := [])
-                row.append((render_node(x, depth + 1).split("\n"), _span(x.attrs.get("colspan", "1")), _span(x.attrs.get("rowspan", "1"))))
-            elif x.tag in ("tr", "thead", "tbody", "tfoot"):
-                later.append(x)
+                row.append(((x, x.visible(seen)), _span(x.attrs.get("colspan", "1"), COLUMNS), _span(x.attrs.get("rowspan", "1"), ROWS)))
+            elif x.tag in ROW_KINDS:
+                later.append((x, x.visible(seen)))
             else:
-                captions.extend(y for y in render_node(x, depth + 1).split("\n") if y)
+                captions.extend(y for y in render_node(x, depth + 1, x.visible(seen), room).split("\n") if y)
         todo.extend(reversed(later))
-    grid = _laid_out(rows)
-    widths: list[int] = []
-    for row in grid:
-        for at, span, lines in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max(widths[at], min(WIDEST, max(map(len, lines))))
+    placed = _laid_out(rows)
+    columns = max((row[-1][0] + row[-1][1] for row in placed if row), default=1)
+    most = max(NARROWEST, min(WIDEST, room // columns))
+    widths = [0] * columns
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    for row in placed:
+        grid.append([])
+        for k, (at, wide, (x, own)) in enumerate(row):
+            last = k == len(row) - 1
+            lines = render_node(x, depth + 1, own, max(most, room - at * (most + 2)) if last else most * wide).split("\n")
+            if wide == 1:
+                lines = lines if last else _wrapped(lines, most)
+                widths[at] = max(widths[at], min(most, max(map(len, lines))))
+            grid[-1].append((at, wide, lines))
     starts = [0]
     for w in widths:
         starts.append(starts[-1] + w + 2)
+    for row in grid:
+        for k, (at, wide, lines) in enumerate(row):
+            if k < len(row) - 1 and wide > 1:
+                row[k] = (at, wide, _wrapped(lines, max(most, starts[at + wide] - starts[at] - 2)))
+            elif k == len(row) - 1 and room < LINE:  # in a cell of another table
+                row[k] = (at, wide, _wrapped(lines, max(most, room - starts[at])))
     heights = [max((len(lines) for _, _, lines in row), default=0) for row in grid]
-    size = sum(len(x) for row in grid for _, _, lines in row for x in lines)
-    pad = sum(h * starts[row[-1][0]] for h, row in zip(heights, grid, strict=True) if row) <= PADDING * size + PADDING_FREE
+    pad = sum(h * starts[row[-1][0]] for h, row in zip(heights, grid, strict=True) if row) <= PADDING
     out = captions
     for height, row in zip(heights, grid, strict=True):
         for k in range(height):
-            line = ""
+            line: list[str] = []
+            length = 0
             for at, _, lines in row:
-                line = (line.ljust(starts[at] - 2) + "  " if pad and at else line + "  " if line else line) + (lines[k] if k < len(lines) else "")
-            out.append(line.rstrip())
+                if k >= len(lines) or not lines[k]:
+                    continue  # blanks are only made before text
+                blanks = max(starts[at] - length, 2) if pad and at else 2 if length else 0
+                line.append(" " * blanks + lines[k])
+                length += blanks + len(lines[k])
+            out.append("".join(line).rstrip())
     return [x for x in out if x]
 
 
-def render_node(root: Node, depth: int = 0) -> str:
-    """Text of a node's visible contents."""
+def render_node(root: Node, depth: int = 0, seen: bool = True, room: int = LINE) -> str:
+    """Text of a node's visible contents. seen: whether text right in it is visible; room: characters that tables in it share."""
     page = _Page()
     counts: list[int | None] = []
     pre = 0
-    # entries: (node or text, done): a node is met before and after its children
-    todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(root.children)]
+    # entries: (node or text, done, seen): a node is met before and after its children
+    todo: list[tuple[Node | str, bool, bool]] = [(x, False, seen) for x in reversed(root.children)]
     while todo:
-        x, done = todo.pop()
+        x, done, seen = todo.pop()
         if isinstance(x, str):
+            if not seen:
+                continue
             if pre:
                 for i, part in enumerate(x.split("\n")):
                     if i:
@@ -345,13 +393,16 @@ def render_node(root: Node, depth: int = 0) -> str:
             continue
         if x.hidden():
             continue
+        seen = x.visible(seen)
         if t == "br":
+            if not seen:
+                continue
             page.line = page.line or [""]
             page.end_line()
             continue
         if t == "table" and depth < TABLE_DEPTH:
             page.block(True)
-            for line in _table(x, depth):
+            for line in _table(x, depth, seen, room):
                 page.put(line)
                 page.end_line()
             page.block(True)
@@ -361,7 +412,7 @@ def render_node(root: Node, depth: int = 0) -> str:
             kids = [y for y in kids if isinstance(y, Node) and y.tag == "summary"]
         if t in BLOCKS or t in ("tr", "td", "th", "textarea"):
             page.block(t in SPACED and not (t in LISTS and counts))
-            todo.append((x, True))
+            todo.append((x, True, seen))
             if t in LISTS:
                 start = x.attrs.get("start", "1")
                 counts.append((int(start) if start.isdecimal() and len(start) < 10 else 1) if t == "ol" else None)
@@ -372,13 +423,13 @@ def render_node(root: Node, depth: int = 0) -> str:
                     mark = f"{counts[-1]}. "
                     counts[-1] += 1
                 page.indent.append(" " * len(mark))
-                page.marker = mark
+                page.marker = mark if seen else ""
             elif t in ("blockquote", "dd"):
                 page.indent.append("    ")
             pre += t in ("pre", "textarea")
-        elif t in ("input", "button") and t == "input" and x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+        elif seen and t == "input" and x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
             page.flow(x.attrs.get("value", ""))
-        todo.extend((y, False) for y in reversed(kids))
+        todo.extend((y, False, seen) for y in reversed(kids))
     page.end_line()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -388,7 +439,7 @@ def render_node(root: Node, depth: int = 0) -> str:
 def html_text(page: str | None) -> str:
     """The visible text of a page; empty for null."""
     root = parse(page or "")
-    return "" if root.hidden() else render_node(root)
+    return "" if root.hidden() else render_node(root, seen=root.visible(True))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -397,9 +448,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Null and empty pages give empty texts. A page that is not HTML is text. Repeated rows, and rows with equal or null
     ids, are rendered one by one; other columns are ignored; an empty table gives an empty result.
 
-    What depends on size: a cell spans SPAN columns and rows at most and widens its column to WIDEST characters at
-    most; lines are indented by INDENT characters at most; tables deeper than TABLE_DEPTH in each other are written
-    as plain blocks; a table is padded unless that takes more than PADDING times its text and PADDING_FREE characters.
+    What depends on size: spans of cells end at COLUMNS columns and ROWS rows; a column is at most WIDEST characters wide, or
+    LINE shared by all columns (but NARROWEST at least), and longer cells are wrapped; lines are indented by INDENT characters
+    at most; tables deeper than TABLE_DEPTH in each other are written as plain blocks; a table that takes more than PADDING
+    blanks, tens of megabytes, has none.
     """
     small_batches(pages.sparkSession)
 

@@ -298,3 +298,53 @@ def test_packing_deals_null_ids_to_all_parts(spark):
     parts = got["sequence_id"].floordiv(2**32).value_counts()
     assert len(got) == 3000 and len(parts) == 10 and parts.max() < 400
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048 and got["sequence_id"].nunique() <= 1510
+
+
+def plain_render(node, seen=True):
+    """Visible words of a generated tree (tag, style, children) in order, by recursion."""
+    tag, style, kids = node
+    if style == "display:none" or tag in ("script", "noscript", "template"):
+        return []
+    seen = {"visibility:hidden": False, "visibility:visible": True}.get(style, seen)
+    return [w for k in kids for w in ([k] * seen if isinstance(k, str) else plain_render(k, seen))]
+
+
+def test_visibility_is_inherited_over_generated_pages():
+    rng = random.Random(12)
+
+    def tree(depth):
+        tag = rng.choice(["div", "span", "b", "section", "noscript", "template"])
+        kids = [rng.choice(WORDS) if depth == 0 or rng.random() < 0.5 else tree(depth - 1) for _ in range(rng.randint(1, 4))]
+        return tag, rng.choice(["", "", "", "display:none", "visibility:hidden", "visibility:visible", "backface-visibility:hidden"]), kids
+
+    def page(node):
+        tag, style, kids = node
+        return f"<{tag} style='{style}'> " + " ".join(k if isinstance(k, str) else page(k) for k in kids) + f" </{tag}>"
+
+    for _ in range(300):
+        root = ("div", "", [tree(4), tree(4)])
+        assert html_text.html_text(page(root)).split() == plain_render(root)
+
+
+def test_lists_and_cells_keep_the_places_of_what_is_invisible():
+    hidden = "style='visibility:hidden'"
+    assert html_text.html_text(f"<span {hidden}>x<b style='visibility:visible'>y</b></span>") == "y"
+    assert html_text.html_text(f"<ol><li>a<li {hidden}>b<li>c</ol>") == "1. a\n3. c"
+    assert html_text.html_text(f"<table><tr><td>aa<td>b<tr><td {hidden}>q<td>c<tr style='visibility:collapse'><td>no</table>") == "aa  b\n    c"
+
+
+@pytest.mark.parametrize("n", [10, 2000, 5000])
+def test_tables_of_any_size_are_aligned(n):
+    lines = html_text.html_text("<table><tr><td>" + "long " * 18 + "<td>first" + "<tr><td>s<td>u" * n + "</table>").split("\n")
+    at = lines[0].index("first")
+    assert at == 81 and lines[1] == "long long" and len(lines) == n + 2 and all(x == "s" + " " * (at - 1) + "u" for x in lines[2:])
+    wide = html_text.html_text("<table><tr><td colspan=120>a<td>b<tr>" + "<td>x" * 120 + "<td>c</table>").split("\n")
+    assert wide[0].index("b") == wide[1].index("c")
+
+
+def test_wrapped_cells_keep_their_words():
+    rng = random.Random(13)
+    for _ in range(50):
+        cells = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 4))]
+        got = html_text.html_text("<table><tr>" + "".join(f"<td>{c}" for c in cells) + "</table>")
+        assert sorted(got.split()) == sorted(" ".join(cells).split())
