@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.paths import G, ShortestPaths, avg_shortest_path, efficiency, hop_distances, largest_component, layered, path_counts, reachable_components
+from roadgraph.operators.ranking import ranked
 from roadgraph.plans.loops import kept
 
-def _rank():
-    """Place of a node by betweenness, then number; sums that differ only by the order of additions count as equal."""
-    return F.row_number().over(Window.partitionBy(G).orderBy(F.desc(F.round("betweenness", 9)), "node_id"))
+
+def _ranked(bc: DataFrame, place: str) -> DataFrame:
+    """Adds the place of a node by betweenness, then number; sums that differ only by the order of additions count as equal."""
+    return ranked(bc, G, [F.desc(F.round("betweenness", 9)), F.asc("node_id")], place)
 
 
 def dependencies(paths: ShortestPaths) -> DataFrame:
@@ -74,8 +76,9 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def gatekeepers(bc: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
     """All nodes, or the first k per graph, by betweenness, then node_id, with position, kind, degree and rank from 1."""
-    own = nodes.join(bc, [G, "node_id"]).join(degree(edges), [G, "node_id"], "left").na.fill(0, ["degree"]).withColumn("rank", _rank())
+    own = _ranked(bc, "rank")
     own = own if k is None else own.filter(F.col("rank") <= k)
+    own = nodes.join(own, [G, "node_id"]).join(degree(edges), [G, "node_id"], "left").na.fill(0, ["degree"])
     return own.select(G, "node_id", "pos_r", "pos_c", "kind", "betweenness", "degree", "rank")
 
 
@@ -83,9 +86,8 @@ def top_fraction(df: DataFrame, group: str, value: str, fraction: float, *ties:
     """max(1, ceil(n * fraction)) rows of each group with the largest values. digits: values that round to the same number count as
     equal; for sums whose last digits depend on the order of additions."""
     key = F.col(value) if digits is None else F.round(value, digits)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size_of_group"))
-    own = df.join(sizes, group).withColumn("place_in_group", F.row_number().over(Window.partitionBy(group).orderBy(key.desc(), *ties)))
-    return own.filter(F.col("place_in_group") <= F.greatest(F.lit(1), F.ceil(F.col("size_of_group") * fraction))).select(*df.columns)
+    own = ranked(df.filter(F.col(group).isNotNull()), group, [key.desc(), *map(F.asc, ties)], "place_in_group", "n_in_group")
+    return own.filter(F.col("place_in_group") <= F.greatest(F.lit(1), F.ceil(F.col("n_in_group") * fraction))).select(*df.columns)
 
 
 def cap(df: DataFrame, n: int, order: list[str], group: str | None = None) -> DataFrame:
@@ -131,9 +133,8 @@ def removal_curve(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, n_s
     base = kept(snapshot(nodes, edges, dist=paths.dist))
     e0 = base.select(G, F.col("efficiency").alias("e0"))
     first = base.select(G, F.lit(0).alias("step"), F.lit(None).cast("long").alias("removed_node"), *base.columns[1:])
-    rank = _rank()
     if not adaptive:
-        order = kept(node_betweenness(paths).withColumn("at", rank).join(steps, G).filter("at <= steps"))
+        order = kept(_ranked(node_betweenness(paths), "at").join(steps, G).filter("at <= steps"))
         s = order.select(G, F.col("at").alias("step"))
         key = F.struct(G, "step")
         gone = s.join(order.select(G, "node_id", "at"), G).filter("at <= step").select(key.alias("k"), "node_id")
@@ -150,7 +151,8 @@ def removal_curve(nodes: DataFrame, edges: DataFrame, fraction: float = 0.2, n_s
     for k in range(1, most + 1):  # the paths that rank a graph's nodes are those of its last snapshot
         open_ = steps.filter(F.col("steps") >= k).select(G)
         n, e = n.join(open_, G, "left_semi"), e.join(open_, G, "left_semi")
-        top = kept(node_betweenness(paths).join(open_, G, "left_semi").withColumn("at", rank).filter("at = 1").select(G, "node_id"))
+        first_of = F.min(F.struct((-F.round("betweenness", 9)).alias("x"), "node_id"))
+        top = kept(node_betweenness(paths).join(open_, G, "left_semi").groupBy(G).agg(first_of.alias("t")).select(G, "t.node_id"))
         n, e = (kept(x) for x in survivors(n, e, top))
         paths = path_counts(n, e)
         out.append(snapshot(n, e, e0, paths.dist).join(top, G).select(G, F.lit(k).alias("step"), F.col("node_id").alias("removed_node"), *base.columns[1:]))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadgraph.operators.components import component_labels
@@ -38,8 +38,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def largest_component(comp: DataFrame) -> DataFrame:
     """graph_id, comp_id, size of the largest component of each graph; of equal ones that of the least node."""
     sizes = comp.groupBy(G, "comp_id").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("first"))
-    first = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("size"), "first"))
-    return sizes.withColumn("place", first).filter("place = 1").select(G, "comp_id", "size")
+    top = sizes.groupBy(G).agg(F.min(F.struct((-F.col("size")).alias("less"), "first", "comp_id", "size")).alias("t"))
+    return top.select(G, "t.comp_id", "t.size")
 
 
 def _starts(nodes: DataFrame, sources: DataFrame | None) -> DataFrame:

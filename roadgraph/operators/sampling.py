@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadgraph.operators.ranking import ranked
+
 #: Leading hex digits of the hash by which rows are put into ranges for a global order.
 DIGITS = 3
 #: Draws of a weighted sample that meet in one bucket.
@@ -73,10 +75,10 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
 
 def sample_pairs(nodes: DataFrame, group: str, node: str, n: int, seed: int = 42) -> DataFrame:
     """(group, slot, a, b): n pairs of different nodes per group, by hash; pairs may repeat, nodes within a pair don't. Groups of one give none."""
-    ranked = nodes.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(node)) - 1)
-    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    placed = ranked(nodes, group, [F.asc(node)], "place_of_node").withColumn("at", F.col("place_of_node") - 1)
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draw = lambda k, m: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{k}"), F.col(group).cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long") % m
     two = slots.withColumn("i", draw("a", F.col("size"))).withColumn("j", (F.col("i") + 1 + draw("b", F.col("size") - 1)) % F.col("size"))
-    side = lambda name, at: ranked.select(group, F.col("at").alias(at), F.col(node).alias(name))
+    side = lambda name, at: placed.select(group, F.col("at").alias(at), F.col(node).alias(name))
     return two.join(side("a", "i"), [group, "i"]).join(side("b", "j"), [group, "j"]).select(group, "slot", "a", "b")

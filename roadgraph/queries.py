@@ -19,6 +19,7 @@ from roadgraph.operators import sampling as X
 from roadgraph.operators import sketches as N
 from roadgraph.operators import skeleton as K
 from roadgraph.operators import tiles as T
+from roadgraph.operators.ranking import ranked
 from roadgraph.sources import catalog as S
 
 G = "graph_id"
@@ -515,6 +516,17 @@ def _(e):
     return B.top_fraction(e, G, "w", 0.1, "u", "v")
 
 
+@query("W2_top_fraction_large", "fx_big_edges", sql="SELECT graph_id, u, v, w FROM (SELECT *, row_number() OVER (ORDER BY w DESC, u, v) AS k, count(*) OVER () AS n FROM fx_big_edges) WHERE k <= greatest(1, ceil(n * 0.1))")
+def _(e):
+    return B.top_fraction(e, G, "w", 0.1, "u", "v")
+
+
+@query("W1_ranks_large", "fx_big_edges", sql="""+d AS (SELECT graph_id, x AS node_id, count(*) AS degree FROM (SELECT graph_id, u AS x FROM fx_big_edges UNION ALL SELECT graph_id, v FROM fx_big_edges) GROUP BY 1, 2)
+    SELECT *, row_number() OVER (ORDER BY degree DESC, node_id) AS rank FROM d""")
+def _(e):
+    return ranked(B.degree(e), G, [F.desc("degree"), F.asc("node_id")], "rank")
+
+
 @query("W4_cap", "fx_edges", sql="SELECT graph_id, u, v, w FROM fx_edges QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY u, v) <= 8")
 def _(e):
     return B.cap(e, 8, ["u", "v"], G)

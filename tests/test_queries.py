@@ -8,7 +8,7 @@ from conftest import DATA
 
 from roadgraph.queries import ORACLE_SQL, QUERIES
 
-QUICK = [n for n in QUERIES if n[0] in "SUPJAWX" and n in ORACLE_SQL] + ["G1_closing", "G3_classify", "G4_junction_clusters", "H1_components", "H3_efficiency", "H7_edge_betweenness", "H12_impact"]
+QUICK = [n for n in QUERIES if n[0] in "SUPJAWX" and n in ORACLE_SQL] + ["G1_closing", "G3_classify", "G4_junction_clusters", "H1_components", "H3_efficiency", "H7_edge_betweenness", "H9_gatekeepers", "H12_impact", "H13_bottlenecks"]
 
 
 def rows(frame):
