@@ -80,7 +80,8 @@ def junction_clusters(cls: DataFrame) -> DataFrame:
 
 
 def representatives(clusters: DataFrame, skel: DataFrame, reach: int = 3) -> DataFrame:
-    """tile_id, blob, pos_r, pos_c: the skeleton pixel nearest to the cluster's rounded centre, within reach; ties row by row."""
+    """tile_id, blob, pos_r, pos_c: the skeleton pixel nearest to the cluster's rounded centre, within reach; ties row by row.
+    A cluster with no pixel within reach of its centre, such as a wide ring, keeps the centre itself."""
     mid = clusters.groupBy("tile_id", "blob").agg(F.bround(F.avg("r"), 0).cast("long").alias("r"), F.bround(F.avg("c"), 0).cast("long").alias("c"))
     cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
     near = shifted(mid, cells, "blob").join(skel.select(*K), K)
