@@ -1,23 +1,26 @@
 """From a road mask to a graph: closing, thinning, pixel classes, junction clusters, arcs, assembly.
 
-All tiles go together; the number of rounds depends on the widest road and the longest arc, not on the number of tiles.
+All tiles go together; the number of rounds depends on the widest road, not on the number of tiles. What needs a pixel's neighbours
+(classes, clusters, arcs) is told block by block (blocks.py).
 A pixel's code is r * 2**20 + c, so codes order pixels row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from roadgraph.operators.components import component_labels
+from roadgraph.operators.blocks import WIDE, labelled, neighbour_counts, touching
 from roadgraph.operators.quality import AROUND, K, near_mask, shifted
 from roadgraph.operators.strips import WIDEST, closed, thinned
 from roadgraph.plans.loops import kept
 
-WIDE = 2**20
 DIAGONAL = 2.0**0.5
-#: Neighbours clockwise from the north, as the thinning rule numbers them.
-CLOCK = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
 
 def code(r: str | Column = "r", c: str | Column = "c") -> Column:
@@ -42,14 +45,6 @@ def closing(mask: DataFrame, tiles: DataFrame, radius: float = 3) -> DataFrame:
     return _typed(closed(mask, tiles, radius), mask)
 
 
-def _codes(px: DataFrame) -> DataFrame:
-    """Pixels with nb, the set of their neighbours as bits in the order of CLOCK."""
-    cells = F.array(*(F.struct(F.lit(-i).alias("dr"), F.lit(-j).alias("dc"), F.lit(1 << k).alias("bit")) for k, (i, j) in enumerate(CLOCK)))
-    at = px.select(*K, F.explode(cells).alias("o")).select("tile_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.bit").alias("bit"))
-    bits = at.groupBy(*K).agg(F.sum("bit").cast("int").alias("nb"))
-    return px.select(*K).join(bits, K, "left").na.fill(0, ["nb"])
-
-
 def thin(mask: DataFrame) -> DataFrame:
     """One-pixel centre lines, by strips of bits."""
     return kept(_typed(thinned(mask), mask))
@@ -57,22 +52,13 @@ def thin(mask: DataFrame) -> DataFrame:
 
 def classify(skel: DataFrame) -> DataFrame:
     """tile_id, r, c, nb, class: junction (more than two neighbours), endpoint (one) or arc (two). Isolated pixels are dropped."""
-    nb = F.bit_count("nb")
-    own = _codes(skel).select(*K, nb.alias("nb")).filter("nb > 0")
+    own = neighbour_counts(skel).filter("nb > 0").select(*(F.col(x).cast(skel.schema[x].dataType) for x in K), "nb")
     return own.withColumn("class", F.when(F.col("nb") > 2, "junction").when(F.col("nb") == 1, "endpoint").otherwise("arc"))
 
 
-def _touching(a: DataFrame, b: DataFrame) -> DataFrame:
-    """tile_id, p, q, diagonal: pixels p of a and neighbours q of b, as codes."""
-    at = shifted(a, AROUND).select("tile_id", "r", "c", code(F.col("r") - F.col("o.dr"), F.col("c") - F.col("o.dc")).alias("p"), (F.col("o.dr") * F.col("o.dc") != 0).alias("diagonal"))
-    return at.join(b.select(*K), K).select("tile_id", "p", code().alias("q"), "diagonal")
-
-
 def _blobs(px: DataFrame) -> DataFrame:
     """tile_id, r, c, blob: 8-connected components, named by their first pixel's code."""
-    pairs = _touching(px, px).select("tile_id", F.col("p").alias("u"), F.col("q").alias("v"))
-    labels = component_labels(pairs, ["tile_id"]).select("tile_id", F.col("node").alias("code"), "component")
-    return px.select(*K, code().alias("code")).join(labels, ["tile_id", "code"], "left").select(*K, F.coalesce("component", "code").alias("blob"))
+    return labelled(px).select("tile_id", *(F.col(x).cast(px.schema[x].dataType) for x in ("r", "c")), "blob")
 
 
 def junction_clusters(cls: DataFrame) -> DataFrame:
@@ -104,48 +90,76 @@ def trace_arcs(cls: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFram
     whichever pixel of a cluster it leaves from; an arc back to its own node is a self-loop. A ring without a node is an arc
     with u = v = its first pixel.
     """
+    arcs, pixels = _started_arcs(cls, clusters)
+    return arcs.drop("start"), pixels
+
+
+def _started_arcs(cls: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """trace_arcs, with start: the first of an arc's pixels that touch u; null for rings and arcs without pixels."""
     chain = kept(_blobs(cls.filter("class = 'arc'")))
-    ends = kept(clusters.select(*K, F.col("blob").alias("node")).union(cls.filter("class = 'endpoint'").select(*K, code().alias("node"))))
-    named = lambda df, k, v: df.select("tile_id", code().alias(k), F.col("blob" if "blob" in df.columns else "node").alias(v))
-    inner = _touching(chain, chain).filter("p < q").join(named(chain, "p", "arc"), ["tile_id", "p"]).select("tile_id", "arc", "diagonal", F.lit(None).cast("long").alias("node"))
-    touch = _touching(chain, ends).join(named(chain, "p", "arc"), ["tile_id", "p"]).join(named(ends, "q", "node"), ["tile_id", "q"]).select("tile_id", "arc", "diagonal", "node")
-    steps = inner.union(touch).groupBy("tile_id", "arc").agg(
-        F.count_if(~F.col("diagonal")).alias("n_card"), F.count_if("diagonal").alias("n_diag"), F.min("node").alias("u"), F.max("node").alias("v")
+    none = F.lit(None).cast("long")
+    px = chain.select(*K, F.col("blob").alias("arc"), none.alias("node")).union(clusters.select(*K, none, "blob")).union(cls.filter("class = 'endpoint'").select(*K, none, code()))
+    met = kept(touching(px, F.col("arc"), F.col("node")).filter("xp is not null and (xq is null or p < q) or yp < yq"))
+    steps = met.filter("xp is not null").groupBy("tile_id", F.col("xp").alias("arc")).agg(
+        F.count_if(~F.col("diagonal")).alias("n_card"), F.count_if("diagonal").alias("n_diag"), F.min("yq").alias("u"), F.max("yq").alias("v"),
+        F.min(F.when(F.col("yq").isNotNull(), F.struct("yq", "p")))["p"].alias("start"),
+    )
+    arcs = steps.select("tile_id", "arc", F.coalesce("u", "arc").alias("u"), F.coalesce("v", "arc").alias("v"), "n_card", "n_diag", "start")
+    short = met.filter("xp is null").groupBy("tile_id", F.col("yp").alias("u"), F.col("yq").alias("v")).agg(F.min(F.struct("diagonal", "p")).alias("s"))
+    direct = short.select(
+        "tile_id", (-F.col("s.p") - 1).alias("arc"), "u", "v", F.when(F.col("s.diagonal"), 0).otherwise(1).cast("long").alias("n_card"), F.when(F.col("s.diagonal"), 1).otherwise(0).cast("long").alias("n_diag"), none.alias("start")
     )
-    arcs = steps.select("tile_id", "arc", F.coalesce("u", "arc").alias("u"), F.coalesce("v", "arc").alias("v"), "n_card", "n_diag")
-    pairs = _touching(ends, ends).join(named(ends, "p", "u"), ["tile_id", "p"]).join(named(ends, "q", "v"), ["tile_id", "q"]).filter("u < v")
-    short = pairs.groupBy("tile_id", "u", "v").agg(F.min(F.struct("diagonal", "p")).alias("s"))
-    direct = short.select("tile_id", (-F.col("s.p") - 1).alias("arc"), "u", "v", F.when(F.col("s.diagonal"), 0).otherwise(1).cast("long").alias("n_card"), F.when(F.col("s.diagonal"), 1).otherwise(0).cast("long").alias("n_diag"))
     return arcs.union(direct), chain.withColumnRenamed("blob", "arc")
 
 
 def ring_anchor(cls: DataFrame) -> DataFrame:
     """graph_id, node_id, pos_r, pos_c, kind: the first pixel of every ring that has no node."""
-    own = _blobs(cls).join(cls, K)
-    rings = own.groupBy("tile_id", "blob").agg(F.bool_and(F.col("class") == "arc").alias("bare"), F.min(F.struct("r", "c")).alias("f")).filter("bare")
+    own = labelled(cls, F.when(F.col("class") == "arc", 1).otherwise(0))
+    rings = own.groupBy("tile_id", "blob").agg(F.min("x").alias("bare"), F.min(F.struct("r", "c")).alias("f")).filter("bare = 1")
     return rings.select(F.col("tile_id").alias("graph_id"), F.col("blob").alias("node_id"), F.col("f.r").cast("long").alias("pos_r"), F.col("f.c").cast("long").alias("pos_c"), F.lit("junction").alias("kind"))
 
 
-def ordered_pixels(arcs: DataFrame, pixels: DataFrame, ends: DataFrame) -> DataFrame:
-    """tile_id, arc, place, r, c: each open arc's pixels from its u end. Places come from pointer doubling over the steps
-    between neighbours, in as many rounds as the logarithm of the longest arc. ends(tile_id, r, c, node)."""
-    named = pixels.select("tile_id", code().alias("p"), "arc")
-    touch = _touching(pixels, ends).join(named, ["tile_id", "p"]).join(ends.select("tile_id", code().alias("q"), "node"), ["tile_id", "q"])
-    start = touch.join(arcs.select("tile_id", "arc", "u"), ["tile_id", "arc"]).filter("node = u").groupBy("tile_id", "arc").agg(F.min("p").alias("start"))
-    step = kept(_touching(pixels, pixels).select("tile_id", "p", "q").join(named, ["tile_id", "p"]).join(start, ["tile_id", "arc"]))
-    after = step.select("tile_id", F.col("p").alias("q"), F.col("q").alias("nq"))
-    nxt = step.join(after, ["tile_id", "q"], "left").groupBy("tile_id", "arc", "start", "p", "q").agg(F.max(F.when(F.col("nq") != F.col("p"), F.col("nq"))).alias("b"))
-    # (p, q): a step; (a, b): the step it has jumped to, null at the end; n: steps so far; last: the pixel where it ended
-    now = kept(nxt.select("tile_id", "arc", "start", "p", "q", F.when(F.col("b").isNotNull(), F.col("q")).alias("a"), "b", F.lit(1).cast("long").alias("n"), F.when(F.col("b").isNull(), F.col("q")).alias("last")))
-    for _ in range(64):
-        if now.filter("b is not null").isEmpty():
-            break
-        to = now.select("tile_id", F.col("p").alias("a"), F.col("q").alias("b"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("last").alias("last2"))
-        now = kept(now.join(to, ["tile_id", "a", "b"], "left").select(
-            "tile_id", "arc", "start", "p", "q", F.col("a2").alias("a"), F.col("b2").alias("b"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("last", "last2").alias("last")
-        ))
-    place = now.filter("last = start").select("tile_id", "arc", "p", F.col("n").alias("place")).union(start.select("tile_id", "arc", F.col("start").alias("p"), F.lit(0).cast("long").alias("place")))
-    return place.select("tile_id", "arc", "place", F.floor(F.col("p") / WIDE).cast("long").alias("r"), (F.col("p") % WIDE).alias("c")).distinct()
+def arc_paths(arcs: DataFrame, pixels: DataFrame) -> DataFrame:
+    """tile_id, arc, px: each started arc's pixels (r, c) in order from its start. A path is one row in any case, so an arc's pixels are
+    gathered first and walked there, all arcs of a batch at the same time. arcs(tile_id, arc, start)."""
+    own = pixels.select("tile_id", "arc", code().alias("p")).join(arcs.filter("start is not null").select("tile_id", "arc", "start"), ["tile_id", "arc"])
+    rows = own.groupBy("tile_id", "arc").agg(F.first("start").alias("start"), F.collect_set("p").alias("ps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tile, arc, start, ps = batch.columns
+            row = np.repeat(np.arange(len(ps)), ps.value_lengths().to_numpy(zero_copy_only=False))
+            values, k = np.unique(ps.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            key = np.sort(row * len(values) + k)
+            row, p = key // len(values), values[key % len(values)]
+
+            def found(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+                """Place of pixel x of arc r, or -1."""
+                i = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                j = np.minimum(np.searchsorted(key, r * len(values) + i), len(key) - 1)
+                return np.where((p[j] == x) & (row[j] == r), j, -1)
+
+            one, two = np.full(len(p), -1), np.full(len(p), -1)
+            for i, j in AROUND:
+                to = found(row, p + i * WIDE + j)
+                two = np.where((one >= 0) & (to >= 0), to, two)
+                one = np.where(one < 0, to, one)
+            place = np.full(len(p), -1)
+            at, before, n = found(np.arange(len(ps)), start.to_numpy(zero_copy_only=False)), np.full(len(ps), -1), 0
+            while len(at):
+                place[at] = n
+                nxt = np.where((one[at] >= 0) & (one[at] != before), one[at], np.where(two[at] != before, two[at], -1))
+                more = (nxt >= 0) & (place[nxt] < 0)
+                at, before, n = nxt[more], at[more], n + 1
+            order = np.lexsort((place, row))
+            order = order[place[order] >= 0]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[order], minlength=len(ps)))])
+            r, c = np.divmod(p[order], WIDE)
+            px = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(r), pa.array(c)], names=["r", "c"]))
+            yield pa.RecordBatch.from_arrays([tile, arc, px], names=["tile_id", "arc", "px"])
+
+    kind = T.StructType([rows.schema["tile_id"], rows.schema["arc"], T.StructField("px", T._parse_datatype_string("array<struct<r:bigint,c:bigint>>"))])
+    return rows.mapInArrow(run, kind)
 
 
 def assemble(nodes: DataFrame, arcs: DataFrame, prune: float = 0.0) -> DataFrame:
@@ -159,16 +173,16 @@ def assemble(nodes: DataFrame, arcs: DataFrame, prune: float = 0.0) -> DataFrame
 
 def skeleton_graph(skel: DataFrame, prune: float = 0.0, paths: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of centre lines. Edges have w, w_q (w in millionths, for exact ties) and, if asked for, path."""
+    skel = kept(skel.select(*K))
     cls = kept(classify(skel))
     clusters = kept(junction_clusters(cls))
-    arcs, pixels = trace_arcs(cls, clusters)
+    arcs, pixels = _started_arcs(cls, clusters)
     arcs = kept(arcs)
     nodes = kept(graph_nodes(cls, clusters, skel).union(ring_anchor(cls)))
     edges = assemble(nodes, arcs, prune).withColumn("w_q", F.round(F.col("w") * 1e6).cast("long"))
     if paths:
-        ends = clusters.select(*K, F.col("blob").alias("node")).union(cls.filter("class = 'endpoint'").select(*K, code().alias("node")))
-        own = ordered_pixels(arcs, pixels, ends).groupBy(F.col("tile_id").alias("graph_id"), "arc").agg(F.sort_array(F.collect_list(F.struct("place", "r", "c"))).alias("px"))
+        own = arc_paths(arcs, pixels).withColumnRenamed("tile_id", "graph_id")
         at = lambda k: nodes.select("graph_id", F.col("node_id").alias(k), F.struct(F.col("pos_r").alias("r"), F.col("pos_c").alias("c")).alias(f"at_{k}"))
-        mid = F.coalesce(F.transform("px", lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c"))), F.expr("cast(array() as array<struct<r:bigint,c:bigint>>)"))
+        mid = F.coalesce("px", F.expr("cast(array() as array<struct<r:bigint,c:bigint>>)"))
         edges = edges.join(own, ["graph_id", "arc"], "left").join(at("u"), ["graph_id", "u"]).join(at("v"), ["graph_id", "v"]).withColumn("path", F.concat(F.array("at_u"), mid, F.array("at_v"))).drop("px", "at_u", "at_v")
     return nodes, kept(edges.withColumn("synthetic", F.lit(False)).withColumn("healing_cost", F.lit(None).cast("double")))
