@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadgraph.functions.columns import angular_cost
 from roadgraph.operators.components import component_labels
+from roadgraph.operators.dense import whole_numbers
 from roadgraph.operators.impact import near_pairs
 from roadgraph.operators.paths import G, components
 from roadgraph.operators.skeleton import closing, skeleton_graph, thin
@@ -14,6 +19,8 @@ from roadgraph.operators.tiles import straight_path
 from roadgraph.plans.loops import kept
 
 MAX_ROUNDS = 64
+#: Most candidates of a graph whose forest is told from one row.
+GAPS = 2048
 
 
 def gap_candidates(nodes: DataFrame, comp: DataFrame, max_gap: float) -> DataFrame:
@@ -27,15 +34,17 @@ def gap_candidates(nodes: DataFrame, comp: DataFrame, max_gap: float) -> DataFra
     return met.filter("dist >= 1e-8").select(G, "a", "b", "dist", "ar", "ac", "br", "bc")
 
 
-def tangents(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+def tangents(nodes: DataFrame, edges: DataFrame, depth: int = 10, of: DataFrame | None = None) -> DataFrame:
     """graph_id, node_id, tangent (r, c) of length 1: the first depth steps from the node along its longest edge with a path
-    of two points or more; ties by the other end. Nodes without such an edge have none."""
-    both = edges.filter("u <> v and size(path) >= 2").select(G, F.col("u").alias("node_id"), F.col("v").alias("other"), "w", "path").union(
-        edges.filter("u <> v and size(path) >= 2").select(G, F.col("v").alias("node_id"), F.col("u").alias("other"), "w", F.reverse("path").alias("path"))
-    )
-    first = F.row_number().over(Window.partitionBy(G, "node_id").orderBy(F.desc("w"), "other"))
-    own = both.withColumn("k", first).filter("k = 1").withColumn("far", F.element_at("path", F.least(F.lit(depth + 1), F.size("path"))))
-    dr, dc = (F.col("far")[x] - F.col("path")[0][x] for x in ("r", "c"))
+    of two points or more; ties by the other end. Nodes without such an edge have none. of(graph_id, node_id): for these nodes only."""
+    k = F.least(F.lit(depth + 1), F.size("path"))
+    end = lambda own, other, at, far: F.struct(F.col(own).alias("node_id"), F.col(other).alias("other"), F.element_at("path", at).alias("at"), F.element_at("path", far).alias("far"))
+    ends = F.when(F.size("path") >= 2, F.array(end("u", "v", F.lit(1), k), end("v", "u", F.lit(-1), -k)))
+    # of a path only two points go on, so that none is shuffled
+    both = edges.filter("u <> v").select(G, "w", F.explode(ends).alias("e")).select(G, "w", "e.*")
+    both = both if of is None else both.join(of, [G, "node_id"], "left_semi")
+    own = both.withColumn("k", F.row_number().over(Window.partitionBy(G, "node_id").orderBy(F.desc("w"), "other"))).filter("k = 1")
+    dr, dc = (F.col("far")[x] - F.col("at")[x] for x in ("r", "c"))
     n = F.sqrt(dr * dr + dc * dc)
     return own.filter(n > 1e-8).select(G, "node_id", F.struct((dr / n).alias("r"), (dc / n).alias("c")).alias("tangent"))
 
@@ -48,29 +57,80 @@ def bridge_costs(cand: DataFrame, tangent: DataFrame, ang_w: float = 2.0) -> Dat
     return own.withColumn("cost", F.col("dist") + ang_w * angular_cost(F.col("t_a"), F.col("t_b"), line)).drop("t_a", "t_b")
 
 
+def costed_gaps(nodes: DataFrame, edges: DataFrame, comp: DataFrame, max_gap: float = 50, ang_w: float = 2.0) -> DataFrame:
+    """gap_candidates with bridge_costs. Tangents are told once, and of the gaps' ends only."""
+    cand = kept(gap_candidates(nodes, comp, max_gap))
+    ends = cand.select(G, F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    return bridge_costs(cand, kept(tangents(nodes, edges, of=ends)), ang_w)
+
+
 def spanning_forest(comp: DataFrame, cand: DataFrame) -> DataFrame:
-    """The candidates of a minimum spanning forest over components, by rounds of Boruvka's algorithm: every component
-    takes its least candidate by (cost, a, b); components that meet become one. At most log2 of their number of rounds."""
-    cand = kept(cand)
-    label = kept(comp.select(G, "node_id", F.col("comp_id").alias("label")))
-    chosen = None
+    """The candidates of a minimum spanning forest over components, least by (cost, a, b). Graphs of up to GAPS candidates are
+    answered from one row each, as all of a graph's few candidates decide together; larger ones go in rounds. The order is strict, so both find the same forest."""
+    side = lambda k: comp.select(G, F.col("node_id").alias(k), F.col("comp_id").alias(f"l_{k}"))
+    cand = kept(cand.join(side("a"), [G, "a"]).join(side("b"), [G, "b"]))
+    if whole_numbers(cand, "a", "b", "l_a", "l_b"):
+        many = kept(cand.groupBy(G).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > GAPS).select(G))
+        far, near = cand.join(many, G, "left_semi"), cand.join(many, G, "left_anti")
+        chosen = _from_rows(near)
+        if not many.isEmpty():
+            chosen = chosen.union(_in_rounds(far))
+    else:
+        chosen = _in_rounds(cand)
+    return cand.drop("l_a", "l_b").join(kept(chosen), [G, "a", "b"])
+
+
+def _from_rows(cand: DataFrame) -> DataFrame:
+    """graph_id, a, b of the forests of graphs with few candidates (Kruskal 1956)."""
+    item = F.struct("cost", *(F.col(x).cast("long").alias(x) for x in ("a", "b", "l_a", "l_b")))
+    rows = cand.groupBy(G).agg(F.sort_array(F.collect_list(item)).alias("gaps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken: list[tuple[int, int, int]] = []
+            for i, gaps in enumerate(batch.column(1).to_pylist()):
+                up: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while x in up:
+                        x = up[x]
+                    return x
+
+                for gap in gaps:
+                    x, y = root(gap["l_a"]), root(gap["l_b"])
+                    if x != y:
+                        up[x] = y
+                        taken.append((i, gap["a"], gap["b"]))
+            i, a, b = (pa.array([t[k] for t in taken], pa.int64()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(i), a, b], names=[G, "a", "b"])
+
+    found = rows.mapInArrow(run, T.StructType([rows.schema[G], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return found.select(G, *(F.col(x).cast(cand.schema[x].dataType).alias(x) for x in ("a", "b")))
+
+
+def _in_rounds(cand: DataFrame) -> DataFrame:
+    """The same by rounds of Boruvka's algorithm: every component takes its least candidate; components that meet become one.
+    At most log2 of their number of rounds; a round carries on only candidates between different components."""
+    now = kept(cand.select(G, "a", "b", "cost", "l_a", "l_b").filter("l_a <> l_b"))
+    chosen = now.select(G, "a", "b").limit(0)
     for _ in range(MAX_ROUNDS):
-        side = lambda k: label.select(G, F.col("node_id").alias(k), F.col("label").alias(f"l_{k}"))
-        open_ = cand.join(side("a"), [G, "a"]).join(side("b"), [G, "b"]).filter("l_a <> l_b")
-        ends = open_.select(G, F.explode(F.array("l_a", "l_b")).alias("label"), F.struct("cost", "a", "b", "l_a", "l_b").alias("s"))
+        ends = now.select(G, F.explode(F.array("l_a", "l_b")).alias("label"), F.struct("cost", "a", "b", "l_a", "l_b").alias("s"))
         best = kept(ends.groupBy(G, "label").agg(F.min("s").alias("s")).select(G, "s.*").distinct())
         if best.isEmpty():
-            break
-        chosen = best.select(G, "a", "b") if chosen is None else chosen.union(best.select(G, "a", "b"))
-        merged = component_labels(best.select(G, F.col("l_a").alias("u"), F.col("l_b").alias("v")), [G]).select(G, F.col("node").alias("label"), "component")
-        label = kept(label.join(merged, [G, "label"], "left").select(G, "node_id", F.coalesce("component", "label").alias("label")))
-    return cand.limit(0) if chosen is None else cand.join(chosen.distinct(), [G, "a", "b"])
+            return chosen
+        chosen = chosen.union(best.select(G, "a", "b"))
+        merged = kept(component_labels(best.select(G, F.col("l_a").alias("u"), F.col("l_b").alias("v")), [G]))
+        for k in ("l_a", "l_b"):
+            new = merged.select(G, F.col("node").alias(k), F.col("component").alias("new"))
+            now = now.join(new, [G, k], "left").withColumn(k, F.coalesce("new", k)).drop("new")
+        now = kept(now.filter("l_a <> l_b"))
+    raise RuntimeError(f"bridges did not end in {MAX_ROUNDS} rounds")
 
 
 def heal(nodes: DataFrame, edges: DataFrame, max_gap: float = 50, ang_w: float = 2.0) -> DataFrame:
     """edges and the bridges that join their components: w = dist, synthetic, healing_cost and a straight path."""
     comp = kept(components(nodes, edges))
-    forest = spanning_forest(comp, bridge_costs(gap_candidates(nodes, comp, max_gap), tangents(nodes, edges), ang_w))
+    forest = spanning_forest(comp, costed_gaps(nodes, edges, comp, max_gap, ang_w))
     path = straight_path(F.col("ar"), F.col("ac"), F.col("br"), F.col("bc"))
     new = forest.select(G, F.col("a").alias("u"), F.col("b").alias("v"), F.col("dist").alias("w"), F.round(F.col("dist") * 1e6).cast("long").alias("w_q"), path.alias("path"), F.lit(True).alias("synthetic"), F.col("cost").alias("healing_cost"))
     return edges.unionByName(new, allowMissingColumns=True)

@@ -168,13 +168,15 @@ def straight_points(r0: Column | str, c0: Column | str, r1: Column | str, c1: Co
 
 def straight_point(a: Column, b: Column, t: Column, last: Column) -> Column:
     """Coordinate of point t of 0 to last between a and b, halves to even."""
-    return F.bround((a + (b - a) * t / last).cast("double"), 0).cast("long")
+    return F.rint((a + (b - a) * t / last).cast("double")).cast("long")
 
 
 def straight_path(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
     """array<struct<r, c>> of a straight path's points from one end to the other."""
     last = straight_points(r0, c0, r1, c1) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda t: F.struct(straight_point(r0, r1, t, last).alias("r"), straight_point(c0, c1, t, last).alias("c")))
+    point = lambda t, n: F.struct(straight_point(r0, r1, t, n).alias("r"), straight_point(c0, c1, t, n).alias("c"))
+    # last is bound once for a path; inside the lambda it would be told anew for each point
+    return F.transform(F.array(last), lambda n: F.transform(F.sequence(F.lit(0), n), lambda t: point(t, n)))[0]
 
 
 def class_mask(mask: DataFrame, critical: DataFrame, destroyed: DataFrame, level: float = 0.7) -> DataFrame:
