@@ -2,11 +2,12 @@
 
 A set is a document's distinct shingle hashes. Equal sets are one class; only classes are compared.
 
-Index. All tasks share one order of shingles: by how often a bucket of shingles occurs in the corpus (a table
-of fixed size, counted over all documents), then by hash. Two linked sets must share tokens among their first
-few in this order, so only these are indexed. Every list of the index is sorted by set size, then position;
-skip pointers end a set's scan at the first partner that is too large, and partners whose positions leave too
-little room are passed over.
+Index. Two linked sets of about n tokens differ in few tokens, at most d. The range of hashes is cut into more than d parts,
+so some part holds exactly the same tokens in both. A set is indexed by signatures of whole parts, not of tokens: texts that
+share a common passage or word do not meet, only near copies do. Sizes are cut into intervals so wide that partners lie in
+one or in two neighbouring ones, and a set has parts for both that it may meet in. Of k parts, k - d agree at least, so the
+parts with the fewest tokens, which chance might make equal, can be left out: all sets order parts alike. Where PERCENT is
+so low that parts would hold few tokens, the first tokens by hash are indexed instead.
 
 Answers. First only one class of every list, its leader (of those with most copies), is compared with the others.
 Linked sets fall into groups at once, and a list whose members are all in one group is done: it never reaches the
@@ -18,13 +19,12 @@ skips the pair, a large enough one links it. A sketch of every set holds the par
 two sketches differ in no more slots than their sets differ in tokens, which skips further pairs. The overlap of
 two sets with a common leader is then derived from the leader's answers, by what each of them lacks of the leader
 and has beyond it; only pairs without one are compared in full.
-
-Passages that very many documents share come last in the order, so their lists are short or hold near copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ from .wordhash import grams, hashes, mixed, split
 SHINGLE_WORDS = 3
 #: Percent of the union that the intersection must reach.
 PERCENT = 90
-#: Buckets of the frequency table.
-BUCKET_BITS = 20
-SLICES = 64
+#: From this percentage on sets are indexed by parts, of which one in so many is left out.
+BY_PARTS = 85
+LEFT_OUT = 8
 NARROW = 50_000
 #: Members of a list that meet in one cell; longer lists are parted into blocks of about half of it.
 CELL = 8_192
@@ -49,8 +49,8 @@ CELL = 8_192
 LEADER_ROWS = 200_000
 #: Slots of a set's sketch, 64 to a column.
 SKETCH = ["k0", "k1", "k2", "k3"]
-CELLS = ["token", "i", "j", "block", "class", "n", "pos", "group", "lead", "shared", "n_lead", *SKETCH]
-PAIRS = "a long, b long, na int, nb int, lead long, sure boolean, c long"
+CELLS = ["token", "i", "j", "block", "class", "n", "group", "lead", "shared", "n_lead", *SKETCH]
+PAIRS = "a long, b long, na int, nb int, lead long, sure boolean"
 #: Pairs that a task looks at, and that it holds before it counts and emits them, at once.
 SEEN_PAIRS = 500_000
 HELD_PAIRS = 2_000_000
@@ -69,43 +69,6 @@ def shingle_set(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(grams(h, min(k, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def _count(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2**BUCKET_BITS, np.int64)
-        for b in batches:
-            own = [_bucket(shingle_set(x, k)) for x in b.column(1).to_pylist()]
-            if own:
-                total += np.bincount(np.concatenate(own), minlength=len(total))
-        parts = total.reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "counts"])
-
-    return run
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
-
-
-def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of each bucket: how many times its count doubles the mean; 0 below. 2 ** BUCKET_BITS bytes, whatever the corpus."""
-    schema = "slice int, counts binary"
-    summed = docs.mapInArrow(_count(k), schema).repartition(SLICES, "slice").mapInArrow(_add, schema)
-    total = np.zeros((SLICES, 2**BUCKET_BITS // SLICES), np.int64)
-    for r in summed.collect():
-        total[r["slice"]] += np.frombuffer(r["counts"], np.int64)
-    flat = total.ravel()
-    mean = max(1.0, flat.mean())
-    return np.floor(np.log2(np.maximum(flat, mean) / mean)).astype(np.uint8)
-
-
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -116,13 +79,47 @@ def _both(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def _spare(n: np.ndarray) -> np.ndarray:
-    """Tokens that are indexed beyond the least prefix, so that chance partners are told apart by count."""
-    return n // 50
-
-
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.minimum(n, n - _need(n, percent) + 1 + _spare(n))
+def intervals(percent: int, most: int) -> np.ndarray:
+    """Rows (low, high, d, k) of intervals of sizes up to most: a set of low to high tokens and a linked one that is no smaller,
+    which lies in the same interval or in the next one, differ in d tokens at most; k parts are made."""
+    rows, low = [], 1
+    while low <= most:
+        high = low * 100 // percent
+        d = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+        rows.append((low, high, d, d + 1 + (d + 1) // LEFT_OUT))
+        low = high + 1
+    return np.array(rows, np.int64).reshape(-1, 4)
+
+
+@lru_cache(4096)
+def _edges(k: int) -> np.ndarray:
+    """Least hashes of the second to the last of k parts."""
+    return np.array([-(-(x << 64) // k) for x in range(1, k)], np.uint64)
+
+
+def signatures(s: np.ndarray, at: int, d: int, k: int) -> np.ndarray:
+    """Signatures of the d + 1 parts of a sorted set with most tokens, of k; at numbers the interval. Equal parts have equal ones."""
+    ends = np.concatenate([[0], np.searchsorted(s, _edges(k)), [len(s)]])
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + np.uint64(2)), dtype=np.uint64)])
+        part = mixed(total[ends[1:]] - total[ends[:-1]] + mixed(np.arange(k, dtype=np.uint64) + np.uint64(at << 32)))
+    return part[np.lexsort((part, np.diff(ends)))[k - d - 1 :]]
+
+
+def indexed(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """What each set is indexed by: any two linked, different sets have some of it in common."""
+    n = [len(s) for s in sets]
+    if percent < BY_PARTS:
+        return [s[: len(s) - int(_need(len(s), percent)) + 1] if len(s) else s for s in sets]
+    if percent == 100:
+        return [s[:0] for s in sets]
+    table = intervals(percent, max(n, default=0))
+    own = np.searchsorted(table[:, 0], n, side="right") - 1
+    out = []
+    for s, i in zip(sets, own.tolist(), strict=True):
+        of = [(x, int(table[x, 2]), int(table[x, 3])) for x in (i - 1, i) if x >= 0]
+        out.append(np.concatenate([np.zeros(0, np.uint64)] + [signatures(s, x, d, k) for x, d, k in of if d]))  # equal sets are one class
+    return out
 
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -132,25 +129,21 @@ def _sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(np.array(odd, np.uint8).reshape(-1, slots), axis=1).view(np.int64)
 
 
-def _index(k: int, percent: int, levels: np.ndarray):
+def _index(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x, k) for x in b.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
-            first = _prefix(n, percent)
-            rows = []
-            for s, p in zip(sets, first.tolist(), strict=True):
-                level = levels[_bucket(s)]
-                rows.append(s[np.argsort(level, kind="stable")[:p]])  # s is sorted by hash already
+            rows = indexed(sets, percent)
             with np.errstate(over="ignore"):
                 one = np.array([np.add.reduce(mixed(s), dtype=np.uint64) for s in sets], np.uint64)
                 two = np.array([np.bitwise_xor.reduce(mixed(s + np.uint64(1))) for s in sets], np.uint64)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)), pa.array(flat.view(np.int64)))
             sketches = [pa.array(x) for x in _sketches(sets).T]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, *sketches],
-                names=["doc_id", "row_key", "n", "d1", "d2", "prefix", *SKETCH],
+                names=["doc_id", "row_key", "n", "d1", "d2", "tokens", *SKETCH],
             )
 
     return run
@@ -174,14 +167,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
         yield rest | {"cell": np.zeros(len(rest["token"]), np.int64)}
 
 
-def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Each pair once, with the number of lists it was found in."""
+def _once(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Each pair once."""
     a, b, na, nb, lead, sure = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((b, a))
     a, b, na, nb, lead, sure = (x[order] for x in (a, b, na, nb, lead, sure))
     head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    cols = [a[head], b[head], na[head].astype(np.int32), nb[head].astype(np.int32), lead[head], np.maximum.reduceat(sure, head), np.diff(np.append(head, len(a)))]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "na", "nb", "lead", "sure", "c"])
+    cols = [a[head], b[head], na[head].astype(np.int32), nb[head].astype(np.int32), lead[head], np.maximum.reduceat(sure, head)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "na", "nb", "lead", "sure"])
 
 
 def _ranges(left: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,33 +229,32 @@ def between_groups(c: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.
 
 
 def _pairs(percent: int):
-    """Pairs of different groups in a cell that sizes, positions, known overlaps and sketches allow."""
+    """Pairs of different groups in a cell that sizes, known overlaps and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _cells(batches):
-            n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
+            n = c["n"].astype(np.int64)
             held: list[tuple[np.ndarray, ...]] = []
             for i, j in between_groups(c, percent):
                 ok = (c["group"][i] != c["group"][j]) & ((c["i"][i] == c["j"][i]) | (c["block"][i] != c["block"][j]))
                 i, j = i[ok], j[ok]
                 want = _both(n[i], n[j], percent)
-                room = np.minimum(n[i] - np.maximum(0, pos[i] - pos[j]), n[j] - np.maximum(0, pos[j] - pos[i]))
                 known = (c["lead"][i] == c["lead"][j]) & (c["lead"][i] >= 0)
                 si, sj = c["shared"][i], c["shared"][j]
                 most = np.minimum(si, sj) + np.minimum(n[i] - si, n[j] - sj)
                 sure = known & (si + sj - c["n_lead"][i] >= want)
                 apart = sum(np.bitwise_count((c[x][i] ^ c[x][j]).view(np.uint64)).astype(np.int64) for x in SKETCH)
-                go = (room >= want) & (~known | (most >= want)) & (sure | (apart <= n[i] + n[j] - 2 * want))
+                go = (~known | (most >= want)) & (sure | (apart <= n[i] + n[j] - 2 * want))
                 i, j, sure, known = i[go], j[go], sure[go], known[go]
                 swap = c["class"][i] > c["class"][j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 if len(i):
                     held.append((c["class"][i], c["class"][j], n[i], n[j], np.where(known, c["lead"][i], -1), sure))
                 if sum(len(x[0]) for x in held) > HELD_PAIRS:
-                    yield _counted(held)
+                    yield _once(held)
                     held = []
             if held:
-                yield _counted(held)
+                yield _once(held)
 
     return run
 
@@ -278,15 +270,15 @@ def _members(k: int):
     return run
 
 
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, c = common indexed tokens, sure) that can be linked. Other common tokens all lie beyond the
-    prefix that ends first in the order of tokens. That may be either set's, so the longer rest bounds them."""
-    need = lambda n: F.ceil(percent * F.col(n) / 100).cast("long")
-    prefix = lambda n: F.least(F.col(n).cast("long"), F.col(n) - need(n) + 1 + F.floor(F.col(n) / 50))
-    want = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    rest = F.greatest(F.col("na") - prefix("na"), F.col("nb") - prefix("nb"))
-    sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return pairs.filter(sizes & (F.col("sure") | (F.col("c") + rest >= want)))
+def _near(na, nb, apart, percent: int):
+    """Whether sizes and the number of slots in which sketches differ allow a link."""
+    most, least = F.greatest(na, nb), F.least(na, nb)
+    return (least * 100 >= most * percent) & (apart <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent)))
+
+
+def _apart(left: str, right: str):
+    """Slots in which two sketches differ; left and right come before the names of their columns."""
+    return sum(F.bit_count(F.col(f"{left}{x}").bitwiseXOR(F.col(f"{right}{x}"))) for x in SKETCH)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -326,14 +318,40 @@ def _linked(percent: int):
     return 100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))
 
 
-def _led_lists(classes: DataFrame) -> DataFrame:
-    """(token, leader, long, class, n, pos) of all lists with several classes. The leader has most copies, in powers of four;
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, leader, class) of lists with several classes. Rows come sorted by token and rank, so a list's first is its
+    leader; one row is held back until it is known whether its list goes on, so lists of any length pass through."""
+    names = ["token", "leader", "class"]
+    last: tuple[int, int, int, bool] | None = None  # token, leader, class, whether it is its list's first
+    for b in gathered(batches, NARROW):
+        token, own = (b.column(x).to_numpy(zero_copy_only=False) for x in ("token", "rank"))
+        own = own & (2**CLASS_BITS - 1)
+        if last:
+            token, own = np.r_[np.int64(last[0]), token], np.r_[np.int64(last[2]), own]
+        if not len(token):
+            continue
+        other = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]  # rows may be repeated
+        token, own = token[other], own[other]
+        head = np.r_[last is None or last[3], token[1:] != token[:-1]]
+        start = np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))
+        leader = own[start]
+        if last and not last[3]:
+            leader[: np.argmax(head) if head.any() else len(head)] = last[1]
+        go = ~(head[:-1] & head[1:])
+        if go.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][go]) for x in (token, leader, own)], names=names)
+        last = int(token[-1]), int(leader[-1]), int(own[-1]), bool(head[-1])
+    if last and not last[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:3]], names=names)
+
+
+def _led_lists(classes: DataFrame, index: DataFrame) -> DataFrame:
+    """(token, leader, class) of all lists with several classes. The leader has most copies, in powers of four;
     of equal ones it is the one with the least number."""
-    postings = classes.select("class", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
     rank = F.shiftleft((F.lit(62 - CLASS_BITS) - F.least(F.lit(62 - CLASS_BITS), F.floor(F.log2("copies") / 2))).cast("long"), CLASS_BITS).bitwiseOR(F.col("class"))
-    least = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("rank")).filter("size > 1")
-    leads = least.select("token", F.col("rank").bitwiseAND(F.lit(2**CLASS_BITS - 1)).alias("leader"), F.col("size") >= LONG)
-    return postings.select("token", "class", "n", "pos").join(leads.toDF("token", "leader", "long").hint("merge"), "token").select("token", "leader", "long", "class", "n", "pos")
+    ranks = classes.select(F.col("first.row_key").alias("row_key"), rank.alias("rank"))
+    postings = index.filter("size(tokens) > 0").select("row_key", "tokens").join(ranks.hint("merge"), "row_key").select("rank", F.explode("tokens").alias("token"))
+    return postings.repartition("token").sortWithinPartitions("token", "rank").mapInArrow(_led, "token long, leader long, class long")
 
 
 def _several(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -343,14 +361,13 @@ def _several(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return sizes.filter("low <> high").select("token", "leader", "size")
 
 
-def _drawn_pairs(long: DataFrame, facts: DataFrame, groups: DataFrame, met: DataFrame, percent: int, draw: int) -> DataFrame:
-    """(a, b, na, nb): of every list with several groups, the members of other groups with a drawn leader, where sizes and
+def _drawn_pairs(lists: DataFrame, facts: DataFrame, groups: DataFrame, met: DataFrame, percent: int, draw: int) -> DataFrame:
+    """(a, b, na, nb): of every long list with several groups, the members of other groups with a drawn leader, where sizes and
     sketches allow a link and the pair is not in met."""
-    open_ = long.join(_several(long, groups).select("token").hint("merge"), "token").join(facts.hint("merge"), "class")
+    long = _several(lists, groups).filter(F.col("size") >= LONG).select("token")
+    open_ = lists.join(long.hint("merge"), "token").join(facts.hint("merge"), "class")
     lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(draw)).alias("x"), "class", "n", "group", *SKETCH)).alias("l"))
-    want = F.ceil(percent * (F.col("n") + F.col("l.n")) / (100 + percent))
-    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"l.{x}"))) for x in SKETCH)
-    near = (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent) & (apart <= F.col("n") + F.col("l.n") - 2 * want)
+    near = _near(F.col("n"), F.col("l.n"), _apart("", "l."), percent)
     pairs = open_.join(lead.hint("merge"), "token").filter(F.col("group") != F.col("l.group")).filter(near)
     pairs = pairs.groupBy(F.col("l.class").alias("a"), F.col("class").alias("b")).agg(F.first("l.n").alias("na"), F.first("n").alias("nb"))
     known = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
@@ -370,7 +387,7 @@ def _open_cells(lists: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFr
     cell = lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j"))
     others = F.sequence(F.lit(0), F.when(parted, F.col("blocks") - 1).otherwise(0))
     met = lists.join(several.hint("merge"), "token").withColumn("block", block)
-    return met.withColumn("cell", F.explode(F.transform(others, cell))).select("leader", "part", "token", "cell.i", "cell.j", "block", "class", "n", "pos").join(facts.hint("merge"), "class").select("leader", "part", *CELLS)
+    return met.withColumn("cell", F.explode(F.transform(others, cell))).select("leader", "part", "token", "cell.i", "cell.j", "block", "class").join(facts.hint("merge"), "class").select("leader", "part", *CELLS)
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
@@ -387,31 +404,31 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
-    levels = frequency_levels(own, k)
-    schema = f"doc_id {dict(own.dtypes)['doc_id']}, row_key binary, n int, d1 long, d2 long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
-    index = stored(own.mapInArrow(_index(k, percent, levels), schema), "join-index")
+    schema = f"doc_id {dict(own.dtypes)['doc_id']}, row_key binary, n int, d1 long, d2 long, tokens array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
+    index = stored(own.mapInArrow(_index(k, percent), schema), "join-index")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
-    classes = index.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("prefix", *SKETCH)))
+    classes = index.filter("n > 0").groupBy("n", "d1", "d2").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in SKETCH))
     # numbers follow the ids, so of equal leaders the earliest document leads, which later ones are mostly copies of
     ordered = classes.repartitionByRange(F.col("first")).sortWithinPartitions("first")
     classes = stored(ordered.withColumn("class", F.monotonically_increasing_id()), "join-classes")
-    lists = stored(_led_lists(classes), "join-lists")
-
-    # leaders first
-    led = lists.filter("class <> leader").groupBy(F.col("leader").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("nb"))
-    star = led.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na")).hint("merge"), "a").withColumn("sure", F.lit(False))
-    star = stored(_enough(star, percent).select("a", "b", "na", "nb"), "join-star")
+    lists = stored(_led_lists(classes, index), "join-lists")
+
+    # leaders first; from here on only classes that are in some list matter
+    sketches = stored(classes.select("class", "n", *SKETCH).join(lists.select("class").distinct().hint("merge"), "class"), "join-sketches")
+    side = lambda x: sketches.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), *(F.col(s).alias(f"{x}{s}") for s in SKETCH)).hint("merge")
+    led = lists.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    star = led.join(side("a"), "a").join(side("b"), "b").filter(_near(F.col("na"), F.col("nb"), _apart("a", "b"), percent))
+    star = stored(star.select("a", "b", "na", "nb"), "join-star")
     sets = _sets(own, classes, _ends(star), k)
     compared = stored(_overlaps(star, sets), "join-compared")
     linked_in = lambda x: x.filter(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     grouped = lambda x: component_labels(x).select(F.col("node").alias("class"), F.col("component").alias("group"))
     links = linked_in(compared)
     groups = grouped(links)
-    sketches = stored(classes.select("class", *SKETCH), "join-sketches")
-    long = stored(lists.filter("long").select("token", "leader", "class", "n"), "join-long")
+    ties = lambda: groups.select(F.col("class").alias("u"), F.col("group").alias("v"))
     for draw in range(ROUNDS):
         facts = sketches.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class"))
-        drawn = stored(_drawn_pairs(long, facts, groups, compared, percent, draw), "join-drawn")
+        drawn = stored(_drawn_pairs(lists, facts, groups, compared, percent, draw), "join-drawn")
         if drawn.isEmpty():
             break
         sets = sets.union(_sets(own, classes, _ends(drawn).join(sets.select("class"), "class", "left_anti"), k))
@@ -420,7 +437,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
         if new.isEmpty():
             break
         links = links.union(new)
-        groups = grouped(links)
+        groups = grouped(ties().union(new))
 
     # what is left between groups
     # of its leaders a set remembers the one that most sets were compared with, so that many pairs have one in common
@@ -429,22 +446,23 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WOR
     best = fact("b", "o").union(fact("a", "na")).groupBy("class").agg(F.max("f").alias("f"))
     facts = sketches.join(groups, "class", "left").join(best, "class", "left").select(
         "class", F.coalesce("group", "class").alias("group"), F.coalesce("f.lead", F.lit(-1)).alias("lead"),
-        F.coalesce("f.shared", F.lit(0)).alias("shared"), F.coalesce("f.n_lead", F.lit(0)).alias("n_lead"), *SKETCH,
+        F.coalesce("f.shared", F.lit(0)).alias("shared"), F.coalesce("f.n_lead", F.lit(0)).alias("n_lead"), "n", *SKETCH,
     )
     where = ("leader", "part", "i", "j")
-    cells = _open_cells(lists, facts, groups).repartition(*where).sortWithinPartitions(*where, "token", "n", "pos", "class").select(*CELLS)
+    cells = _open_cells(lists, facts, groups).repartition(*where).sortWithinPartitions(*where, "token", "n", "class").select(*CELLS)
     across = cells.mapInArrow(_pairs(percent), PAIRS)
-    counted = across.groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "lead")), F.max("sure").alias("sure"))
+    found = across.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("na", "nb", "lead")), F.max("sure").alias("sure"))
     met = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_pairs = stored(_enough(counted, percent).join(met.hint("merge"), ["a", "b"], "left_anti"), "join-open")
+    open_pairs = stored(found.join(met.hint("merge"), ["a", "b"], "left_anti"), "join-open")
     todo = open_pairs.filter("not sure")
     derived = stored(_derived(todo, compared), "join-derived")
     rest = todo.join(derived.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     more = _sets(own, classes, _ends(rest).join(sets.select("class"), "class", "left_anti"), k)
     plain = _overlaps(rest, sets.union(more)).select(derived.columns)
-    edges = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(plain.union(derived).filter(_linked(percent)).select("a", "b")).union(open_pairs.filter("sure").select("a", "b")), "join-links")
+    late = stored(plain.union(derived).filter(_linked(percent)).select("a", "b").union(open_pairs.filter("sure").select("a", "b")).toDF("u", "v"), "join-links")
+    edges = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).union(late)
 
-    labels = component_labels(edges).select(F.col("node").alias("class"), F.col("component"))
+    labels = (groups if late.isEmpty() else grouped(ties().union(late))).withColumnRenamed("group", "component")
     degree = edges.select(F.explode(F.array("u", "v")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     marks = classes.select("n", "d1", "d2", "class", "first").join(labels, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
     heads = marks.groupBy("component").agg(F.min("first").alias("head"))

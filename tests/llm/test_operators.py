@@ -378,6 +378,44 @@ def test_no_pair_that_sketches_allow_is_passed_over():
     assert want and want <= set(got)
 
 
+@pytest.mark.parametrize("percent", [60, 85, 90, 97])
+def test_linked_sets_have_a_part_in_common(percent):
+    """Pairs around the threshold: linked ones share an entry of the index. Of sets that only share a passage few do."""
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    drawn = lambda n: rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+    linked = 0
+    for n in np.r_[rng.integers(1, 40, 500), rng.integers(40, 900, 500)].tolist():
+        a = np.unique(drawn(n))
+        loss, gain = rng.integers(0, max(2, n * (100 - percent) // 80), 2).tolist()
+        b = np.unique(np.r_[rng.permutation(a)[loss:], drawn(gain)])
+        o = len(np.intersect1d(a, b))
+        if o and 100 * o >= percent * (len(a) + len(b) - o) and not np.array_equal(a, b):
+            linked += 1
+            assert len(np.intersect1d(*set_join.indexed([a, b], percent)))
+    assert linked > 100
+    if percent >= 90:
+        passage = drawn(100)
+        x = set_join.indexed([np.unique(np.r_[passage, drawn(200)]) for _ in range(100)], percent)
+        assert sum(len(np.intersect1d(x[i], x[j])) > 0 for i in range(100) for j in range(i)) < 50
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50_000])
+def test_lists_pass_through_whatever_the_batches(monkeypatch, rows):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(set_join, "NARROW", rows)
+    rng = np.random.default_rng(rows)
+    entries = sorted({(int(t), int(c)) for t, c in zip(rng.integers(0, 60, 200), rng.integers(0, 40, 200), strict=True)} | {(7, c) for c in range(50)})
+    repeated = sorted(entries + entries[::5])
+    batch = pa.table({"token": [t for t, _ in repeated], "rank": [c for _, c in repeated]}).to_batches(max_chunksize=2)
+    got = sorted(tuple(r.values()) for b in set_join._led(iter(batch)) for r in b.to_pylist())
+    lists = {t: [c for u, c in entries if u == t] for t, _ in entries}
+    assert got == sorted((t, own[0], c) for t, own in lists.items() if len(own) > 1 for c in own)
+
+
 def test_set_join_of_many_near_copies(spark):
     base = [prose(n) for n in (60, 150, 400)]
     texts = [" ".join(w if random.random() > rate else random.choice(VOCAB) for w in random.choice(base).split()) for rate in (0.004, 0.01, 0.02, 0.04) for _ in range(60)]
