@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from roadgraph.functions.columns import CHANNEL_MEAN, CHANNEL_STD, road_width, sigmoid
 
+#: Pixels that one task blurs, about.
+PIXELS = 250_000
+
 
 def resample_nearest(px: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """Pixels of size x size tiles; each takes the source pixel floor((i + 0.5) * S / T)."""
@@ -82,13 +85,16 @@ def convolve(px: DataFrame, kernel: DataFrame) -> DataFrame:
 
 def blur(px: DataFrame, radius: float) -> DataFrame:
     """Adds blur: the Gaussian mean of each pixel's neighbourhood, over the pixels that there are. A Gaussian is a product of
-    one along rows and one along columns, so each pixel is sent to 2 * (6 * radius + 1) places, not to the square of that."""
+    one along rows and one along columns, so each pixel is sent to 2 * (6 * radius + 1) places, not to the square of that.
+    Pixels are dealt by the line along which they are summed before they are sent, so what is sent is summed in its task; there
+    are as many parts as keep one at about PIXELS pixels, at any size of the input."""
     keys = [c for c in ("tile_id", "band") if c in px.columns]
     reach = math.ceil(3 * radius)
+    parts = max(px.sparkSession.sparkContext.defaultParallelism, -(-px.count() // PIXELS))
     steps = F.array(*(F.struct(F.lit(i).alias("d"), F.lit(math.exp(-i * i / (2 * radius * radius))).alias("k")) for i in range(-reach, reach + 1)))
 
     def along(sums: DataFrame, at: str, other: str) -> DataFrame:
-        sent = sums.select(*keys, other, at, "x", "k", F.explode(steps).alias("s")).select(*keys, other, (F.col(at) + F.col("s.d")).alias(at), (F.col("x") * F.col("s.k")).alias("x"), (F.col("k") * F.col("s.k")).alias("k"))
+        sent = sums.repartition(parts, *keys, other).select(*keys, other, at, "x", "k", F.explode(steps).alias("s")).select(*keys, other, (F.col(at) + F.col("s.d")).alias(at), (F.col("x") * F.col("s.k")).alias("x"), (F.col("k") * F.col("s.k")).alias("k"))
         return sent.groupBy(*keys, "r", "c").agg(F.sum("x").alias("x"), F.sum("k").alias("k"))
 
     both = along(along(px.select(*keys, "r", "c", F.col("v").alias("x"), F.lit(1.0).alias("k")), "c", "r"), "r", "c")
