@@ -79,6 +79,20 @@ def test_nearest_node_at_any_distance(spark):
     assert impact.nearest_node(p, n.limit(0)).filter("node_id is not null").isEmpty()
 
 
+def test_many_nodes_and_points_at_one_place(spark):
+    """Nodes that share a place meet a point once: their pairs with all points are not made. Repeated points stay; fine cells."""
+    n = spark.range(1, 20_001).select(F.lit(1).cast("long").alias("graph_id"), F.col("id").alias("node_id"), (F.col("id") % 40).alias("pos_r"), (F.col("id") % 3).alias("pos_c"))
+    p = spark.range(300).select(F.lit(1).cast("long").alias("graph_id"), (F.col("id") % 299).alias("point_id"), (F.col("id") % 299 % 50 - 3).alias("r"), (F.col("id") % 299 % 5).alias("c"))
+    places = {}
+    for i in range(1, 20_001):
+        places.setdefault((i % 40, i % 3), i)
+    best = lambda r, c: min(((r - x) ** 2 + (c - y) ** 2, i) for (x, y), i in places.items())
+    got = [tuple(x) for x in impact.nearest_node(p, n).select("r", "c", "d2", "node_id").collect()]
+    assert sorted(got) == sorted((k % 50 - 3, k % 5, *best(k % 50 - 3, k % 5)) for k in [*range(299), 0])
+    ends = impact._nearest_cells(p.withColumnsRenamed({"r": "ar", "c": "ac"}), n.withColumnsRenamed({"pos_r": "br", "pos_c": "bc"}))
+    assert ends.count() < 20_000  # 150 pairs of the nearest places, not 500 nodes for each
+
+
 def test_tiles_are_added_and_replaced(spark):
     """Half of the tiles come again: they stay, or are replaced; the rest stays. Joins by tile need no exchange."""
     px = lambda lo, hi, v: spark.range(lo * 6, hi * 6).select(F.floor(F.col("id") / 6).alias("tile_id"), (F.col("id") % 6).cast("int").alias("r"), F.lit(v).alias("p"))
