@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadgraph.operators.dense import both, split
 from roadgraph.operators.paths import MAX_ROUNDS, G, adjacency
 from roadgraph.plans.loops import kept
 
@@ -43,7 +44,12 @@ def _told(rows: DataFrame, roots: DataFrame, labels: DataFrame) -> DataFrame:
 
 def hub_labels(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> DataFrame:
     """graph_id, node_id, hub, dist. Weights are positive; parallel edges count with the least, self-loops not at all. A node
-    without edges has itself as only hub. As many rounds a batch as its longest search has edges."""
+    without edges has itself as only hub. Small graphs are answered from one row each (dense.py); for large ones there are as many
+    rounds a batch as its longest search has edges."""
+    return both(split(nodes, edges, weight), "labels", lambda n, e: _hub_labels(n, e, "w"))
+
+
+def _hub_labels(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
     adj = kept(adjacency(edges, weight))
     batch = _batches(nodes, adj)
     to = adj.select(G, F.col("u").alias("dst"), F.col("v").alias("next"), "w")

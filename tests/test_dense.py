@@ -7,6 +7,7 @@ import pytest
 from roadgraph.operators import centrality as B
 from roadgraph.operators import dense
 from roadgraph.operators import impact as I
+from roadgraph.operators import labels as L
 from roadgraph.operators import paths as P
 
 
@@ -71,3 +72,27 @@ def test_pairs_of_small_graphs_are_not_stored(spark, monkeypatch, ask):
         monkeypatch.setattr(module, "kept", lambda df, own=module.kept: written.append(own(df)) or written[-1])
     assert ask(n, e).count() > 0
     assert sum(df.count() for df in written) < 4 * 20 * 40
+
+
+def test_labels_of_small_graphs(spark, monkeypatch):
+    """Labels tell every distance, are pruned, and take no rounds of joins."""
+    n, e = tables(spark, [1, 2, 7, 12, 30])
+    rounds = []
+    monkeypatch.setattr(L, "kept", lambda df: rounds.append(df) or df)
+    labels = L.hub_labels(n, e)
+    assert not rounds
+    pairs = n.selectExpr("graph_id", "node_id AS a").join(n.selectExpr("graph_id", "node_id AS b"), "graph_id")
+    assert rows(L.labelled_pair_paths(labels, pairs).filter("dist is not null")) == rows(P.distances(n, e))
+    assert labels.count() < P.distances(n, e).count() / 2
+
+
+def test_removal_curves_equal_the_joins(spark, monkeypatch):
+    """Small graphs go through all steps in one row, without a stored table a step."""
+    n, e = tables(spark, [1, 2, 3, 9])
+    rounds = []
+    monkeypatch.setattr(B, "kept", lambda df, own=B.kept: rounds.append(df) or own(df))
+    key = lambda df: sorted(rows(df.na.fill(-1).na.fill(-1.0)))
+    small = key(B.removal_curve(n, e, 0.2))
+    assert not rounds
+    monkeypatch.setattr(dense, "NODES", 2)
+    assert small == key(B.removal_curve(n, e, 0.2)) and rounds
