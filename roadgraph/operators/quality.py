@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EPS = 1e-7
 K = ["tile_id", "r", "c"]
+#: Pixels of a part of the soft centre lines, about.
+PIXELS = 100_000
 #: The eight neighbours, row by row.
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
@@ -89,26 +91,31 @@ def _line(how, value: str, along: str) -> Column:
     return how(value).over(Window.partitionBy("tile_id", across).orderBy(along).rowsBetween(-1, 1))
 
 
-def _eroded(px: DataFrame, value: str, out: str) -> DataFrame:
-    """Least value in the cross of five pixels."""
-    return px.withColumn(out, F.least(_line(F.min, value, "c"), _line(F.min, value, "r")))
+def _eroded(px: DataFrame, value: str, out: str, lines: str) -> DataFrame:
+    """Least value in the cross of five pixels. Here and below lines says in which order windows run along rows and columns: one
+    that runs as the one before it needs no sort."""
+    return px.withColumn("_a", _line(F.min, value, lines[0])).withColumn(out, F.least("_a", _line(F.min, value, lines[1]))).drop("_a")
 
 
-def _opened(px: DataFrame, value: str, out: str) -> DataFrame:
+def _opened(px: DataFrame, value: str, out: str, lines: str) -> DataFrame:
     """Erosion, then the largest value in the square of nine pixels."""
-    own = _eroded(px, value, "_e").withColumn("_m", _line(F.max, "_e", "c"))
-    return own.withColumn(out, _line(F.max, "_m", "r")).drop("_e", "_m")
+    own = _eroded(px, value, "_e", lines).withColumn("_m", _line(F.max, "_e", lines[1]))
+    return own.withColumn(out, _line(F.max, "_m", lines[0])).drop("_e", "_m")
 
 
 def _soft_skeleton(px: DataFrame, iters: int) -> DataFrame:
     """Soft centre line of a dense table with values v in 0..1, as column skel: what openings of ever smaller
-    erosions lose. Dealt by tile once; every window then runs where its tile is."""
+    erosions lose. Dealt by tile once; every window then runs where its tile is. There are as many parts as keep one at about
+    PIXELS pixels, or one tile, at any size of the input, as a task holds several sorts of its part."""
     above = lambda a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(b))
-    now = px.select(*K, "v").repartition("tile_id")
-    now = _opened(now, "v", "o").withColumn("skel", above("v", "o"))
+    parts = max(px.sparkSession.sparkContext.defaultParallelism, -(-px.count() // PIXELS))
+    now = px.select(*K, "v").repartition(parts, "tile_id")
+    lines = "cr"
+    now = _opened(now, "v", "o", lines).withColumn("skel", above("v", "o"))
     for _ in range(iters):
-        now = _opened(_eroded(now, "v", "e"), "e", "o").withColumn("d", above("e", "o"))
+        now = _opened(_eroded(now, "v", "e", lines), "e", "o", lines[::-1]).withColumn("d", above("e", "o"))
         now = now.select(*K, F.col("e").alias("v"), (F.col("skel") + F.greatest(F.lit(0.0), F.col("d") - F.col("skel") * F.col("d"))).alias("skel"))
+        lines = lines[::-1]
     return now.select(*K, "skel")
 
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from roadgraph.operators import tiles
+from roadgraph.operators import quality, tiles
 
 
 @pytest.mark.parametrize("most", [5, 250_000])
@@ -24,3 +24,13 @@ def test_blur_of_sparse_tiles(spark, monkeypatch, most):
     got = {(x.tile_id, x.r, x.c): x.blur for x in blurred.collect()}
     near = lambda k: [(v, math.exp(-((r - k[1]) ** 2 + (c - k[2]) ** 2) / 8)) for (t, r, c), v in px.items() if t == k[0] and max(abs(r - k[1]), abs(c - k[2])) <= 6]
     assert got == {k: pytest.approx(sum(v * w for v, w in near(k)) / sum(w for _, w in near(k))) for k in px}
+
+
+def test_soft_centre_lines_in_small_parts(spark, monkeypatch):
+    """Parts hold about PIXELS pixels whatever the size, and windows share their sorts: no two sorts for each erosion."""
+    px = spark.range(40 * 64).selectExpr("id div 64 AS tile_id", "int(id % 64 div 8) AS r", "int(id % 8) AS c", "id * 37 % 101 / 101D AS v")
+    monkeypatch.setattr(quality, "PIXELS", 256)
+    skel = quality._soft_skeleton(px, 3)
+    assert skel.rdd.getNumPartitions() == 10
+    plan = skel._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") <= 14
