@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgraph.operators.ranking import ranked
+from roadgraph.plans.loops import kept
 
 #: Leading hex digits of the hash by which rows are put into ranges for a global order.
 DIGITS = 3
 #: Draws of a weighted sample that meet in one bucket.
 BUCKET_DRAWS = 64
+#: Most nodes of a group that draws its pairs from one row, and nodes of a part, about.
+LISTED = 1000
+ROWS = 500_000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -74,11 +78,30 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 42
 
 
 def sample_pairs(nodes: DataFrame, group: str, node: str, n: int, seed: int = 42) -> DataFrame:
-    """(group, slot, a, b): n pairs of different nodes per group, by hash; pairs may repeat, nodes within a pair don't. Groups of one give none."""
-    placed = ranked(nodes, group, [F.asc(node)], "place_of_node").withColumn("at", F.col("place_of_node") - 1)
-    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """(group, slot, a, b): n pairs of different nodes per group, by hash; pairs may repeat, nodes within a pair don't. Groups of one give none.
+
+    Groups of up to LISTED nodes draw from one row, in parts of about ROWS nodes; larger ones, told by counts, from ranks."""
+    nodes = kept(nodes.select(group, node).filter(F.col(group).isNotNull()))
+    large = kept(nodes.groupBy(group).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > LISTED).select(group))
+    some = not large.isEmpty()
+    few = nodes.join(large, group, "left_anti") if some else nodes
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // ROWS))
+    own = few.repartition(parts, group).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(node).alias("x")))).alias("own"))
+    two = _drawn(own.withColumn("size", F.size("own").cast("long")).filter("size > 1"), group, n, seed)
+    at = lambda i: F.element_at("own", (F.col(i) + 1).cast("int"))["x"]
+    pairs = two.select(group, "slot", at("i").alias("a"), at("j").alias("b"))
+    return pairs.union(_ranked_pairs(nodes.join(large, group, "left_semi"), group, node, n, seed)) if some else pairs
+
+
+def _drawn(sizes: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """Groups with their size once for each slot, and the places i and j, from 0, that it draws."""
     draw = lambda k, m: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{k}"), F.col(group).cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long") % m
-    two = slots.withColumn("i", draw("a", F.col("size"))).withColumn("j", (F.col("i") + 1 + draw("b", F.col("size") - 1)) % F.col("size"))
+    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return slots.withColumn("i", draw("a", F.col("size"))).withColumn("j", (F.col("i") + 1 + draw("b", F.col("size") - 1)) % F.col("size"))
+
+
+def _ranked_pairs(nodes: DataFrame, group: str, node: str, n: int, seed: int) -> DataFrame:
+    placed = ranked(nodes, group, [F.asc(node)], "place_of_node").withColumn("at", F.col("place_of_node") - 1)
+    two = _drawn(placed.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), group, n, seed)
     side = lambda name, at: placed.select(group, F.col("at").alias(at), F.col(node).alias(name))
     return two.join(side("a", "i"), [group, "i"]).join(side("b", "j"), [group, "j"]).select(group, "slot", "a", "b")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from roadgraph.operators import centrality, ranking
+from roadgraph.operators import centrality, ranking, sampling
 from roadgraph.operators.paths import largest_component
 
 ROWS = "g long, x double, name long, place string"
@@ -66,3 +66,15 @@ def test_top_fraction_of_groups(wide, fraction):
 def test_largest_component_and_its_ties(wide):
     comp = wide.createDataFrame([(1, n, c) for n, c in ((5, 5), (6, 5), (1, 1), (2, 1), (9, 9))] + [(2, 4, 4)], "graph_id long, node_id long, comp_id long")
     assert sorted(map(tuple, largest_component(comp).collect())) == [(1, 1, 2), (2, 4, 1)]
+
+
+def test_pairs_of_listed_and_ranked_groups(spark, monkeypatch):
+    """Groups of one row draw what ranks draw; groups of one, null groups and null nodes."""
+    n = spark.createDataFrame([(g, f"n{i * 7 % 23}") for g, k in ((1, 1), (2, 2), (3, 9), (4, 23)) for i in range(k)] + [(3, None), (None, "a"), (None, "b")], "g long, node string")
+    pairs = lambda: sorted(tuple(map(str, r)) for r in sampling.sample_pairs(n, "g", "node", 6).collect())
+    listed = pairs()
+    assert len(listed) == 18 and not any(a == b for _, _, a, b in listed)
+    monkeypatch.setattr(sampling, "LISTED", 5)
+    assert pairs() == listed
+    monkeypatch.setattr(sampling, "LISTED", 0)
+    assert pairs() == listed
