@@ -16,7 +16,7 @@ from roadgraph.operators.impact import near_pairs
 from roadgraph.operators.paths import G, components
 from roadgraph.operators.skeleton import closing, skeleton_graph, thin
 from roadgraph.operators.tiles import straight_path
-from roadgraph.plans.loops import kept
+from roadgraph.plans.loops import kept, sized
 
 MAX_ROUNDS = 64
 #: Most candidates of a graph whose forest is told from one row.
@@ -26,8 +26,8 @@ GAPS = 2048
 def gap_candidates(nodes: DataFrame, comp: DataFrame, max_gap: float) -> DataFrame:
     """graph_id, a, b (a < b), dist: nodes of different components at most max_gap and at least 1e-8 apart.
     Graphs of one component drop out first; nodes meet in grid cells."""
-    several = comp.groupBy(G).agg(F.count_distinct("comp_id").alias("k")).filter("k > 1").select(G)
-    own = nodes.join(comp, [G, "node_id"]).join(several, G, "left_semi")
+    several = sized(kept(comp.groupBy(G).agg(F.min("comp_id").alias("low"), F.max("comp_id").alias("high")).filter("low < high").select(G)))
+    own = nodes.join(comp.join(several, G, "left_semi").hint("merge"), [G, "node_id"])
     a = own.select(G, F.col("node_id").alias("a"), F.col("comp_id").alias("ca"), F.col("pos_r").alias("ar"), F.col("pos_c").alias("ac"))
     b = own.select(G, F.col("node_id").alias("b"), F.col("comp_id").alias("cb"), F.col("pos_r").alias("br"), F.col("pos_c").alias("bc"))
     met = near_pairs(a, b, [G], max_gap).filter("a < b and ca <> cb").withColumn("dist", F.sqrt("d2"))
