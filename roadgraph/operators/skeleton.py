@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadgraph.operators.blocks import WIDE, labelled, neighbour_counts, touching
-from roadgraph.operators.quality import AROUND, K, near_mask, shifted
+from roadgraph.operators.quality import AROUND, K, near_mask
 from roadgraph.operators.strips import WIDEST, closed, thinned
-from roadgraph.plans.loops import kept
+from roadgraph.plans.loops import kept, sized
 
 DIAGONAL = 2.0**0.5
 
@@ -67,13 +67,19 @@ def junction_clusters(cls: DataFrame) -> DataFrame:
 
 def representatives(clusters: DataFrame, skel: DataFrame, reach: int = 3) -> DataFrame:
     """tile_id, blob, pos_r, pos_c: the skeleton pixel nearest to the cluster's rounded centre, within reach; ties row by row.
-    A cluster with no pixel within reach of its centre, such as a wide ring, keeps the centre itself."""
+    A cluster with no pixel within reach of its centre, such as a wide ring, keeps the centre itself. Centres and pixels meet in grid cells,
+    of which a centre sees four at most."""
     mid = clusters.groupBy("tile_id", "blob").agg(F.bround(F.avg("r"), 0).cast("long").alias("r"), F.bround(F.avg("c"), 0).cast("long").alias("c"))
-    cells = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    near = shifted(mid, cells, "blob").join(skel.select(*K), K)
-    d2 = F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")
-    best = near.groupBy("tile_id", "blob").agg(F.min(F.struct(d2.alias("d2"), F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"), "r", "c")).alias("b"))
-    return mid.join(best, ["tile_id", "blob"], "left").select("tile_id", "blob", F.coalesce("b.r", "r").alias("pos_r"), F.coalesce("b.c", "c").alias("pos_c"))
+    side = max(16, 2 * reach)
+    cell = lambda x, k=0: F.floor((F.col(x) + k) / side).cast("long")
+    seen = lambda x: F.sequence(cell(x, -reach), cell(x, reach))
+    spread = mid.select("tile_id", "blob", F.col("r").alias("mr"), F.col("c").alias("mc"), F.explode(seen("r")).alias("cr"), seen("c").alias("ccs"))
+    spread = spread.select("tile_id", "blob", "mr", "mc", "cr", F.explode("ccs").alias("cc"))
+    px = skel.select(*K, cell("r").alias("cr"), cell("c").alias("cc"))
+    dr, dc = F.col("r") - F.col("mr"), F.col("c") - F.col("mc")
+    near = spread.hint("merge").join(px, ["tile_id", "cr", "cc"]).filter((F.abs(dr) <= reach) & (F.abs(dc) <= reach))
+    best = near.groupBy("tile_id", "blob").agg(F.min(F.struct((dr * dr + dc * dc).alias("d2"), "r", "c")).alias("b"))
+    return mid.join(best.hint("merge"), ["tile_id", "blob"], "left").select("tile_id", "blob", F.coalesce("b.r", "r").alias("pos_r"), F.coalesce("b.c", "c").alias("pos_c"))
 
 
 def graph_nodes(cls: DataFrame, clusters: DataFrame, skel: DataFrame) -> DataFrame:
@@ -182,7 +188,8 @@ def skeleton_graph(skel: DataFrame, prune: float = 0.0, paths: bool = True) -> t
     edges = assemble(nodes, arcs, prune).withColumn("w_q", F.round(F.col("w") * 1e6).cast("long"))
     if paths:
         own = arc_paths(arcs, pixels).withColumnRenamed("tile_id", "graph_id")
-        at = lambda k: nodes.select("graph_id", F.col("node_id").alias(k), F.struct(F.col("pos_r").alias("r"), F.col("pos_c").alias("c")).alias(f"at_{k}"))
+        places = sized(nodes)
+        at = lambda k: places.select("graph_id", F.col("node_id").alias(k), F.struct(F.col("pos_r").alias("r"), F.col("pos_c").alias("c")).alias(f"at_{k}"))
         mid = F.coalesce("px", F.expr("cast(array() as array<struct<r:bigint,c:bigint>>)"))
         edges = edges.join(own, ["graph_id", "arc"], "left").join(at("u"), ["graph_id", "u"]).join(at("v"), ["graph_id", "v"]).withColumn("path", F.concat(F.array("at_u"), mid, F.array("at_v"))).drop("px", "at_u", "at_v")
     return nodes, kept(edges.withColumn("synthetic", F.lit(False)).withColumn("healing_cost", F.lit(None).cast("double")))

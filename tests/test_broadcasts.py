@@ -3,6 +3,7 @@
 import pytest
 
 from roadgraph.operators import healing as L
+from roadgraph.operators import skeleton as K
 from roadgraph.plans import loops
 
 
@@ -29,3 +30,10 @@ def test_sized_goes_by_rows(spark, monkeypatch):
     one, many = (loops.kept(spark.range(k).selectExpr("id", "0L as x")) for k in (20, 21))
     joins = {(a, b): plan(loops.sized(x).join(loops.sized(y), "id")) for a, x in (("one", one), ("many", many)) for b, y in (("one", one), ("many", many.withColumnRenamed("x", "y")))}
     assert all(("BroadcastHashJoin" in p) == ("one" in k) and ("SortMergeJoin" in p) == ("one" not in k) for k, p in joins.items())
+
+
+
+def test_clusters_meet_pixels_in_cells(spark):
+    skel = loops.kept(spark.createDataFrame([(1, 20 + t, 20) for t in range(-5, 6)] + [(1, 20, 20 + t) for t in range(-5, 6) if t], "tile_id long, r long, c long"))
+    found = K.representatives(loops.kept(K.junction_clusters(K.classify(skel))), skel)
+    assert "BroadcastHashJoin" not in plan(found) and [r[2:] for r in found.collect()] == [(20, 20)]
