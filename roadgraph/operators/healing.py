@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,12 +34,18 @@ def gap_candidates(nodes: DataFrame, comp: DataFrame, max_gap: float) -> DataFra
     return met.filter("dist >= 1e-8").select(G, "a", "b", "dist", "ar", "ac", "br", "bc")
 
 
-def tangents(nodes: DataFrame, edges: DataFrame, depth: int = 10, of: DataFrame | None = None) -> DataFrame:
+def tangents(nodes: DataFrame, edges: DataFrame, depth: int = 10, of: DataFrame | None = None, paths: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """graph_id, node_id, tangent (r, c) of length 1: the first depth steps from the node along its longest edge with a path
-    of two points or more; ties by the other end. Nodes without such an edge have none. of(graph_id, node_id): for these nodes only."""
+    of two points or more; ties by the other end. Nodes without such an edge have none. of(graph_id, node_id): for these nodes only.
+    paths: adds path to edges that have none, and is asked only for edges that end at one of these nodes."""
     k = F.least(F.lit(depth + 1), F.size("path"))
     end = lambda own, other, at, far: F.struct(F.col(own).alias("node_id"), F.col(other).alias("other"), F.element_at("path", at).alias("at"), F.element_at("path", far).alias("far"))
     ends = F.when(F.size("path") >= 2, F.array(end("u", "v", F.lit(1), k), end("v", "u", F.lit(-1), -k)))
+    if of is not None:
+        asked = lambda k: of.withColumnRenamed("node_id", k)
+        at_v = edges.join(asked("v"), [G, "v"], "left_semi").join(asked("u"), [G, "u"], "left_anti")
+        edges = edges.join(asked("u"), [G, "u"], "left_semi").select(edges.columns).union(at_v.select(edges.columns))
+    edges = edges if paths is None else paths(edges)
     # of a path only two points go on, so that none is shuffled
     both = edges.filter("u <> v").select(G, "w", F.explode(ends).alias("e")).select(G, "w", "e.*")
     both = both if of is None else both.join(of, [G, "node_id"], "left_semi")
@@ -57,27 +63,30 @@ def bridge_costs(cand: DataFrame, tangent: DataFrame, ang_w: float = 2.0) -> Dat
     return own.withColumn("cost", F.col("dist") + ang_w * angular_cost(F.col("t_a"), F.col("t_b"), line)).drop("t_a", "t_b")
 
 
-def costed_gaps(nodes: DataFrame, edges: DataFrame, comp: DataFrame, max_gap: float = 50, ang_w: float = 2.0) -> DataFrame:
+def costed_gaps(nodes: DataFrame, edges: DataFrame, comp: DataFrame, max_gap: float = 50, ang_w: float = 2.0, paths: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """gap_candidates with bridge_costs. Tangents are told once, and of the gaps' ends only."""
     cand = kept(gap_candidates(nodes, comp, max_gap))
-    ends = cand.select(G, F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    return bridge_costs(cand, kept(tangents(nodes, edges, of=ends)), ang_w)
+    ends = sized(kept(cand.select(G, F.explode(F.array("a", "b")).alias("node_id")).distinct()))
+    return bridge_costs(cand, sized(kept(tangents(nodes, edges, of=ends, paths=paths))), ang_w)
 
 
 def spanning_forest(comp: DataFrame, cand: DataFrame) -> DataFrame:
     """The candidates of a minimum spanning forest over components, least by (cost, a, b). Graphs of up to GAPS candidates are
     answered from one row each, as all of a graph's few candidates decide together; larger ones go in rounds. The order is strict, so both find the same forest."""
-    side = lambda k: comp.select(G, F.col("node_id").alias(k), F.col("comp_id").alias(f"l_{k}"))
+    cand = kept(cand)
+    ends = sized(kept(cand.select(G, F.explode(F.array("a", "b")).alias("node_id")).distinct()))
+    own = sized(kept(comp.hint("merge").join(ends, [G, "node_id"], "left_semi")))
+    side = lambda k: own.select(G, F.col("node_id").alias(k), F.col("comp_id").alias(f"l_{k}"))
     cand = kept(cand.join(side("a"), [G, "a"]).join(side("b"), [G, "b"]))
     if whole_numbers(cand, "a", "b", "l_a", "l_b"):
-        many = kept(cand.groupBy(G).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > GAPS).select(G))
+        many = sized(kept(cand.groupBy(G).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > GAPS).select(G)))
         far, near = cand.join(many, G, "left_semi"), cand.join(many, G, "left_anti")
         chosen = _from_rows(near)
         if not many.isEmpty():
             chosen = chosen.union(_in_rounds(far))
     else:
         chosen = _in_rounds(cand)
-    return cand.drop("l_a", "l_b").join(kept(chosen), [G, "a", "b"])
+    return cand.drop("l_a", "l_b").join(sized(kept(chosen)), [G, "a", "b"])
 
 
 def _from_rows(cand: DataFrame) -> DataFrame:
@@ -121,19 +130,19 @@ def _in_rounds(cand: DataFrame) -> DataFrame:
         chosen = chosen.union(best.select(G, "a", "b"))
         merged = kept(component_labels(best.select(G, F.col("l_a").alias("u"), F.col("l_b").alias("v")), [G]))
         for k in ("l_a", "l_b"):
-            new = merged.select(G, F.col("node").alias(k), F.col("component").alias("new"))
+            new = sized(merged).select(G, F.col("node").alias(k), F.col("component").alias("new"))
             now = now.join(new, [G, k], "left").withColumn(k, F.coalesce("new", k)).drop("new")
         now = kept(now.filter("l_a <> l_b"))
     raise RuntimeError(f"bridges did not end in {MAX_ROUNDS} rounds")
 
 
-def heal(nodes: DataFrame, edges: DataFrame, max_gap: float = 50, ang_w: float = 2.0) -> DataFrame:
-    """edges and the bridges that join their components: w = dist, synthetic, healing_cost and a straight path."""
+def heal(nodes: DataFrame, edges: DataFrame, max_gap: float = 50, ang_w: float = 2.0, paths: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """edges and the bridges that join their components: w = dist, synthetic, healing_cost and a straight path. paths: as in tangents."""
     comp = kept(components(nodes, edges))
-    forest = spanning_forest(comp, costed_gaps(nodes, edges, comp, max_gap, ang_w))
+    forest = spanning_forest(comp, costed_gaps(nodes, edges, comp, max_gap, ang_w, paths))
     path = straight_path(F.col("ar"), F.col("ac"), F.col("br"), F.col("bc"))
     new = forest.select(G, F.col("a").alias("u"), F.col("b").alias("v"), F.col("dist").alias("w"), F.round(F.col("dist") * 1e6).cast("long").alias("w_q"), path.alias("path"), F.lit(True).alias("synthetic"), F.col("cost").alias("healing_cost"))
-    return edges.unionByName(new, allowMissingColumns=True)
+    return (edges if paths is None else paths(edges)).unionByName(new, allowMissingColumns=True)
 
 
 def heal_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
